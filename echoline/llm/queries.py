@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from echoline.llm import decontaminate, mixing, sharding, warc
+from echoline.llm import chunking, decontaminate, langid, mixing, sharding, simhash, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_language(spark, sf_dir):
+    return langid.languages(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_fingerprints(spark, sf_dir):
+    return chunking.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -25,5 +37,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op8_mixing, op9_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op3_language, op4_decontamination, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding)}
 ORACLES = {"op4_decontamination": decontaminate.DECON_SQL, "op8_mixing": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL}
