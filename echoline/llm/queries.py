@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from echoline.llm import chunking, decontaminate, langid, mixing, sharding, simhash, warc
+from echoline.llm import chunking, decontaminate, langid, mixing, repeats, secrets, sharding, simhash, warc
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op2_repeats(spark, sf_dir):
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark, sf_dir):
     return langid.languages(_table(spark, sf_dir, "documents"))
 
@@ -37,5 +45,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language, op4_decontamination, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_repeats, op3_language, op4_decontamination, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding)}
 ORACLES = {"op4_decontamination": decontaminate.DECON_SQL, "op8_mixing": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL}
