@@ -60,7 +60,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def with_columns_of(df: DataFrame, kept: DataFrame, key: str) -> DataFrame:
-    """``df``'s rows whose ``key`` (null included) is among ``kept``'s, every column untouched."""
-    right = kept.select(F.col(key).alias("__key")).distinct()
-    return df.join(right, df[key].eqNullSafe(right["__key"]), "left_semi")
+def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join ``docs`` to ``found`` on doc_id and ``th``, the hash of the text, nulls equal; adds ``__th``."""
+    left = docs.withColumn("__th", F.xxhash64("text"))
+    right = found.withColumnsRenamed({"doc_id": "__id", "th": "__of"})
+    out = left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__of"]), how)
+    return out.drop("__id", "__of")

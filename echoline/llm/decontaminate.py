@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import blocks, mix64, text_bytes
+from echoline.llm.common import blocks, mix64, rows_of, text_bytes
 from echoline.session import stored
 
 #: Most hashes that go to the tasks as a filter before the join (8 bytes each); beyond it the join does it alone.
@@ -164,8 +164,8 @@ def item_index(benchmark: DataFrame, span: int, k: int) -> tuple[DataFrame, Data
     return prints, items.select("item_id", "cls")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
-    """One row per document: word and hit counts, the items that occur in it and whether it is contaminated.
+def hits_of(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
+    """One row per document: doc_id, th (hash of the text), n_words, n_hit, items (sorted ids as strings).
 
     The items' hashes go to the tasks as a filter only while they are few (counted first). Hits of a document are
     bounded by its own length; items are gathered as classes of equal texts.
@@ -177,15 +177,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     keep = None
     if hashes.count() <= FILTER_LIMIT:
         keep = np.unique(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), "text")
-    schema = "doc_id long, " + HITS
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("rid"), "text")
+    schema = "doc_id long, th long, " + HITS
     find = fingerprints(span, k, lengths, keep)
 
     def with_id(batches):
         for b in batches:
-            ids, at = b.column("doc_id"), 0
+            ids, th, at = b.column("doc_id"), b.column("th"), 0
             for out in find(iter([b])):
-                yield pa.RecordBatch.from_arrays([ids.slice(at, out.num_rows), *out.columns], ["doc_id", *out.schema.names])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, out.num_rows), th.slice(at, out.num_rows), *out.columns], ["doc_id", "th", *out.schema.names])
                 at += out.num_rows
 
     found = stored(rows.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(with_id, schema), "decon-docs")
@@ -205,14 +205,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         hits.select("rid", "cls").distinct().join(items, "cls").select("rid", F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy("rid").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    out = found.select("doc_id", "rid", "n_words").join(words, "rid", "left").join(of_items, "rid", "left")
-    listed = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    out = found.select("doc_id", "th", "rid", "n_words").join(words, "rid", "left").join(of_items, "rid", "left")
+    return out.select("doc_id", "th", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
+    """One row per document: word and hit counts, the items that occur in it and whether it is contaminated."""
+    return hits_of(docs, benchmark, span, k).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item, every column untouched."""
+    bad = hits_of(docs, benchmark, span, k).filter("n_hit > 0").select("doc_id", "th")
+    return rows_of(docs, bad, "left_anti").drop("__th")
+
+
 DECON_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -105,8 +105,8 @@ def nearest(text: str | None, profiles: list[tuple[str, np.ndarray, np.ndarray]]
     return best, 1.0 - at / most
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], kept: int = KEPT) -> DataFrame:
-    """Add lang_pred and score to rows with a ``text``; lang, source and ids are not looked at."""
+def predictor(profiles: dict[str, np.ndarray], kept: int = KEPT):
+    """A pandas UDF from a text to struct<lang_pred, score>."""
     sorted_profiles = [(lang, p[(o := np.argsort(p))], o) for lang, p in sorted(profiles.items())]
 
     @F.pandas_udf("lang_pred string, score double")
@@ -114,11 +114,21 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], kept: int = KEPT)
         table = letters()
         return pd.DataFrame([nearest(t, sorted_profiles, table, kept) for t in texts], columns=["lang_pred", "score"], index=texts.index)
 
-    return docs.withColumn("__lid", predict("text")).withColumns({"lang_pred": F.col("__lid.lang_pred"), "score": F.col("__lid.score")}).drop("__lid")
+    return predict
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score; learned from documents that are not held out."""
+    """One row per document: doc_id, held_out, lang_pred, score; learned from documents that are not held out.
+
+    lang, source and doc_id are no inputs of a prediction.
+    """
     rows = docs.select("doc_id", "text", "lang")
-    profiles = fit(rows.filter(~_held_out()))
-    return identify(rows.select("doc_id", "text", _held_out().alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+    predict = predictor(fit(rows.filter(~_held_out())))
+    out = rows.select("doc_id", _held_out().alias("held_out"), predict("text").alias("p"))
+    return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def in_known_language(docs: DataFrame, least: float = 0.1) -> DataFrame:
+    """``docs`` without those that have no letter or are near no learned language, every column untouched."""
+    predict = predictor(fit(docs.select("doc_id", "text", "lang").filter(~_held_out())))
+    return docs.withColumn("__lid", predict("text")).filter((F.col("__lid.lang_pred") != "und") & (F.col("__lid.score") >= least)).drop("__lid")

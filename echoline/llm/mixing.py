@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoline.llm.common import running
+from echoline.llm.common import rows_of, running
 from echoline.session import stored
 
 #: Golden ratio as a fraction of 2**31, rounded to an odd number.
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1),
     buckets, so that a source with a third of all rows is no task of its own.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("place"))
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("place"))
     rows = stored(rows, "mix-docs")
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
     known = sources.withColumnRenamed("source", "__source")
@@ -107,7 +107,15 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1),
     overlap = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
     taken = pieces.join(schedule(sources, block), ["sid", "rank"]).groupBy("sid", "at").agg(F.sum(overlap).alias("taken"))
     out = streams.join(taken.withColumn("size_over_0", F.lit(True)), (streams["sid"] == taken["sid"]) & (streams["at"] == taken["at"]) & (streams["size"] > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "th")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its taken words are of its size, rounded; columns untouched."""
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int")).otherwise(0)
+    plan = mix(docs, **how).withColumn("copies", copies).groupBy("doc_id", "th").agg(F.sum("copies").cast("int").alias("__copies")).filter("__copies > 0")
+    rows = rows_of(docs, plan, "inner").dropDuplicates(["doc_id", "__th"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies", "__th")
 
 
 MIX_SQL = r"""

@@ -34,7 +34,7 @@ def op7_simhash(spark, sf_dir):
 
 
 def op8_mixing(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("th")
 
 
 def op9_warc(spark, sf_dir):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import blocks, text_bytes
+from echoline.llm.common import blocks, rows_of, text_bytes
 from echoline.session import stored
 
 M, WIDTH, TAU, LIMIT = 8, 8, 2, 8192
@@ -71,16 +71,16 @@ def simhashes(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int
 
 
 def fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp) of each row; a map over Arrow batches."""
+    """(doc_id, th, fp) of each row; a map over Arrow batches. ``th`` hashes the text, to find the row again."""
 
     def run(batches):
         for b in batches:
-            ids, (data, offsets) = b.column("doc_id"), text_bytes(b.column("text"))
+            ids, th, (data, offsets) = b.column("doc_id"), b.column("th"), text_bytes(b.column("text"))
             for i, j in blocks(offsets, 1 << 20):
                 fps = simhashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), th.slice(i, j - i), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def budgets(m: int = M, tau: int = TAU) -> list[tuple[int, int]]:
@@ -192,12 +192,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex) and the least doc_id that links reach."""
+def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row per document: doc_id, th, fp, root (fingerprint that names the class) and the class's least doc_id."""
     prints = stored(fingerprint(docs), "simhash")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(link(distinct.select("fp"), limit))
-    classes = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    lookup = classes.join(named, "root").select("fp", "component_id")
-    return prints.join(lookup, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    lookup = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return prints.join(lookup.select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex) and the least doc_id that links reach."""
+    return classes(docs, limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with one row of each class, that of the least doc_id, every column untouched."""
+    first = classes(docs, limit).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
+    return rows_of(docs, first, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
