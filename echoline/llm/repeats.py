@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from echoline.llm.common import mix64, text_bytes
 from echoline.session import stored
 
-SPAN, GRAM, LIMIT, BATCH = 400, 16, 1500, 1 << 20
+SPAN, GRAM, LIMIT, BATCH = 400, 16, 1500, 1 << 18
 WIDTHS = (64, 8, 1)
 
 
@@ -123,72 +123,85 @@ def _segments(span: int):
     return run
 
 
-def _ranks(words: np.ndarray, n: int) -> list[np.ndarray]:
-    """Ranks of all places by their first 8, 16, ... 1024 bytes: prefix doubling."""
+def _ranks(words: np.ndarray, left: np.ndarray, owner: np.ndarray, longest: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
+    """Ranks of all places by their first 6, 18, ... bytes up to ``longest``, and the order by the last.
+
+    Segment ends count as distinct signs in the order of the segments, so that the order is total and no match
+    passes an end: within 6 bytes of one (``left``: bytes before it) the segment stands in place of what follows.
+    Three ranks fit one key of the next sort, since a batch has under 2**21 places.
+    """
+    n = len(words)
+    near = left < 6
+    gone = np.uint64(8) * (np.uint64(8) - np.where(near, left, 6).astype(np.uint64))
+    high = np.uint64(0xFFFFFFFFFFFFFFFF)
+    first = words & np.where(gone >= 64, np.uint64(0), high << np.minimum(gone, np.uint64(63)))
+    # The end itself sorts above all bytes of a text.
+    first |= np.where(near, np.uint64(0xFF) << np.minimum(np.uint64(56) - np.minimum(left, 6).astype(np.uint64) * np.uint64(8), np.uint64(56)), np.uint64(0))
+    first |= np.where(near, (owner + 1).astype(np.uint64), np.uint64(0))
+
     def dense(x):
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x)
         up = x[order]
         out = np.empty(n, np.int64)
         out[order] = np.cumsum(np.r_[0, up[1:] != up[:-1]])
-        return out
-
-    levels, reach = [dense(words)], 8
-    while reach < 1024:
-        r = levels[-1]
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - reach] = r[reach:] + 1
-        levels.append(dense(r * (n + 1) + ahead))
-        reach *= 2
-    return levels
-
-
-def matching(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Matching statistics of a text against itself: the longest match (up to 1024) that starts at each place and elsewhere.
-
-    Only the run ends of the Burrows-Wheeler transform, and ``starts``, are compared; from one of them to the
-    next the length falls by one per place.
+        return out, order
+
+    rank, order = dense(first)
+    levels, reach, shift = [(6, rank)], 6, np.int64(n.bit_length())
+    while reach < longest:
+        times = 2 if 2 * reach >= longest else 3
+        key = rank.copy()
+        for k in range(1, times):
+            key <<= shift
+            key[: max(0, n - k * reach)] |= rank[k * reach :] + 1
+        reach *= times
+        rank, order = dense(key)
+        levels.append((reach, rank))
+    return levels, order
+
+
+def matching(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Matching statistics of segments against each other: the longest match that starts at each place and elsewhere.
+
+    Only the run ends of the Burrows-Wheeler transform, and the segments' starts, are compared; from one of
+    them to the next the length falls by one per place.
     """
     n = len(text)
     words = _words(np.r_[text, np.zeros(7, np.uint8)])
-    levels = _ranks(words, n)
-    order = np.argsort(levels[-1], kind="stable")
+    owner = np.repeat(np.arange(len(starts)), ends + 1 - starts)
+    left = ends[owner] - np.arange(n)
+    levels, order = _ranks(words, left, owner, int((ends - starts).max()) + 1)
     before = text[order - 1]
     new_run = np.r_[True, before[1:] != before[:-1]]
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
 
     def common(a, b):
-        length = np.zeros(len(a), np.int64)
-        for k in range(len(levels) - 1, -1, -1):
-            size = 8 << k
-            i, j = a + length, b + length
-            ok = (i < n) & (j < n)
-            ok[ok] = levels[k][i[ok]] == levels[k][j[ok]]
-            # Equal ranks near the end of the text stand for equal rests, which differ in length.
-            length += np.where(ok, np.minimum(size, n - np.maximum(a, b) - length), 0)
-        i, j = np.minimum(a + length, n - 1), np.minimum(b + length, n - 1)
-        x = words[i] ^ words[j]
+        first, most, (a, b) = a, np.minimum(left[a], left[b]), (a.copy(), b.copy())
+        for size, rank in reversed(levels):
+            for _ in range(2):
+                ok = np.flatnonzero(np.maximum(a, b) + size <= n)
+                ok = ok[rank[a[ok]] == rank[b[ok]]]
+                a[ok] += size
+                b[ok] += size
+        x = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
         tail = np.zeros(len(a), np.int64)
-        for s in range(7, 0, -1):
-            tail = np.where((tail == 0) & (x >> np.uint64(64 - 8 * s) == 0), s, tail)
-        return np.minimum(length + np.where((a + length < n) & (b + length < n), tail, 0), n - np.maximum(a, b))
+        for s in range(1, 6):
+            tail += x >> np.uint64(64 - 8 * s) == 0
+        return np.minimum(a - first + tail, most)
 
     best = np.zeros(n, np.int64)
+    forced = np.zeros(n, bool)
+    forced[starts] = True
     for shift in (-1, 1):
-        ends = new_run if shift < 0 else np.r_[new_run[1:], True]
-        sampled = np.zeros(n, bool)
-        sampled[order[ends]] = True
-        sampled[starts] = True
-        sampled[0] = True
+        sampled = forced.copy()
+        sampled[order[new_run if shift < 0 else np.r_[new_run[1:], True]]] = True
         p = np.flatnonzero(sampled)
         other = row[p] + shift
         ok = (other >= 0) & (other < n)
         value = np.zeros(len(p), np.int64)
         value[ok] = common(p[ok], order[other[ok]])
-        last = np.maximum.accumulate(np.where(sampled, np.arange(n), 0))
-        full = np.zeros(n, np.int64)
-        full[p] = value
-        best = np.maximum(best, full[last] - (np.arange(n) - last))
+        best = np.maximum(best, np.repeat(value + p, np.diff(np.r_[p, n])) - np.arange(n))
     return best
 
 
@@ -199,7 +212,7 @@ def marked(segments: list[bytes], span: int) -> list[tuple[int, int, int]]:
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    hit = np.flatnonzero((matching(text, starts) >= span) & (np.arange(len(text)) + span <= ends[owner]))
+    hit = np.flatnonzero((matching(text, starts, ends) >= span) & (np.arange(len(text)) + span <= ends[owner]))
     if not len(hit):
         return []
     seg, at = owner[hit], hit - starts[owner[hit]]
