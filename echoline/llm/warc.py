@@ -144,7 +144,8 @@ def captures(spark: SparkSession, path: str, payloads: bool = False) -> DataFram
     answers = nested.filter("capture.main.type = 'response'").select(
         F.col("capture.main.record_id").alias("refers_to"), F.col("page_id").alias("refers_page"), F.struct("capture.main.payload_bytes", "capture.main.payload_digest", "capture.main.payload").alias("full")
     ).dropDuplicates(["refers_to"])
-    out = nested.withColumn("refers_to", F.col("capture.main.refers_to")).join(answers, "refers_to", "left")
+    # Responses refer to nothing: their own id, which no response answers to, spreads them over the tasks.
+    out = nested.withColumn("refers_to", F.coalesce("capture.main.refers_to", F.concat(F.lit("none:"), F.col("capture.main.record_id")))).join(answers, "refers_to", "left")
     pick = lambda c: F.coalesce(F.col(f"capture.main.{c}"), F.col(f"full.{c}")).alias(c)
     return out.select("page_id", "url", "capture", pick("payload_bytes"), pick("payload_digest"), pick("payload"), "refers_page")
 
