@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoline.llm import chunking, decontaminate, langid, mixing, repeats, secrets, sharding, simhash, warc
+from echoline.llm import chunking, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, warc
 
 
 def _table(spark, sf_dir, name):
@@ -25,6 +25,10 @@ def op4_decontamination(spark, sf_dir):
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_pseudolikelihood(spark, sf_dir):
+    return pseudolikelihood.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark, sf_dir):
     return chunking.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_repeats, op3_language, op4_decontamination, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_repeats, op3_language, op4_decontamination, op5_pseudolikelihood, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding)}
 ORACLES = {"op4_decontamination": decontaminate.DECON_SQL, "op8_mixing": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL}

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from echoline.llm import chunking, common, decontaminate, langid, mixing, repeats, secrets, sharding, simhash, warc
+from echoline.llm import chunking, common, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, warc
 from tests.oracle import expected, rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in ("rid", "th", "key", "score", "fp", "n", "taken", "part", "bytes"))
@@ -193,6 +193,81 @@ def test_every_shared_span_is_found():
         assert kept[0] & kept[1]
 
 
+# --- 5 ----------------------------------------------------------------------------------------------------------
+def network(seed=2):
+    rng = np.random.default_rng(seed)
+    weights = {k: rng.normal(0, 0.3, v).astype(np.float32) for k, v in pseudolikelihood.SHAPES.items()}
+    hashes = np.sort(rng.integers(0, 2**63, 960).astype(np.uint64))
+    return pseudolikelihood.Model(hashes, rng.permutation(960).astype(np.int16), weights)
+
+
+def brute_log_probability(near, target, w):
+    h = np.tanh(sum(w["near"][k][u].astype(float) for k, u in enumerate(near)) + w["bias"])
+    kind, word = divmod(target, pseudolikelihood.WIDE)
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    return log_softmax(w["kind"] @ h + w["kind_bias"])[kind] + log_softmax(w["word"][kind] @ h + w["word_bias"][kind])[word]
+
+
+def test_log_probabilities_are_a_distribution():
+    w, units = network().weights, pseudolikelihood.UNITS
+    near = np.tile(np.array([[3], [units], [7], [1000]]), (1, units))
+    got = pseudolikelihood.log_probabilities(near, np.arange(units), w)
+    assert np.exp(got.astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    assert got[::37] == pytest.approx([brute_log_probability(near[:, 0], t, w) for t in range(0, units, 37)], abs=1e-4)
+
+
+def test_a_step_goes_down_the_gradient():
+    rng, w = np.random.default_rng(4), network().weights
+    near, target = rng.integers(0, pseudolikelihood.UNITS + 1, (4, 40)), rng.integers(0, pseudolikelihood.UNITS, 40)
+    loss = lambda: -pseudolikelihood.log_probabilities(near, target, w).astype(float).mean()
+    before = {k: v.copy() for k, v in w.items()}
+    # With a large history the step is the gradient times a constant.
+    pseudolikelihood.step(near, target, w, {k: np.full(v, 1e6, np.float32) for k, v in pseudolikelihood.SHAPES.items()}, rate=1e3)
+    moved = {k: before[k] - v for k, v in w.items()}
+    for name, at in (("bias", (3,)), ("kind", (5, 2)), ("near", (2, near[2, 0], 9)), ("word", (target[0] // 32, target[0] % 32, 4)), ("word_bias", (target[1] // 32, 0))):
+        for k in w:
+            w[k][:] = before[k]
+        w[name][at] += 0.01
+        up = loss()
+        w[name][at] -= 0.02
+        assert moved[name][at] == pytest.approx((up - loss()) / 0.02, abs=2e-4)
+
+
+def test_scores_equal_brute_force(docs, nothing, table):
+    model = network()
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+    got = pseudolikelihood.score(docs, model).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in got) == Counter((r[0], len(words(r[1]))) for r in table)
+    assert pseudolikelihood.score(nothing, model).count() == 0
+    sums = {(r["doc_id"], r["n_words"]): r for r in got}
+    for i in (3, 41, 46, 47, 52, 53):
+        raw = (table[i][1] or "").encode()
+        h, _ = decontaminate.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        u = [pseudolikelihood.BORDER] * 2 + pseudolikelihood.units_of(h, model).tolist() + [pseudolikelihood.BORDER] * 2
+        want = sum(brute_log_probability([u[p - 2], u[p - 1], u[p + 1], u[p + 2]], u[p], model.weights) for p in range(2, len(u) - 2))
+        r = sums[(table[i][0], len(h))]
+        assert r["log_likelihood"] == pytest.approx(want, abs=0.01 + 1e-4 * abs(want))
+        assert (r["mean_log_likelihood"] is None) == (len(h) == 0)
+
+
+def test_word_counts(docs, table):
+    got = {r["word"]: r["n"] for r in pseudolikelihood.word_counts(docs).collect()}
+    want = Counter(w for r in table for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r[1])))
+    assert sorted(got.values()) == sorted(want.values())
+
+
+def test_pseudo_likelihood_on_held_out_documents(spark, nothing):
+    """The network predicts unseen documents better than word frequencies do, and tells their order from a shuffled one."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen, other = real.filter("doc_id % 4 <> 0"), real.filter("doc_id % 4 = 0")
+    mean = lambda df, m: pseudolikelihood.score(df, m).agg(F.sum("log_likelihood") / F.sum("n_words")).first()[0]
+    model = pseudolikelihood.fit(seen)
+    mixed = other.withColumn("text", F.array_join(F.array_sort(F.split("text", " "), lambda a, b: F.signum(F.crc32(a.cast("binary")) - F.crc32(b.cast("binary"))).cast("int")), " "))
+    base, got = mean(other, pseudolikelihood.untrained(pseudolikelihood.word_counts(seen))), mean(other, model)
+    assert got > base + 0.15 and got > mean(mixed, model) + 0.05
+    assert pseudolikelihood.score_documents(nothing).count() == 0
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("parts", [1, 3, 50])
 def test_fingerprints(docs, nothing, table, parts):
