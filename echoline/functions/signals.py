@@ -50,7 +50,8 @@ def pearson(a: Column, b: Column) -> Column:
     ma, mb = mean(a), mean(b)
     dot = F.aggregate(F.zip_with(a, b, lambda u, v: (u - ma) * (v - mb)), F.lit(0.0), lambda acc, v: acc + v)
     norm = F.sqrt(total(a, lambda v: (v - ma) * (v - ma))) * F.sqrt(total(b, lambda v: (v - mb) * (v - mb)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm)))
+    # greatest and least skip nulls, so the constant case must stay outside them.
+    return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot, norm))))
 
 
 def ewma(x: Column, alpha: float = 0.2) -> Column:
