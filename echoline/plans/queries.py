@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echoline.functions import features
 from echoline.functions import signals as S
 from echoline.operators import audit, metrics, tracking
 from echoline.plans.tables import LINES_SQL, PREDICTIONS_SQL, SIGNALS_SQL, lines, predictions, signals, table, windows, windows_sql
@@ -391,3 +392,16 @@ def logistic_score(spark, sf_dir):
 def derived_seed(spark, sf_dir):
     h = F.sha2(F.concat_ws("\x1f", F.lit("stress"), F.lit("t2"), F.col("doc_id").cast("string")), 256)
     return table(spark, sf_dir, "documents").select("doc_id", F.conv(F.substring(h, 1, 15), 16, 10).cast("long").alias("seed"))
+
+
+# --- feature families, numeric kernels without a SQL form -------------------------------------------------------
+def _family(name):
+    def run(spark, sf_dir):
+        return signals(spark, sf_dir).select("vec_id", features.features(name)("x").alias("f")).select("vec_id", "f.*")
+
+    run.__name__ = f"{name}_features"
+    return query()(run)
+
+
+for _name in features.FAMILIES:
+    _family(_name)
