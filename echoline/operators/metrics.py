@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echoline.operators import ranking
+
 
 def group_medians(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per group: its median score, class and whether it mixes classes."""
@@ -43,18 +45,35 @@ def _histogram(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
 
 
+def _running(h: DataFrame, by: list[str], sums: dict[str, Column], descending: bool = True) -> DataFrame:
+    """Add running sums by falling (or rising) score, each row's own included.
+
+    Without ``by`` one key holds all scores: sums then run inside ranges of 1/4096 of a score and over the ranges'
+    totals, so that no task sees all distinct scores.
+    """
+    order = F.desc if descending else F.asc
+    if by:
+        w = Window.partitionBy(*by).orderBy(order("p")).rowsBetween(Window.unboundedPreceding, 0)
+        return h.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+    h = h.withColumn("__range", F.floor(F.col("p") * 4096))
+    earlier = Window.orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = h.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    totals = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
+    w = Window.partitionBy("__range").orderBy(order("p")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = h.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).join(totals, "__range")
+    return inside.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
+
+
 def roc_auc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """Share of (positive, negative) pairs in the right order, ties one half."""
-    below = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    h = _histogram(rows, list(by)).withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    h = _running(_histogram(rows, list(by)), list(by), {"under": F.col("neg")}, descending=False).withColumn("under", F.col("under") - F.col("neg"))
     twice = F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg")))
     return h.groupBy(*by).agg(ratio(twice, 2 * F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 
 
 def average_precision(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """One step per distinct score, from the top."""
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    h = _histogram(rows, list(by)).withColumns({"tp": F.sum("pos").over(down), "n": F.sum(F.col("pos") + F.col("neg")).over(down)})
+    h = _running(_histogram(rows, list(by)), list(by), {"tp": F.col("pos"), "n": F.col("pos") + F.col("neg")})
     ap = ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n")), F.sum("pos"))
     return h.groupBy(*by).agg(F.when((F.sum("neg") > 0) & (F.sum("pos") > 0), ap).alias("pr_auc"))
 
@@ -69,12 +88,13 @@ def pick_threshold(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     ends = h.groupBy(*by).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     outside = ends.select(*by, F.explode(F.array(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("p"), F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
     c = h.unionByName(outside).groupBy(*by, "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    up, every = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by)
-    c = c.withColumns({"tp": F.sum("pos").over(up), "fp": F.sum("neg").over(up)})
-    c = c.withColumns({"fn": F.sum("pos").over(every) - F.col("tp"), "tn": F.sum("neg").over(every) - F.col("fp")})
+    c = _running(c, list(by), {"tp": F.col("pos"), "fp": F.col("neg")})
+    whole = h.groupBy(*by).agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    c = c.join(whole, list(by)) if by else c.crossJoin(F.broadcast(whole))  # one row
+    c = c.withColumns({"fn": F.col("np") - F.col("tp"), "tn": F.col("nn") - F.col("fp")})
     c = c.withColumn("macro_f1", (f1(F.col("tp"), F.col("fp"), F.col("fn")) + f1(F.col("tn"), F.col("fn"), F.col("fp"))) / 2)
-    best = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("macro_f1"), "p"))
-    return c.withColumn("k", best).filter("k = 1").select(*by, F.col("p").alias("threshold"), "macro_f1")
+    best = c.groupBy(*by).agg(F.max(F.struct("macro_f1", (-F.col("p")).alias("low"))).alias("best"))
+    return best.filter("best is not null").select(*by, (-F.col("best.low")).alias("threshold"), F.col("best.macro_f1").alias("macro_f1"))
 
 
 def draws(groups: DataFrame, n_draws: int, seed: str, by: list[str] = ()) -> DataFrame:
@@ -82,12 +102,11 @@ def draws(groups: DataFrame, n_draws: int, seed: str, by: list[str] = ()) -> Dat
 
     The table has draws x groups rows and is joined to groups by rank, never crossed with clips.
     """
-    ranked = groups.select(*by, "group_id").distinct()
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("group_id")) - 1)
+    ranked = ranking.ranked(groups.select(*by, "group_id").distinct(), "group_id", "r", by).withColumn("r", F.col("r") - 1)
     sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     table = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).select(*by, "n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "k")), 1, 12), 16, 10).cast("long")
-    return table.withColumn("r", (number % F.col("n")).cast("int")).join(ranked, [*by, "r"]).select(*by, "draw", "k", "group_id")
+    return table.withColumn("r", number % F.col("n")).join(ranked, [*by, "r"]).select(*by, "draw", "k", "group_id")
 
 
 def bootstrap_auc(groups: DataFrame, drawn: DataFrame) -> DataFrame:

@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from echoline.functions import features
 from echoline.functions import signals as S
-from echoline.operators import audit, metrics, tracking
+from echoline.operators import audit, metrics, ranking, tracking
+from echoline.plans.registry import ORACLES, query, rounded, shared
 from echoline.plans.tables import LINES_SQL, PREDICTIONS_SQL, SIGNALS_SQL, lines, predictions, signals, table, windows, windows_sql
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
-
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) under its name, with its oracle."""
-
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def shared(name: str, sql: str) -> None:
-    """Register SQL that means the same to Spark and to DuckDB; tables are passed as DataFrames, no views are left."""
-
-    def run(spark, sf_dir, sql=sql):
-        used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
-        return spark.sql(sql, **used)
-
-    QUERIES[name], ORACLES[name] = run, sql.replace("{", "").replace("}", "")
-
-
-def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
-    """Sums of doubles differ in the last bits with the order of rows; both engines round them alike."""
-    return df.withColumns({n: F.round(F.col(n), digits) for n in names})
-
 
 # --- tracking ---------------------------------------------------------------------------------------------------
 TRACK = """
@@ -179,7 +149,7 @@ def threshold_pick(spark, sf_dir):
     return metrics.pick_threshold(lines(spark, sf_dir).withColumn("p", F.col("p").cast("double")), ["l_suppkey"])
 
 
-DRAWS = """g AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS r FROM (SELECT DISTINCT group_id FROM pr)), n AS (SELECT count(*) AS n FROM g),
+DRAWS = """g AS (SELECT group_id, row_number() OVER (ORDER BY md5(group_id), group_id) - 1 AS r FROM (SELECT DISTINCT group_id FROM pr)), n AS (SELECT count(*) AS n FROM g),
 d AS (SELECT draw, k, CAST('0x' || substr(md5('s:' || draw || ':' || k), 1, 12) AS BIGINT) % n AS r FROM n, range({draws}) a(draw), range(n) b(k)),
 dr AS (SELECT draw, k, group_id FROM d JOIN g USING (r))"""
 MEDIANS = "m AS (SELECT group_id, median(p) AS p, median(p_b) AS p_b, max(y) AS y FROM pr GROUP BY group_id)"
@@ -251,11 +221,7 @@ SHARED = {
     "run_pairs": "SELECT a.r_name AS a, b.r_name AS b FROM {region} a JOIN {region} b ON a.r_name < b.r_name",
     "latency_summary": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 9) AS mean, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} GROUP BY l_returnflag",
     "fold_audit": f"SELECT fold, count(*) AS n, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM {P} x GROUP BY fold",
-    "best_candidate": "WITH c AS (SELECT o_custkey, avg(o_totalprice) AS s FROM {orders} GROUP BY o_custkey), k AS (SELECT o_custkey, row_number() OVER (ORDER BY s DESC, o_custkey) AS k FROM c) SELECT o_custkey FROM k WHERE k = 1",
-    "batch_composition": f"WITH b AS (SELECT floor((row_number() OVER (ORDER BY md5(CAST(clip_id AS STRING)), clip_id) - 1) / 16) AS batch, y, group_id FROM {P} x) SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n, CAST(sum(y) AS BIGINT) AS positive, count(DISTINCT group_id) AS groups_ FROM b GROUP BY batch",
     "score_spread": f"SELECT count(*) AS n, max(abs(p - p_b)) AS largest, CAST(sum(CASE WHEN abs(p - p_b) > 0.000001 THEN 1 ELSE 0 END) AS BIGINT) AS over_, CAST(sum(CASE WHEN (p >= 0.5) <> (p_b >= 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS flips FROM {P} x",
-    "stratified_folds": f"WITH g AS (SELECT DISTINCT group_id, y FROM {P} x), k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(concat('seed:', group_id))) AS k FROM g) SELECT group_id, y, (k - 1) % 3 AS cv_fold FROM k",
-    "shuffled_labels": f"WITH g AS (SELECT DISTINCT group_id, y FROM {P} x), a AS (SELECT group_id, row_number() OVER (ORDER BY group_id) AS k FROM g), b AS (SELECT y, row_number() OVER (ORDER BY md5(concat('shuffle:', group_id))) AS k FROM g) SELECT a.group_id, b.y AS shuffled FROM a JOIN b ON a.k = b.k",
     "fold_validation": f"SELECT group_id, count(DISTINCT fold) AS folds, count(DISTINCT y) AS labels_ FROM {P} x GROUP BY group_id",
     "incident_counters": "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type",
     "decision_table": f"SELECT fold, CASE WHEN sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) = 0 THEN '—' ELSE CAST(CAST(floor(100.0 * sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) / sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END)) AS INT) AS STRING) END AS precision_text FROM {P} x GROUP BY fold",
@@ -276,6 +242,36 @@ for _name in ("missing_ids", "coverage_restriction"):
 ORACLES["stable_ids"] = ORACLES["stable_ids"].replace("sha2(", "sha256(").replace(", 256)", ")")
 
 
+# --- ranks over all rows, spread over tasks -----------------------------------------------------------------------
+@query(f"""WITH b AS (SELECT (row_number() OVER (ORDER BY md5(CAST(clip_id AS VARCHAR)), clip_id) - 1) // 16 AS batch, y, group_id FROM {PREDICTIONS_SQL})
+SELECT batch, count(*) AS n, CAST(sum(y) AS BIGINT) AS positive, count(DISTINCT group_id) AS groups_ FROM b GROUP BY batch""")
+def batch_composition(spark, sf_dir):
+    b = ranking.ranked(predictions(spark, sf_dir), "clip_id", "k").withColumn("batch", F.floor((F.col("k") - 1) / 16))
+    return b.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"), F.countDistinct("group_id").alias("groups_"))
+
+
+@query(f"SELECT group_id, y, (row_number() OVER (PARTITION BY y ORDER BY md5(concat('seed:', group_id)), group_id) - 1) % 3 AS cv_fold FROM (SELECT DISTINCT group_id, y FROM {PREDICTIONS_SQL})")
+def stratified_folds(spark, sf_dir):
+    return ranking.grouped_folds(predictions(spark, sf_dir), 3, "seed")
+
+
+@query(f"""WITH g AS (SELECT DISTINCT group_id, y FROM {PREDICTIONS_SQL}), a AS (SELECT group_id, row_number() OVER (ORDER BY md5(group_id), group_id) AS k FROM g),
+b AS (SELECT y, row_number() OVER (ORDER BY md5(concat('shuffle:', group_id)), group_id) AS k FROM g) SELECT a.group_id, b.y AS shuffled FROM a JOIN b USING (k)""")
+def shuffled_labels(spark, sf_dir):
+    return ranking.shuffled_labels(predictions(spark, sf_dir), "shuffle")
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY avg(o_totalprice) DESC, o_custkey LIMIT 1")
+def best_candidate(spark, sf_dir):
+    mean = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("s"))
+    return mean.orderBy(F.desc("s"), "o_custkey").limit(1).select("o_custkey")
+
+
+@query(f"WITH x AS (SELECT 1 AS one, y, p FROM {PREDICTIONS_SQL}), {AUC.format(by='one')} SELECT roc_auc FROM auc")
+def overall_auc(spark, sf_dir):
+    return metrics.roc_auc(predictions(spark, sf_dir))
+
+
 @query(f"""SELECT e.event_id, o.o_orderkey AS latest FROM (SELECT event_id, event_id % 1000 AS k FROM events) e ASOF LEFT JOIN (SELECT o_orderkey, o_orderkey AS k FROM orders) o ON e.k >= o.k""")
 def asof_join(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("k"), F.lit(None).cast("long").alias("v"))

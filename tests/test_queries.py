@@ -1,6 +1,6 @@
 import pytest
 
-from echoline.plans import queries as q
+from echoline.plans import catalogue as q
 from tests.oracle import expected, rows
 
 SF = "/root/testdata/sf0.001"
