@@ -48,3 +48,28 @@ def forbid(rows: DataFrame, names: tuple[str, ...] = FORBIDDEN) -> DataFrame:
     if found:
         raise ValueError("forbidden columns: " + ", ".join(found))
     return rows
+
+
+def within_capacity(rows: DataFrame, key: str, keys: int, per_key: int) -> DataFrame:
+    """Checks that there are at most so many keys, and so many rows of each; nothing is dropped."""
+    counts = rows.groupBy(key).count()
+    many = check(counts, "rows_per_key", F.col("count") > per_key)
+    return many.unionByName(counts.agg(F.count(F.lit(1)).alias("coverage")).select(
+        F.lit("keys").alias("name"), (F.col("coverage") <= keys).alias("passed"), "coverage", F.greatest(F.lit(0).cast("long"), F.col("coverage") - keys).alias("failures")
+    ))
+
+
+def same_values(declared: DataFrame, computed: DataFrame, key: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """Check of a report against its recomputation: each key on both sides, values equal within a tolerance or both null."""
+    a, b = declared.select(key, F.col(value).alias("__a"), F.lit(True).alias("__da")), computed.select(key, F.col(value).alias("__b"), F.lit(True).alias("__db"))
+    both = a.join(b, key, "full_outer")
+    close = F.when(F.col("__a").isNull() | F.col("__b").isNull(), F.col("__a").isNull() & F.col("__b").isNull()).otherwise(F.abs(F.col("__a") - F.col("__b")) <= tolerance)
+    return check(both, f"same_{value}", F.col("__da").isNull() | F.col("__db").isNull() | ~close)
+
+
+def exhaustive_pairs(log: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
+    """Check that an overlap log (query, record) has every query with every record, once: counts per query, no product."""
+    n = records.select("record").distinct().count()
+    known = log.join(records.select("record").distinct(), "record", "left_semi")
+    per = queries.select("query").distinct().join(known.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record").alias("d")), "query", "left")
+    return check(per, "every_pair_once", ~((F.col("n") == n) & (F.col("d") == n)) | F.col("n").isNull())

@@ -71,6 +71,13 @@ def previews(changes: DataFrame) -> DataFrame:
     return changes.select("session", "event", "kind", text.alias("message"), F.lit(False).alias("sent"))
 
 
+def quiet_end(history: Column, low=config.CLOSE_AT, close_run=config.CLOSE_RUN) -> Column:
+    """Whether the last ``close_run`` scores are all low."""
+    enough = F.size(history) >= close_run
+    # The slice must not start before the array.
+    return enough & F.forall(F.slice(history, F.greatest(F.lit(1), F.size(history) - close_run + 1), F.lit(close_run)), lambda p: p <= low)
+
+
 def facts(history: Column, high=config.OPEN_AT, low=config.CLOSE_AT, close_run=config.CLOSE_RUN, persist_over=config.PERSIST_OVER) -> Column:
     """Runs, current and longest high run, high total and pattern of an array of scores, as a struct."""
     zero = F.struct(*[F.lit(0).alias(c) for c in ("runs", "current", "longest", "total")])
@@ -84,13 +91,27 @@ def facts(history: Column, high=config.OPEN_AT, low=config.CLOSE_AT, close_run=c
         )
 
     counted = F.aggregate(history, zero, step)
-    quiet_end = (F.size(history) >= close_run) & F.forall(F.slice(history, -close_run, close_run), lambda p: p <= low)
+    quiet = quiet_end(history, low, close_run)
 
     def named(c: Column) -> Column:
         pattern = (
-            F.when(c["current"] > persist_over, "persistent").when((c["total"] > 0) & quiet_end, "ended")
+            F.when(c["current"] > persist_over, "persistent").when((c["total"] > 0) & quiet, "ended")
             .when(c["runs"] > 1, "intermittent").when(c["total"] > 0, "brief").otherwise("quiet")
         )
         return F.struct(*[c[x].alias(x) for x in ("runs", "current", "longest", "total")], pattern.alias("pattern"))
 
     return F.transform(F.array(counted), named)[0]
+
+
+def anomaly_runs(rows: DataFrame, factor: float = 1.6, longest: int = 481) -> DataFrame:
+    """Add to (session, seq, value, baseline) whether a reading is anomalous and the run of such readings up to it."""
+    odd = rows.withColumn("brk", F.lit(False)).withColumn("anomalous", F.col("value") > factor * F.col("baseline"))
+    runs = run_length(odd, "run", F.col("anomalous"))
+    return runs.withColumn("run", F.least(F.col("run"), F.lit(longest))).drop("brk")
+
+
+def sliding(rows: DataFrame, value: str, width: int) -> DataFrame:
+    """Mean and population variance of the last ``width`` rows of a session, null until there are so many."""
+    w = Window.partitionBy("session").orderBy("seq").rowsBetween(1 - width, 0)
+    full = F.count(F.lit(1)).over(w) == width
+    return rows.withColumns({"mean": F.when(full, F.avg(value).over(w)), "variance": F.when(full, F.var_pop(value).over(w))})

@@ -8,10 +8,10 @@ from echoline.functions import display as D
 from echoline.functions import narration as N
 from echoline.functions import series, stress
 from echoline.functions import signals as S
-from echoline.operators import metrics, overlap, resampling
+from echoline.operators import audit, metrics, overlap, resampling, tracking
 from echoline.plans.queries import AUC, DRAWS, MEDIANS
 from echoline.plans.registry import query, rounded
-from echoline.plans.tables import PREDICTIONS_SQL, SIGNALS_SQL, predictions, signals, table
+from echoline.plans.tables import PREDICTIONS_SQL, SIGNALS_SQL, predictions, signals, table, windows, windows_sql
 from echoline.sources import manifests
 from echoline.streaming import incidents, replay
 
@@ -212,3 +212,46 @@ def session_health(spark, sf_dir):
     last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("received"))
     now = last.agg(F.max("received")).first()[0]
     return incidents.health(last, now, 3600.0).select("session", "health")
+
+
+# --- runs of readings and audits ------------------------------------------------------------------------------------
+@query(f"""WITH w AS (SELECT session, seq, p AS value FROM {windows_sql()}), b AS (SELECT session, quantile_cont(value, 0.25) AS baseline FROM w GROUP BY session),
+a AS (SELECT session, seq, value > 1.6 * baseline AS anomalous FROM w JOIN b USING (session)), i AS (SELECT *, sum(CAST(NOT anomalous AS INT)) OVER (PARTITION BY session ORDER BY seq ROWS UNBOUNDED PRECEDING) AS i FROM a),
+r AS (SELECT session, seq, least(sum(CAST(anomalous AS INT)) OVER (PARTITION BY session, i ORDER BY seq ROWS UNBOUNDED PRECEDING), 481) AS run FROM i)
+SELECT session, seq, CAST(run AS BIGINT) AS run, CASE WHEN run < 2 THEN 'healthy' WHEN run > 4 THEN 'confirmed' ELSE 'under observation' END AS status FROM r""")
+def anomaly_status(spark, sf_dir):
+    w = windows(spark, sf_dir).withColumnRenamed("p", "value")
+    based = w.join(w.groupBy("session").agg(F.expr("percentile(value, 0.25)").alias("baseline")), "session")
+    runs = tracking.anomaly_runs(based)
+    return runs.select("session", "seq", "run", D.status(F.col("run"), F.col("run") > 4).alias("status"))
+
+
+@query(f"""SELECT session, seq, round(CASE WHEN count(*) OVER w = 10 THEN avg(p) OVER w END, 11) AS mean, round(CASE WHEN count(*) OVER w = 10 THEN var_pop(p) OVER w END, 11) AS variance FROM {windows_sql()} r WINDOW w AS (PARTITION BY session ORDER BY seq ROWS 9 PRECEDING)""")
+def sliding_moments(spark, sf_dir):
+    return rounded(tracking.sliding(windows(spark, sf_dir), "p", 10).select("session", "seq", "mean", "variance"), "mean", "variance", digits=11)
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) SELECT 'rows_per_key' AS name, count(*) FILTER (n > 100) = 0 AS passed, count(*) AS coverage, count(*) FILTER (n > 100) AS failures FROM c
+UNION ALL SELECT 'keys', count(*) <= 32, count(*), greatest(0, count(*) - 32) FROM c""")
+def capacity(spark, sf_dir):
+    return audit.within_capacity(table(spark, sf_dir, "events"), "user_id", 32, 100)
+
+
+@query(f"""WITH f AS (SELECT fold, avg((p - y) * (p - y)) AS v FROM {PREDICTIONS_SQL} GROUP BY fold), g AS (SELECT fold, avg((p_b - y) * (p_b - y)) AS v FROM {PREDICTIONS_SQL} GROUP BY fold)
+SELECT 'same_brier' AS name, count(*) FILTER (abs(f.v - g.v) > 0.05) = 0 AS passed, count(*) AS coverage, count(*) FILTER (abs(f.v - g.v) > 0.05) AS failures FROM f JOIN g USING (fold)""")
+def report_audit(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    return audit.same_values(metrics.brier(rows, ["fold"]), metrics.brier(rows.withColumn("p", F.col("p_b")), ["fold"]), "fold", "brier", 0.05)
+
+
+@query(f"SELECT clip_id, p AS leak, 1 - p AS no_leak FROM {PREDICTIONS_SQL}")
+def class_scores(spark, sf_dir):
+    m = predictions(spark, sf_dir).select("clip_id", N.class_scores(F.col("p")).alias("m"))
+    return m.select("clip_id", F.col("m.leak").alias("leak"), F.col("m.no_leak").alias("no_leak"))
+
+
+@query(f"""WITH w AS (SELECT session, list(p ORDER BY seq) AS h FROM {windows_sql()} GROUP BY session), r AS (SELECT session, h, list_reverse(h) AS b FROM w)
+SELECT session, len(h) >= 5 AND list_max(h[-5:]) <= 0.4 AS quiet_end, len(b) >= 5 AND list_max(b[-5:]) <= 0.4 AS quiet_start FROM r""")
+def quiet_ends(spark, sf_dir):
+    h = windows(spark, sf_dir).groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "p"))), lambda s: s["p"]).alias("h"))
+    return h.select("session", tracking.quiet_end(F.col("h")).alias("quiet_end"), tracking.quiet_end(F.reverse("h")).alias("quiet_start"))

@@ -7,25 +7,31 @@ The batch counterpart is ``echoline.operators.tracking``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 from echoline.functions import config
 
 ROWS = "session string, seq long, end double, received double, digest string, p double, problem string"
 OUTCOMES = "session string, seq long, outcome string, reason string, kind string, event long, observed long, high long, interrupted boolean"
-STATE = "seq long, end double, received double, digest string, degraded boolean, rising long, falling long, active boolean, event long, observed long, high long, current long, interrupted boolean, persisted boolean"
+STATE = "seq long, end double, received double, digest string, degraded boolean, rising long, falling long, active boolean, event long, observed long, high long, current long, interrupted boolean, persisted boolean, finished boolean"
 FIELDS = [x.split(" ")[0] for x in STATE.split(", ")]
-START = (-1, None, None, None, False, 0, 0, False, 0, 0, 0, 0, False, False)
+START = (-1, None, None, None, False, 0, 0, False, 0, 0, 0, 0, False, False, False)
 MAX_GAP, AHEAD, CADENCE = 2.0, 0.25, 0.01
+#: The ``problem`` of a row that ends its session: an open event stops with its coverage interrupted.
+END_OF_SESSION = "end of session"
 
 
 def refused(s: dict, r) -> str | None:
     """Why a row can't be taken, or None; "duplicate" for an exact repetition of the last row."""
     if r.seq == s["seq"]:
         return "duplicate" if r.end == s["end"] and r.digest == s["digest"] else "conflict"
+    if s["finished"]:
+        return "session has ended"
     if r.seq < s["seq"]:
         return "old"
     if r.end > r.received + AHEAD:
@@ -42,6 +48,10 @@ def refused(s: dict, r) -> str | None:
 def advance(s: dict, r) -> str | None:
     """Move the state by an accepted row; the kind of transition, or None."""
     problem = pd.isna(r.p)
+    if problem and r.problem == END_OF_SESSION:
+        stopped = s["active"]
+        s.update(seq=r.seq, end=r.end, received=r.received, digest=r.digest, finished=True, active=False, interrupted=s["interrupted"] or stopped)
+        return "stopped" if stopped else None
     late = s["received"] is not None and r.received - s["received"] > MAX_GAP
     if r.seq > s["seq"] + 1 or s["degraded"] or late or problem:
         s["rising"] = s["falling"] = s["current"] = 0
@@ -80,7 +90,7 @@ def _session(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFra
             out.append((key[0], r.seq, "duplicate" if reason == "duplicate" else "rejected", None if reason == "duplicate" else reason, None, None, None, None, None))
             continue
         kind = advance(s, r)
-        inside = s["active"] or kind == "ended"
+        inside = s["active"] or kind in ("ended", "stopped")
         out.append((key[0], r.seq, "accepted", None, kind, *([s["event"], s["observed"], s["high"], s["interrupted"]] if inside else [None] * 4)))
     state.update(tuple(s[f] for f in FIELDS))
     frame = pd.DataFrame(out, columns=[x.split(" ")[0] for x in OUTCOMES.split(", ")])
@@ -92,6 +102,21 @@ def track_stream(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session").applyInPandasWithState(_session, OUTCOMES, STATE, "append", "NoTimeout")
 
 
+def lock_policy(spark: SparkSession, path: str) -> None:
+    """Write the tracking policy to ``path`` once; later runs over the same state must have the same policy."""
+    names = ("OPEN_AT", "OPEN_RUN", "CLOSE_AT", "CLOSE_RUN", "PERSIST_OVER", "HISTORY")
+    policy = json.dumps({n: getattr(config, n) for n in names} | {"MAX_GAP": MAX_GAP, "AHEAD": AHEAD, "CADENCE": CADENCE}, sort_keys=True)
+    try:
+        known = spark.read.text(path, wholetext=True).first()[0].strip()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        spark.createDataFrame([(policy,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+        return
+    if known != policy:
+        raise ValueError("the policy differs from the one of this state; use a new checkpoint")
+
+
 def outbox(outcomes: DataFrame, path: str):
     """``foreachBatch`` sink: transitions as Parquet, one folder per batch, so that a repeated batch replaces itself.
 

@@ -92,3 +92,28 @@ def test_rms_normalised_and_correlation(spark):
     r = df.select(S.rms_normalised(F.col("a")).alias("n"), S.pearson(F.col("a"), F.col("b")).alias("r"), S.pearson(F.col("a"), F.col("c")).alias("z"), S.rms_normalised(F.col("c")).alias("c")).first()
     assert sum(r["n"]) == pytest.approx(0) and sum(v * v for v in r["n"]) / 4 == pytest.approx(1)
     assert r["r"] == pytest.approx(-1) and r["z"] is None and r["c"] == [0.0] * 4
+
+
+def test_reports_pairs_and_capacity(spark):
+    made = lambda rows: spark.createDataFrame(rows, "k string, v double")
+    r = audit.same_values(made([("a", 1.0), ("b", None), ("c", 1.0), ("d", 2.0)]), made([("a", 1.0), ("b", None), ("c", None), ("e", 2.0)]), "k", "v").first()
+    assert (r["coverage"], r["failures"]) == (5, 3)
+    q, rec = spark.createDataFrame([("q",), ("p",)], "query string"), spark.createDataFrame([("r",), ("s",)], "record string")
+    log = lambda *pairs: spark.createDataFrame(pairs, "query string, record string")
+    assert audit.exhaustive_pairs(log(("q", "r"), ("q", "s"), ("p", "r"), ("p", "s")), q, rec).first()["passed"]
+    assert audit.exhaustive_pairs(log(("q", "r"), ("q", "r"), ("p", "r"), ("p", "x")), q, rec).first()["failures"] == 2
+    assert audit.exhaustive_pairs(log(("q", "r"), ("q", "s")), q, rec).first()["failures"] == 1
+    got = {r["name"]: (r["passed"], r["failures"]) for r in audit.within_capacity(made([("a", 1.0), ("a", 2.0), ("b", 1.0)]), "k", 1, 1).collect()}
+    assert got == {"rows_per_key": (False, 1), "keys": (False, 1)}
+
+
+def test_ranks_over_buckets_equal_a_sort(spark):
+    import hashlib
+
+    from echoline.operators import ranking
+
+    keys = [f"k{i}" for i in range(500)]
+    df = spark.createDataFrame([(k, i % 3) for i, k in enumerate(keys)], "key string, y int")
+    got = {r["key"]: r["k"] for r in ranking.ranked(df, "key", "k", seed="s:").collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys, key=lambda k: hashlib.md5(f"s:{k}".encode()).hexdigest()))}
+    assert ranking.ranked(df, "key", "k", ["y"]).groupBy("y").agg(F.max("k")).orderBy("y").collect() == [(0, 167), (1, 167), (2, 166)]

@@ -95,3 +95,20 @@ def test_feature_families(spark):
     envelope -= envelope.mean()
     full = np.correlate(envelope, envelope, "full")[7999:] / np.arange(8000, 0, -1)
     assert got[0]["dynamics"]["envelope_peak"] == pytest.approx(full[32:2000].max() / full[0])
+
+
+def test_end_of_session_stops_an_open_event():
+    s = dict(zip(tracker.FIELDS, tracker.START))
+    take = lambda w: tracker.refused(s, pd.Series(w)) or tracker.advance(s, pd.Series(w))
+    assert [take(window(i, 0.9)) for i in range(3)][-1] == "opened"
+    last = window(3, None, problem=tracker.END_OF_SESSION)
+    assert take(last) == "stopped" and s["interrupted"] and not s["active"]
+    assert take(last) == "duplicate" and take(window(4, 0.9)) == "session has ended"
+
+
+def test_policy_is_locked(spark, tmp_path, monkeypatch):
+    tracker.lock_policy(spark, f"{tmp_path}/policy")
+    tracker.lock_policy(spark, f"{tmp_path}/policy")
+    monkeypatch.setattr(tracker.config, "OPEN_AT", 0.7)
+    with pytest.raises(ValueError, match="policy"):
+        tracker.lock_policy(spark, f"{tmp_path}/policy")
