@@ -38,9 +38,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, and how many words each text has. ``known``: powers to reuse."""
-    power, back = known if known is not None and len(known[0]) > len(data) else powers(len(data) + 1)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' folded bytes, and where each word starts and ends."""
     folded = FOLD[data]
     on = folded != 0
     start = on.copy()
@@ -51,9 +50,19 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, known: tuple[np.ndarray,
     start[inner] |= on[inner]  # a text's first word doesn't go on from the text before
     before = inner[inner > 0] - 1
     end[before] |= on[before]
-    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(folded * power[: len(data)], out=sums[1:])
+    return folded, np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, and how many words each text has. ``known``: powers to reuse."""
+    return hashed(*word_spans(data, offsets), offsets, known)
+
+
+def hashed(folded: np.ndarray, s: np.ndarray, e: np.ndarray, offsets: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of the words from ``s`` to ``e``."""
+    power, back = known if known is not None and len(known[0]) > len(folded) else powers(len(folded) + 1)
+    sums = np.zeros(len(folded) + 1, np.uint64)
+    np.cumsum(folded * power[: len(folded)], out=sums[1:])
     h = mix64((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
     counts = np.searchsorted(s, offsets[1:]) - np.searchsorted(s, offsets[:-1])
     return h, counts

@@ -5,7 +5,9 @@ tanh, then a softmax over classes of words and one over the words of a class. A
 the log-probabilities of all its words, each given its neighbours on both sides.
 
 Units are the most frequent words of the whole corpus, counted over all documents, and ``REST`` buckets by hash
-for all others. Training masks one place in ``EVERY`` of every document, chosen by a hash, so that what training
+for all others. A word of a bucket has the bucket's probability times its share of it, from the counts of all
+words; a part of the bucket, as large as that of the words seen once, is for words never seen, spelled at random.
+The tasks know the shares of up to ``LISTED`` words; the counts of all rarer ones are joined. Training masks one place in ``EVERY`` of every document, chosen by a hash, so that what training
 sees grows with the corpus; the masked places are dealt evenly over tasks, each task goes on from the shared
 weights in numpy, and the weights are averaged by Spark, block by block, in ``ROUNDS`` rounds with places of
 their own. Only the model, whose size is fixed, comes to the driver.
@@ -18,7 +20,8 @@ floats in the order tasks deliver them: a rerun may differ in the last digits, s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoline.llm.common import blocks, mix64, text_bytes
-from echoline.llm.decontaminate import powers, word_hashes
+from echoline.llm.decontaminate import hashed, powers, word_spans
 from echoline.session import stored
 
-KNOWN, REST, CLASSES = 960, 64, 32
+KNOWN, REST, CLASSES = 1984, 64, 64
 UNITS = KNOWN + REST
 WIDE = UNITS // CLASSES
 BORDER, REACH, WIDTH = UNITS, 2, 32
@@ -37,15 +40,29 @@ EVERY, ROUNDS, BATCH, HELD, RATE = 8, 3, 512, 1 << 16, 0.1
 #: Bytes of text in a step of the scans, most distinct words a task holds before it hands counts on, words in a step of scoring.
 STEP, DISTINCT, SLICE = 1 << 20, 1 << 18, 8192
 BLOCK = 2048
+#: Most words outside the units whose counts the tasks hold; bytes a word can have, and the chance that a spelling ends.
+LISTED, SIGNS, LAST = 1 << 18, 164, 1 / 8
+
+
+@dataclass
+class Shares:
+    """Counts of words by sorted hash; by bucket, the words in it and the part for unseen words; counts of all words, if some are not listed."""
+
+    hashes: np.ndarray
+    n: np.ndarray
+    total: np.ndarray
+    unseen: np.ndarray
+    counts: DataFrame | None
 
 
 @dataclass
 class Model:
-    """Known words (sorted hashes and their units) and the network's weights by name."""
+    """Known words (sorted hashes and their units), the network's weights by name, and the words' shares of their buckets."""
 
     hashes: np.ndarray
     units: np.ndarray
     weights: dict[str, np.ndarray]
+    shares: Shares | None = None
 
 
 SHAPES = {"near": (2 * REACH, UNITS + 1, WIDTH), "bias": (WIDTH,), "kind": (CLASSES, WIDTH), "kind_bias": (CLASSES,), "word": (CLASSES, WIDE, WIDTH), "word_bias": (CLASSES, WIDE)}
@@ -66,7 +83,7 @@ def packed(weights: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, schema: str, tell):
-    """Map steps of documents: ``tell(batch, i, j, hashes, counts)`` yields Arrow batches; ``tell(None, ...)`` ends a task."""
+    """Map steps of documents: ``tell(batch, i, j, hashes, counts, sizes)`` yields Arrow batches; ``tell(None, ...)`` ends a task."""
 
     def run(batches):
         known = powers(STEP + 1)
@@ -74,8 +91,10 @@ def _scan(docs: DataFrame, schema: str, tell):
         for b in batches:
             data, offsets = text_bytes(b.column("text"))
             for i, j in blocks(offsets, STEP):
-                yield from told(b, i, j, *word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known))
-        yield from told(None, 0, 0, None, None)
+                at = offsets[i : j + 1] - offsets[i]
+                folded, s, e = word_spans(data[offsets[i] : offsets[j]], at)
+                yield from told(b, i, j, *hashed(folded, s, e, at, known), e - s)
+        yield from told(None, 0, 0, None, None, None)
 
     return docs.mapInArrow(run, schema)
 
@@ -92,7 +111,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             own, back = np.unique(h, return_inverse=True)
             return own, np.bincount(back, weights=n, minlength=len(own)).astype(np.int64)
 
-        def step(batch, i, j, hashes, counts):
+        def step(batch, i, j, hashes, counts, sizes):
             nonlocal parts, size
             if batch is not None:
                 own = np.unique(hashes, return_counts=True)
@@ -114,7 +133,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _scan(docs.select("text"), "word long, n long", tell).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def untrained(counts: DataFrame, seed: int = 1) -> Model:
+def word_shares(counts: DataFrame, known: np.ndarray, n: np.ndarray, listed: int = LISTED) -> Shares:
+    """Shares of the words outside ``known`` (hashes, with counts ``n``) of their buckets."""
+    total, once = np.zeros(REST), np.zeros(REST)
+    own = counts.groupBy(F.col("word").bitwiseAND(REST - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"))
+    for r in own.collect():
+        total[r["bucket"]], once[r["bucket"]] = r["n"], r["once"]
+    bucket = (known % np.uint64(REST)).astype(np.int64)
+    total -= np.bincount(bucket, weights=n, minlength=REST)
+    once -= np.bincount(bucket, weights=n == 1, minlength=REST)
+    least, room = None, listed + len(known)
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["n"]
+    found = counts.limit(0) if least is None else counts.filter(F.col("n") >= least)
+    found = found.select("word", "n").toArrow()
+    h, m = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return Shares(h[order], m[order], total, np.maximum(once, 1), counts if room < 0 else None)
+
+
+def untrained(counts: DataFrame, seed: int = 1, listed: int = LISTED) -> Model:
     """The most frequent words, most frequent first, and a network that gives each unit its share of the corpus."""
     top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -129,7 +170,7 @@ def untrained(counts: DataFrame, seed: int = 1) -> Model:
     weights["kind_bias"][:], weights["word_bias"][:] = kinds, share - kinds[:, None]
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Model(hashes[order], order.astype(np.int16), weights)
+    return Model(hashes[order], order.astype(np.int16), weights, word_shares(counts, hashes, np.array([r["n"] for r in top], np.int64), listed))
 
 
 def units_of(hashes: np.ndarray, model: Model) -> np.ndarray:
@@ -141,6 +182,26 @@ def units_of(hashes: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
+def in_bucket(hashes: np.ndarray, sizes: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words outside the units: log of their share of the bucket, whether their count is still missing, and log of the part that needs none.
+
+    The share is (n + unseen * spelled) / (total + unseen); where the count is missing, the first result is only
+    the log of the divisor's inverse. The spellings of all words add up to REST, those of a bucket to about 1.
+    """
+    bucket = (hashes % np.uint64(REST)).astype(np.int64)
+    spelled = log(REST * LAST / (1 - LAST)) + sizes * log((1 - LAST) / SIGNS) + np.log(shares.unseen)[bucket]
+    base = -np.log(shares.total + shares.unseen)[bucket]
+    n = np.zeros(len(hashes))
+    if len(shares.hashes):
+        at = np.minimum(np.searchsorted(shares.hashes, hashes), len(shares.hashes) - 1)
+        hit = shares.hashes[at] == hashes
+        n[hit] = shares.n[at[hit]]
+    missing = (n == 0) & (shares.counts is not None)
+    with np.errstate(divide="ignore"):
+        found = base + np.logaddexp(np.log(n), spelled)
+    return np.where(missing, base, found), missing, spelled
+
+
 def bordered(units: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All units with ``REACH`` borders around each text, and the places of the units in it."""
     places = np.arange(len(units)) + REACH * (np.repeat(np.arange(len(counts)), counts) + 1)
@@ -229,16 +290,17 @@ def step(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray], seen: d
 def masked(docs: DataFrame, model: Model) -> DataFrame:
     """(round, places binary): masked places of all documents as int16 rows (neighbours, target), dealt evenly."""
     names = ["round", "places"]
+    own = Model(model.hashes, model.units, model.weights)
 
     def tell():
 
-        def run(batch, i, j, hashes, counts):
+        def run(batch, i, j, hashes, counts, sizes):
             if batch is None or not len(hashes):
                 return
-            row, places = bordered(units_of(hashes, model), counts)
+            row, places = bordered(units_of(hashes, own), counts)
             # The choice depends on the word, its neighbour and its place: copies of a text mask the same places.
-            own = np.arange(len(hashes), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
-            draw = mix64(hashes ^ (own * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(EVERY * ROUNDS)
+            nth = np.arange(len(hashes), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
+            draw = mix64(hashes ^ (nth * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(EVERY * ROUNDS)
             for r in range(ROUNDS):
                 p = places[draw == r]
                 if len(p):
@@ -300,40 +362,67 @@ def trained(places: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.n
     return unpacked(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(means, key=lambda r: r["block"])]))
 
 
-def fit(docs: DataFrame) -> Model:
+def fit(docs: DataFrame, listed: int = LISTED) -> Model:
     """A model of the words of all documents."""
-    model = untrained(stored(word_counts(docs), "lm-counts"))
+    model = untrained(stored(word_counts(docs), "lm-counts"), listed=listed)
     places = stored(masked(docs, model), "lm-places")
     for r in range(ROUNDS):
         model.weights = trained(places.filter(F.col("round") == r).select("places"), model.weights)
     return model
 
 
-SCORES = "doc_id long, n_words long, log_likelihood double"
+SCORES = "doc_id long, n_words long, log_likelihood double, words array<long>, spelled array<double>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per document: doc_id, n_words, log_likelihood (sum over all words) and its mean per word."""
     names = [x.split(" ")[0] for x in SCORES.split(", ")]
+    # The shares go to the tasks without the table of counts.
+    shares = model.shares and replace(model.shares, counts=None if model.shares.counts is None else ())
+    own = Model(model.hashes, model.units, model.weights)
 
     def tell():
-        def run(batch, i, j, hashes, counts):
+        def run(batch, i, j, hashes, counts, sizes):
             if batch is None:
                 return
-            row, places = bordered(units_of(hashes, model), counts)
-            found = np.empty(len(places), np.float32)
+            units = units_of(hashes, own)
+            row, places = bordered(units, counts)
+            found = np.empty(len(places))
             for a in range(0, len(places), SLICE):
                 p = places[a : a + SLICE]
-                found[a : a + SLICE] = log_probabilities(np.stack([row[p + o] for o in OFFSETS]), row[p], model.weights)
-            sums = np.bincount(np.repeat(np.arange(j - i), counts), weights=found, minlength=j - i)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(counts.astype(np.int64)), pa.array(np.round(sums, 3))], names)
+                found[a : a + SLICE] = log_probabilities(np.stack([row[p + o] for o in OFFSETS]), row[p], own.weights)
+            doc = np.repeat(np.arange(j - i), counts)
+            at, spelled = np.zeros(0, np.int64), np.zeros(0)
+            if shares is not None:
+                at = np.flatnonzero(units >= KNOWN)
+                share, missing, spelled = in_bucket(hashes[at], sizes[at], shares)
+                found[at] += share
+                at, spelled = at[missing], spelled[missing]
+            sums = np.bincount(doc, weights=found, minlength=j - i)
+            ends = pa.array(np.searchsorted(doc[at], np.arange(j - i + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (hashes[at].view(np.int64), spelled)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(counts.astype(np.int64)), pa.array(sums), *lists], names)
 
         return run
 
     out = _scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), SCORES, tell)
+    if shares is not None and shares.counts is not None:
+        out = _with_rare(out, model.shares.counts)
+    out = out.select("doc_id", "n_words", F.round("log_likelihood", 3).alias("log_likelihood"))
     return out.withColumn("mean_log_likelihood", F.try_divide("log_likelihood", "n_words"))
 
 
+def _with_rare(scored: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add to each row's sum the logs of (n + spelled) of its ``words``, which are joined with the counts of all words."""
+    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "spelled")).alias("x")).select("row", "x.words", "x.spelled")
+    met = rare.join(counts, rare["words"] == counts["word"], "left")
+    part = F.when(F.col("n") > 0, F.log(F.col("n") + F.exp("spelled"))).otherwise(F.col("spelled"))
+    sums = met.groupBy("row").agg(F.sum(part).alias("rest"))
+    out = scored.drop("words", "spelled").join(sums, "row", "left")
+    return out.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rest", F.lit(0.0)))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Fit on all documents and score each of them."""
     return score(docs, fit(docs))
