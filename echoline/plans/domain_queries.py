@@ -65,12 +65,12 @@ def signal_digests(spark, sf_dir):
 
 
 # --- overlaps -------------------------------------------------------------------------------------------------------
-@query(f"""WITH q AS (SELECT vec_id, x[1:16] AS s FROM {SIGNALS_SQL} WHERE vec_id % 80 = 0), r AS (SELECT record, samples, unnest(range(len(samples) - 15)) AS o FROM {RECORDINGS_SQL}),
-w AS (SELECT record, o, samples[o + 1:o + 16] AS s FROM r), p AS (SELECT vec_id, record, o, unnest(q.s) AS a, unnest(w.s) AS b FROM q CROSS JOIN w),
+@query(f"""WITH q AS (SELECT vec_id, x AS s FROM {SIGNALS_SQL} WHERE vec_id % 20 = 0), r AS (SELECT record, samples, unnest(range(len(samples) - 63)) AS o FROM {RECORDINGS_SQL}),
+w AS (SELECT record, o, samples[o + 1:o + 64] AS s FROM r), p AS (SELECT vec_id, record, o, unnest(q.s) AS a, unnest(w.s) AS b FROM q CROSS JOIN w),
 c AS (SELECT vec_id, record, o, corr(a, b) AS c FROM p GROUP BY ALL)
 SELECT CAST(vec_id AS VARCHAR) AS query, CAST(record AS VARCHAR) AS record, arg_max(o, abs(c)) AS "offset", round(arg_max(c, abs(c)), 6) AS correlation FROM c GROUP BY ALL""")
 def sliding_overlap(spark, sf_dir):
-    q = signals(spark, sf_dir).filter("vec_id % 80 = 0").select(F.col("vec_id").cast("string").alias("query"), F.slice("x", 1, 16).alias("samples"))
+    q = signals(spark, sf_dir).filter("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("query"), F.col("x").alias("samples"))
     r = recordings(spark, sf_dir).select(F.col("record").cast("string").alias("record"), "samples")
     return rounded(overlap.sliding_overlap(q, r).select("query", "record", "offset", "correlation"), "correlation", digits=6)
 

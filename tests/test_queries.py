@@ -1,6 +1,9 @@
+import numpy as np
 import pytest
 
 from echoline.plans import catalogue as q
+from echoline.plans.domain_queries import recordings
+from echoline.plans.tables import signals
 from tests.oracle import expected, rows
 
 SF = "/root/testdata/sf0.001"
@@ -27,3 +30,16 @@ def test_entry_and_names(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sliding_overlap_takes_whole_signals(spark):
+    """Every twentieth signal with all its samples, against brute force."""
+    x = {r["vec_id"]: np.array(r["x"]) for r in signals(spark, SF).collect()}
+    records = {str(r["record"]): np.array(r["samples"]) for r in recordings(spark, SF).collect()}
+    got = {(r["query"], r["record"]): r for r in q.QUERIES["sliding_overlap"](spark, SF).collect()}
+    assert set(got) == {(str(i), r) for i in x if i % 20 == 0 for r in records}
+    for (i, record), r in got.items():
+        a, w = x[int(i)], np.lib.stride_tricks.sliding_window_view(records[record], len(x[int(i)]))
+        a, w = a - a.mean(), w - w.mean(axis=1, keepdims=True)
+        c = w @ a / np.sqrt((w * w).sum(axis=1) * (a @ a))
+        assert len(a) == 64 and r["offset"] == np.abs(c).argmax() and r["correlation"] == pytest.approx(c[r["offset"]], abs=2e-6)
