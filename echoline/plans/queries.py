@@ -285,15 +285,16 @@ def asof_join(spark, sf_dir):
     return filled.filter("event_id is not null").select("event_id", "latest")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS u, b.l_suppkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 7),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS u, b.l_suppkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, root) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON r.node = s.u)
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
     from echoline.operators.components import components
 
-    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    a, b = x.filter("l_linenumber = 1"), x.filter("l_linenumber = 7")
-    e = a.alias("a").join(b.alias("b"), "l_orderkey").filter("a.l_suppkey < b.l_suppkey").select(F.col("a.l_suppkey").alias("a"), F.col("b.l_suppkey").alias("b"))
+    # All suppliers of an order hang on its least one: as many edges as lines, and the components of all pairs.
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("b"))
+    least = x.groupBy("l_orderkey").agg(F.min("b").alias("a"))
+    e = x.join(least, "l_orderkey").filter("a < b").select("a", "b").distinct()
     return components(e)
 
 

@@ -43,3 +43,18 @@ def test_sliding_overlap_takes_whole_signals(spark):
         a, w = a - a.mean(), w - w.mean(axis=1, keepdims=True)
         c = w @ a / np.sqrt((w * w).sum(axis=1) * (a @ a))
         assert len(a) == 64 and r["offset"] == np.abs(c).argmax() and r["correlation"] == pytest.approx(c[r["offset"]], abs=2e-6)
+
+
+def test_components_come_from_every_line(spark, tmp_path):
+    """Orders of any number of lines, and of lines in any place, tie their suppliers; against brute force."""
+    orders = [[3, 9], [9, 4, 12], [5], [7, 7], [20, 21, 22, 23, 24, 25, 26], [26, 30], [40, 41], [41, 2]]
+    data = [(i, s, n + 1) for i, o in enumerate(orders) for n, s in enumerate(o)] + [(None, 50, 1), (None, 51, 2), (90, None, 1), (90, 3, 2)]
+    spark.createDataFrame(data, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {s: s for o in orders for s in o}
+    for _ in root:
+        for o in orders:
+            least = min(root[s] for s in o)
+            root |= dict.fromkeys(o, least)
+    tied = {s for o in orders if len(set(o)) > 1 for s in o}
+    got = q.QUERIES["connected_components"](spark, str(tmp_path)).collect()
+    assert {(r["node"], r["root"]) for r in got} == {(s, root[s]) for s in tied} and len(got) == len(tied)
