@@ -66,3 +66,17 @@ def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     right = found.withColumnsRenamed({"doc_id": "__id", "th": "__of"})
     out = left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["__th"] == right["__of"]), how)
     return out.drop("__id", "__of")
+
+
+def spread(rows: DataFrame, keys: DataFrame, on: str, n: str, by: str, how: str = "inner", parts: int = 64, most: int = 10_000, least: int = 1000) -> DataFrame:
+    """Join ``rows`` to ``keys`` (one row per ``on``; ``n``: how many rows have it), hot keys over ``parts`` tasks each.
+
+    A key is hot from a ``most``-th of all rows on, and from ``least`` rows: so there are at most ``most`` hot keys, and
+    their list may be broadcast. Rows of a hot key are dealt by a hash of ``by``; its row in ``keys`` goes to every part.
+    """
+    total = keys.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = F.col(n) > max(least, total // most)
+    marks = F.broadcast(keys.filter(hot).select(F.col(on), F.lit(True).alias("__hot")))
+    left = rows.join(marks, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by), F.lit(parts))).otherwise(F.lit(0).cast("long"))).drop("__hot")
+    right = keys.withColumn("__salt", F.explode(F.when(hot, F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop(n)
+    return left.join(right, [on, "__salt"], how).drop("__salt")

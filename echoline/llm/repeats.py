@@ -3,14 +3,19 @@
 A byte goes if a string of ``span`` bytes over it also starts elsewhere. Every window of ``span`` bytes picks an
 anchor, the leftmost least hash of its grams, so equal windows pick equal anchors; the windows of an anchor form
 a segment of under 2 * span bytes, and each window lies in exactly one segment. Segments whose anchor occurs
-once are unique and go no further; equal segments are repeats as they stand. What is left, distinct segments
-that share an anchor, is indexed: a task builds a suffix order over a bounded batch of whole anchor groups, its
-Burrows-Wheeler transform as runs, and samples of the matching length at the run ends; lengths between
-samples follow by streaming through the text, one less per byte. Lengths of ``span`` or more mark repeats.
+once are unique and go no further; equal segments are gathered to one with their number. The distinct segments
+of whole anchor groups make up a batch of bounded size, and each batch gets a ``RunIndex``: its Burrows-Wheeler
+transform as runs of letters, with text places sampled at the runs' ends only. The segments are streamed against
+the index from right to left: the row follows the runs, the neighbours' places follow with it and a match grows
+by one, until a run ends; there a sample names the neighbour and the texts are compared. Matches of ``span`` or
+more with another place mark repeats.
 
-An anchor with more than ``LIMIT`` distinct segments is split: windows are dealt by their offset from the anchor
-into ever narrower classes, whose common core is the new key, down to single windows, which are simply counted.
-No group outgrows a task, and nothing is capped.
+An anchor with more than ``LIMIT`` distinct segments is split, exactly: windows are dealt by their offset from the
+anchor into ever narrower classes, whose common core is the new key, down to single windows, which are counted.
+No group outgrows a task, and nothing is capped. Joins on an anchor or a segment deal hot keys over many tasks.
+
+``shared_words`` tells of shorter passages too: winnowed grams of 26 words that also stand elsewhere. A passage of
+50 words that repeats always has one; a repeat of under 26 words never has.
 
 Cases: a null text is empty; texts shorter than ``span`` keep everything; a row that occurs twice repeats itself;
 other rows with its doc_id are documents of their own; an empty table gives no rows; other columns are ignored.
@@ -20,6 +25,7 @@ Documents are told apart by a 64-bit hash of id and text.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import mix64, text_bytes
+from echoline.llm.common import blocks, mix64, spread, text_bytes
+from echoline.llm.decontaminate import gram_hashes, powers, winnow, word_hashes
 from echoline.session import stored
 
-SPAN, GRAM, LIMIT, BATCH = 400, 16, 1500, 1 << 18
+SPAN, GRAM, LIMIT, BATCH = 400, 16, 500, 1 << 19
 WIDTHS = (64, 8, 1)
+#: A number under one of these has as many leading bytes 0 as that one's place says, counted from 1.
+FIRST_BYTES = np.array([1 << (64 - 8 * s) for s in range(1, 8)], np.uint64)
+#: A repeated passage of so many words shows by a gram of so many.
+PASSAGE, SHARED = 50, 26
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -123,19 +134,18 @@ def _segments(span: int):
     return run
 
 
-def _ranks(words: np.ndarray, left: np.ndarray, owner: np.ndarray, longest: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
-    """Ranks of all places by their first 6, 18, ... bytes up to ``longest``, and the order by the last.
+def _order(words: np.ndarray, left: np.ndarray, owner: np.ndarray, longest: int) -> np.ndarray:
+    """Places of the text in the order of their suffixes, sorted by 6 bytes, 18, 54 and so on up to ``longest``.
 
-    Segment ends count as distinct signs in the order of the segments, so that the order is total and no match
-    passes an end: within 6 bytes of one (``left``: bytes before it) the segment stands in place of what follows.
-    Three ranks fit one key of the next sort, since a batch has under 2**21 places.
+    Segment ends count as distinct signs, above all bytes, in the order of the segments, so that the order is total
+    and no match passes an end: within 6 bytes of one (``left``: bytes before it) the segment stands in place of
+    what follows. Three ranks fit one key of the next sort, since a batch has under 2**21 places.
     """
     n = len(words)
     near = left < 6
     gone = np.uint64(8) * (np.uint64(8) - np.where(near, left, 6).astype(np.uint64))
     high = np.uint64(0xFFFFFFFFFFFFFFFF)
     first = words & np.where(gone >= 64, np.uint64(0), high << np.minimum(gone, np.uint64(63)))
-    # The end itself sorts above all bytes of a text.
     first |= np.where(near, np.uint64(0xFF) << np.minimum(np.uint64(56) - np.minimum(left, 6).astype(np.uint64) * np.uint64(8), np.uint64(56)), np.uint64(0))
     first |= np.where(near, (owner + 1).astype(np.uint64), np.uint64(0))
 
@@ -147,8 +157,8 @@ def _ranks(words: np.ndarray, left: np.ndarray, owner: np.ndarray, longest: int)
         return out, order
 
     rank, order = dense(first)
-    levels, reach, shift = [(6, rank)], 6, np.int64(n.bit_length())
-    while reach < longest:
+    reach, shift = 6, np.int64(n.bit_length())
+    while reach < longest and rank.max() < n - 1:
         times = 2 if 2 * reach >= longest else 3
         key = rank.copy()
         for k in range(1, times):
@@ -156,63 +166,122 @@ def _ranks(words: np.ndarray, left: np.ndarray, owner: np.ndarray, longest: int)
             key[: max(0, n - k * reach)] |= rank[k * reach :] + 1
         reach *= times
         rank, order = dense(key)
-        levels.append((reach, rank))
-    return levels, order
+    return order
 
 
-def matching(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Matching statistics of segments against each other: the longest match that starts at each place and elsewhere.
+@dataclass
+class RunIndex:
+    """Run-length Burrows-Wheeler transform of segments, each followed by an end, with samples at the runs' ends.
 
-    Only the run ends of the Burrows-Wheeler transform, and the segments' starts, are compared; from one of
-    them to the next the length falls by one per place.
+    Run j fills the rows ``start[j]`` to ``stop[j]``: it is found by counting, in ``bits``, the runs that start up to a
+    row, from ``counts`` at each 64th row on. Its letter is ``letters[j]``. Its first row leads to row ``to[j]``, the others
+    to the rows after it. In the order of where runs lead, ``above[j]`` is the text place sampled in the last row of
+    the run before j and ``below[j]`` that in the first row of the run after j; ``same_above`` and ``same_below`` tell
+    whether those runs have the same letter.
     """
-    n = len(text)
-    words = _words(np.r_[text, np.zeros(7, np.uint8)])
-    owner = np.repeat(np.arange(len(starts)), ends + 1 - starts)
-    left = ends[owner] - np.arange(n)
-    levels, order = _ranks(words, left, owner, int((ends - starts).max()) + 1)
-    before = text[order - 1]
-    new_run = np.r_[True, before[1:] != before[:-1]]
-    row = np.empty(n, np.int32)
-    row[order] = np.arange(n, dtype=np.int32)
-
-    def common(a, b):
-        first, most, (a, b) = a, np.minimum(left[a], left[b]), (a.copy(), b.copy())
-        for size, rank in reversed(levels):
-            for _ in range(2):
-                ok = np.flatnonzero(np.maximum(a, b) + size <= n)
-                ok = ok[rank[a[ok]] == rank[b[ok]]]
-                a[ok] += size
-                b[ok] += size
-        x = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
-        tail = np.zeros(len(a), np.int64)
-        for s in range(1, 6):
-            tail += x >> np.uint64(64 - 8 * s) == 0
-        return np.minimum(a - first + tail, most)
-
-    best = np.zeros(n, np.int64)
-    forced = np.zeros(n, bool)
-    forced[starts] = True
-    for shift in (-1, 1):
-        sampled = forced.copy()
-        sampled[order[new_run if shift < 0 else np.r_[new_run[1:], True]]] = True
-        p = np.flatnonzero(sampled)
-        other = row[p] + shift
-        ok = (other >= 0) & (other < n)
-        value = np.zeros(len(p), np.int64)
-        value[ok] = common(p[ok], order[other[ok]])
-        best = np.maximum(best, np.repeat(value + p, np.diff(np.r_[p, n])) - np.arange(n))
-    return best
-
-
-def marked(segments: list[bytes], span: int) -> list[tuple[int, int, int]]:
-    """(segment, start, end) of the runs of bytes whose windows also start elsewhere among the segments."""
-    text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)
-    sizes = np.array([len(s) for s in segments])
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)
-    hit = np.flatnonzero((matching(text, starts, ends) >= span) & (np.arange(len(text)) + span <= ends[owner]))
+
+    text: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    letters: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    bits: np.ndarray
+    counts: np.ndarray
+    to: np.ndarray
+    above: np.ndarray
+    below: np.ndarray
+    same_above: np.ndarray
+    same_below: np.ndarray
+    highest: int
+
+    @classmethod
+    def of(cls, segments: list[bytes]) -> RunIndex:
+        text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8)
+        sizes = np.array([len(s) for s in segments])
+        ends = np.cumsum(sizes + 1) - 1
+        n, m = len(text), len(segments)
+        owner = np.repeat(np.arange(m), sizes + 1)
+        order = _order(_words(np.r_[text, np.zeros(7, np.uint8)]), ends[owner] - np.arange(n), owner, int(sizes.max()) + 1)
+        before = text[order - 1]
+        first = np.zeros(-(-n // 64) * 64, bool)
+        first[:n] = np.r_[True, before[1:] != before[:-1]]
+        start, bits = np.flatnonzero(first), np.packbits(first, bitorder="little").view("<u8")
+        counts = np.cumsum(np.r_[0, np.bitwise_count(bits[:-1])], dtype=np.int64)
+        stop = np.r_[start[1:], n] - 1
+        letters, by = before[start], np.argsort(before[start], kind="stable")
+        length, to = (stop - start + 1)[by], np.empty(len(start), np.int64)
+        to[by] = np.cumsum(length) - length
+        above, below = np.full(len(by), -1), np.full(len(by), -1)
+        above[by[1:]], below[by[:-1]] = order[stop[by[:-1]]], order[start[by[1:]]]
+        same_above, same_below = np.zeros(len(by), bool), np.zeros(len(by), bool)
+        same_above[by[1:]] = same_below[by[:-1]] = letters[by[1:]] == letters[by[:-1]]
+        # The row after the last letter is the first end.
+        last = np.flatnonzero(letters[by] < 0xFF)[-1:]
+        below[by[last]] = ends[0] + 1
+        return cls(text, ends - sizes, ends, letters, start, stop, bits, counts, to, above, below, same_above, same_below, int(order[n - m - 1]) if n > m else -1)
+
+    def longest(self, wanted: np.ndarray, span: int) -> np.ndarray:
+        """Matching statistics of the ``wanted`` segments: at each of their places, the longest match that also starts elsewhere, told exactly up to ``span``.
+
+        All segments are streamed at once, one letter a step, from their ends to their starts. Only rows at the end
+        of a run compare texts, eight bytes at a time; all others take the length of the step before and one more.
+        """
+        n, m = len(self.text), len(self.ends)
+        words = _words(np.r_[self.text, np.zeros(7, np.uint8)])
+        left = self.ends[np.repeat(np.arange(m), self.ends + 1 - self.starts)] - np.arange(n)
+        best = np.zeros(n, np.int64)
+        size = (self.ends - self.starts)[wanted]
+        seg = wanted[np.argsort(-size, kind="stable")]
+        size = (self.ends - self.starts)[seg]
+        active = np.searchsorted(-size, -np.arange(1, size.max(initial=0) + 1), "right")
+
+        def common(a, b):
+            most = np.minimum(np.minimum(left[a], left[b]), span)
+            got, on = np.zeros(len(a), np.int64), np.flatnonzero(most > 0)
+            while len(on):
+                x = words[a[on] + got[on]] ^ words[b[on] + got[on]]
+                step = np.full(len(on), 8)
+                differ = np.flatnonzero(x)
+                y = x[differ]
+                step[differ] = (y[:, None] < FIRST_BYTES).sum(axis=1)
+                got[on] += step
+                on = on[(x == 0) & (got[on] < most[on])]
+            return np.minimum(got, most)
+
+        # An end's own row, and the places of its neighbours, which share nothing with it.
+        row, p = n - m + seg, self.ends[seg].copy()
+        up = np.where(seg > 0, self.ends[seg - 1], self.highest)
+        down = np.where(seg < m - 1, self.ends[np.minimum(seg + 1, m - 1)], -1)
+        match_up, match_down = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
+        for k in active:
+            r = row[:k]
+            j = self.counts[r >> 6] + np.bitwise_count(self.bits[r >> 6] << (63 - (r & 63)).astype(np.uint64)) - 1
+            for at_end, place, match, sample, same in (
+                (r == self.start[j], up, match_up, self.above, self.same_above), (r == self.stop[j], down, match_down, self.below, self.same_below)):
+                place[:k] -= 1
+                match[:k] += 1
+                edge = np.flatnonzero(at_end)
+                if len(edge):
+                    other = sample[j[edge]]
+                    place[edge] = other - 1
+                    match[edge] = 0
+                    ok = same[j[edge]]
+                    if ok.any():
+                        match[edge[ok]] = 1 + common(p[edge[ok]], other[ok])
+            row[:k] = self.to[j] + r - self.start[j]
+            p[:k] -= 1
+            best[p[:k]] = np.maximum(match_up[:k], match_down[:k])
+        return best
+
+
+def marked(segments: list[bytes], span: int, wanted: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(segment, start, end) of the runs of bytes whose windows also start elsewhere among the segments; ``wanted``: segments to ask about."""
+    index = RunIndex.of(segments)
+    starts, ends = index.starts, index.ends
+    owner = np.repeat(np.arange(len(segments)), ends + 1 - starts)
+    best = index.longest(np.arange(len(segments)) if wanted is None else wanted, span)
+    hit = np.flatnonzero((best >= span) & (np.arange(len(best)) + span <= ends[owner]))
     if not len(hit):
         return []
     seg, at = owner[hit], hit - starts[owner[hit]]
@@ -228,7 +297,9 @@ def _indexed(span: int):
     """Arrow function over rows (key, rid, start, n, bytes) sorted by key: repeats inside whole anchor groups."""
 
     def told(rows):
-        out = [(rows[i][1], rows[i][2] + a, rows[i][2] + b) for i, a, b in marked([r[4] for r in rows], span) if rows[i][3] == 1]
+        # A segment that occurs more than once is known to be a repeat; it only answers.
+        single = np.flatnonzero([r[3] == 1 for r in rows])
+        out = [(rows[i][1], rows[i][2] + a, rows[i][2] + b) for i, a, b in marked([r[4] for r in rows], span, single)] if len(single) else []
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["rid", "start", "end"])
 
     def run(batches):
@@ -236,7 +307,7 @@ def _indexed(span: int):
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "rid", "start", "n", "bytes")), strict=True):
                 if row[0] != key:
-                    if len(group) > 1:
+                    if len(group) > 1 and any(r[3] == 1 for r in group):
                         held += group
                         size += sum(len(r[4]) for r in group)
                         if size >= BATCH:
@@ -282,14 +353,15 @@ def _narrower(span: int, width: int):
 def _settle(rows: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
     """Split segments into spans that are repeats for sure and, per distinct content of an anchor with several
     contents, one representative row with the number of occurrences ``n`` and of contents ``kinds``."""
-    keys = rows.groupBy("key").agg(F.sum("n").alias("all"), F.min("content").alias("lo"), F.max("content").alias("hi")).filter("all > 1")
-    shared = stored(rows.join(keys.select("key", (F.col("lo") != F.col("hi")).alias("several")), "key"), f"{tag}-shared")
-    several = shared.filter("several")
-    contents = several.groupBy("key", "content").agg(F.sum("n").cast("int").alias("times"), F.min("rid").alias("rep"))
-    contents = stored(contents.join(contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")), "key"), f"{tag}-contents")
-    again = several.join(contents.filter("times > 1").select("key", "content"), ["key", "content"], "left_semi")
-    sure = shared.filter("not several").select("rid", "start", "end").unionByName(again.select("rid", "start", "end"))
-    reps = several.join(contents, ["key", "content"]).filter("rid = rep").dropDuplicates(["key", "content"]).drop("n", "several", "rep").withColumnRenamed("times", "n")
+    of_key = [F.sum("n").alias("all"), F.count(F.lit(1)).alias("rows"), (F.min("content") != F.max("content")).alias("several")]
+    keys = stored(rows.groupBy("key").agg(*of_key).filter("all > 1").drop("all"), f"{tag}-keys")
+    shared = stored(spread(rows, keys, "key", "rows", "rid"), f"{tag}-shared")
+    contents = shared.filter("several").groupBy("key", "content").agg(F.sum("n").cast("int").alias("times"), F.count(F.lit(1)).alias("rows"), F.min("rid").alias("rep"))
+    contents = stored(contents, f"{tag}-contents")
+    kinds = contents.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"))
+    known = stored(spread(shared.filter("several").drop("several"), contents.drop("key"), "content", "rows", "rid"), f"{tag}-known")
+    sure = shared.filter("not several").select("rid", "start", "end").unionByName(known.filter("times > 1").select("rid", "start", "end"))
+    reps = known.filter("rid = rep").dropDuplicates(["content"]).drop("n", "rep").withColumnRenamed("times", "n").join(kinds, "key")
     return sure, reps
 
 
@@ -317,17 +389,37 @@ def repeated(docs: DataFrame, span: int = SPAN, limit: int = LIMIT) -> DataFrame
     return out
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def shared_words(docs: DataFrame, passage: int = PASSAGE, k: int = SHARED) -> DataFrame:
+    """(rid, places): where winnowed ``k``-grams of words of rows (rid, text) start that also stand elsewhere."""
+
+    def run(batches):
+        known = powers((1 << 20) + 1)
+        for b in batches:
+            rids, (data, offsets) = b.column("rid").to_numpy(), text_bytes(b.column("text"))
+            for i, j in blocks(offsets, 1 << 20):
+                words, counts = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known)
+                doc = np.repeat(np.arange(j - i), counts)
+                at = winnow(words, doc, passage, k)
+                own = doc[at]
+                place = at - (np.cumsum(counts) - counts)[own]
+                yield pa.RecordBatch.from_arrays([pa.array(gram_hashes(words, k)[at].view(np.int64)), pa.array(rids[i:j][own]), pa.array(place.astype(np.int32))], ["gram", "rid", "place"])
+
+    grams = stored(docs.mapInArrow(run, "gram long, rid long, place int"), "repeat-grams")
+    again = stored(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "repeat-grams-again")
+    return spread(grams, again, "gram", "rows", "rid").groupBy("rid").agg(F.collect_set("place").alias("places"))
+
+
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_words long"
 
 
 def _removed(batches):
-    """Arrow function: (doc_id, text, spans) to the contract's row."""
+    """Arrow function: (doc_id, text, spans, places) to the contract's row and the words of shared grams."""
     names = [x.split(" ")[0] for x in OUT.split(", ")]
     for b in batches:
         data, offsets = text_bytes(b.column("text"))
-        raw, cols = memoryview(data), ([], [], [], [])
-        spans = b.column("spans").to_pylist()
-        for i, j, own in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans, strict=True):
+        raw, cols = memoryview(data), ([], [], [], [], [])
+        spans, places = b.column("spans").to_pylist(), b.column("places").to_pylist()
+        for i, j, own, words in zip(offsets[:-1].tolist(), offsets[1:].tolist(), spans, places, strict=True):
             pairs = np.array([(s["start"], s["end"]) for s in own or []], np.int64).reshape(-1, 2)
             start, end = merged(pairs[:, 0], pairs[:, 1])
             h, at = hashlib.sha256(), i
@@ -335,9 +427,11 @@ def _removed(batches):
                 h.update(raw[at : i + s])
                 at = i + e
             h.update(raw[at:j])
-            for c, x in zip(cols, (j - i, int((end - start).sum()), len(start), h.hexdigest()), strict=True):
+            w = np.array(words or [], np.int64)
+            s, e = merged(w, w + SHARED)
+            for c, x in zip(cols, (j - i, int((end - start).sum()), len(start), h.hexdigest(), int((e - s).sum())), strict=True):
                 c.append(x)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3])], names)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3]), pa.array(cols[4], pa.int64())], names)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -345,7 +439,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, limit: int = LIMIT) -> DataFrame:
-    """One row per document: bytes, removed bytes, maximal removed runs and the digest of what is kept."""
+    """One row per document: bytes, removed bytes, maximal removed runs, the digest of what is kept, and the words of passages that also stand elsewhere."""
     rows = _rows(docs)
-    spans = repeated(rows.select("rid", "text"), span, limit).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return rows.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_removed, OUT)
+    texts = rows.select("rid", "text")
+    spans = repeated(texts, span, limit).groupBy("rid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = rows.join(spans, "rid", "left").join(shared_words(texts), "rid", "left")
+    return out.select("doc_id", "text", "spans", "places").mapInArrow(_removed, OUT)

@@ -104,10 +104,51 @@ def kept(texts, span):
 @pytest.mark.parametrize("limit", [1500, 1])
 def test_repeats(docs, nothing, table, limit):
     want = [(r[0], *k) for r, k in zip(table, kept([r[1] for r in table], 400))]
-    same(repeats.remove_repeats(docs, limit=limit), want)
+    got = repeats.remove_repeats(docs, limit=limit)
+    same(got.drop("n_shared_words"), want)
     assert repeats.remove_repeats(nothing).count() == 0
 
 
+def test_shared_words(spark):
+    """A passage of 50 words that repeats always shows, with at most the words of repeated 26-grams; no other does."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 5)))
+    parts = [[word() for _ in range(n)] for n in (50, 50, 70, 30, 25, 20)]
+    texts = ["", None, "one two", " ".join(parts[2])]
+    for i in range(40):
+        text = [word() for _ in range(rng.randint(0, 90))]
+        for p in rng.sample(parts, rng.randint(0, 2)):
+            text += [*p, *(word() for _ in range(rng.randint(0, 60)))]
+        texts.append(", ".join(text))
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)) for t in texts]
+    seen = {n: Counter(tuple(w[p : p + n]) for w in split for p in range(len(w) - n + 1)) for n in (26, 50)}
+    got = {r["doc_id"]: r["n_shared_words"] for r in repeats.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, w in enumerate(split):
+        covered = {q for p in range(len(w) - 25) if seen[26][tuple(w[p : p + 26])] > 1 for q in range(p, p + 26)}
+        assert got[i] <= len(covered)
+        if any(seen[50][tuple(w[p : p + 50])] > 1 for p in range(len(w) - 49)):
+            assert got[i] >= 26
+    assert sum(x > 0 for x in got.values()) > 10 and sum(x == 0 for x in got.values()) > 10
+
+
+def test_index_follows_runs():
+    """The runs spell the transform of a plain suffix order, and fewer samples than places tell the matches."""
+    rng = random.Random(8)
+    base = bytes(rng.choice(b"abc") for _ in range(500))
+    segments = [base, base[:450] + b"z" + base[451:], base[20:]]
+    index = repeats.RunIndex.of(segments)
+    signs = [c for i, s in enumerate(segments) for c in (*s, 256 + i)]
+    order = sorted(range(len(signs)), key=lambda p: signs[p:])
+    plain = [min(signs[p - 1], 255) for p in order]
+    assert [int(c) for c, a, b in zip(index.letters, index.start, index.stop) for _ in range(a, b + 1)] == plain
+    assert len(index.start) < len(signs) // 2
+    best = index.longest(np.arange(3), 400)
+    for s, a in zip(segments, index.starts):
+        for p in range(0, len(s), 7):
+            most = max(n for n in range(len(s) - p + 1) if sum(t[q : q + n] == s[p : p + n] for t in segments for q in range(len(t) - n + 1)) > 1)
+            assert min(most, 400) == min(best[a + p], 400)
+
+
 def test_marked_equals_brute_force():
     rng = random.Random(1)
     for n, signs in ((3, b"ab"), (40, b"abcdef"), (40, b"a")):
