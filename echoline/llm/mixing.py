@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Points of a golden-ratio sequence go through the cumulative target weights and so deal slots to sources; slots
-are ranked per source, and the r-th slot of a source takes the r-th block of equal token length from its
-shuffled, repeating stream of documents.
+Points of a golden-ratio sequence go through the cumulative target weights: as many points as the corpus has blocks
+of ``block`` words are dealt, and a point is a slot of the source whose part it falls into. Slots are ranked per
+source; the r-th slot of a source takes the r-th block of equal word length from its shuffled stream of documents,
+which goes round up to ``most`` times. So the slots decide what is taken and when: the words of a source are its
+slots times the block, which the sequence keeps near the target, and ``first_slot`` is a document's place in the mix.
 
 Cases: a null or empty text has size 0 and is never taken; a null source is a source of its own, last in
 order; repeated rows each have their own place in the stream; an empty table, or one without words, gives
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoline.llm.common import rows_of, running
+from echoline.llm.common import running
 from echoline.session import stored
 
 #: Golden ratio as a fraction of 2**31, rounded to an odd number.
@@ -23,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """From rows (source, source_size): add weight, target, and ``lo``/``hi``, its part of [0, 1).
+    """From rows (source, source_size): add weight, target, and ``lo``/``hi``, its part of [0, PERIOD).
 
     Weights repeat over sources in code-point order, null last. No target passes ``most`` times its source's
     size; the excess goes to the others by weight. One sorted pass finds that level: in the order of cap per
@@ -46,44 +48,29 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     first = F.min(F.when(F.col("fill") <= F.col("level"), F.struct("k", "fill"))).over(every)
     rows = rows.withColumn("stop", first)
     target = F.when(F.col("k") < F.col("stop.k"), F.col("cap").cast("double")).otherwise(F.least(F.col("stop.fill") * F.col("weight"), F.col("cap").cast("double")))
-    rows = rows.withColumn("target", target)
-    by = Window.orderBy("sid")
-    share = F.try_divide(F.col("target"), F.sum("target").over(every))
-    return rows.select(
-        "source", "sid", "source_size", "weight", "target",
-        F.coalesce(F.sum("target").over(by.rowsBetween(Window.unboundedPreceding, -1)) / F.nullif(F.sum("target").over(every), F.lit(0.0)), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.sum("target").over(by) / F.nullif(F.sum("target").over(every), F.lit(0.0)), F.lit(0.0)).alias("hi"),
-        F.coalesce(share, F.lit(0.0)).alias("share"),
-    )
+    rows = rows.withColumn("target", target).withColumn("goal", F.floor("target").cast("decimal(28,0)"))
+    goals = F.sum("goal").over(Window.orderBy("sid"))
+    edge = lambda x: F.coalesce(F.call_function("div", x * F.lit(PERIOD), F.nullif(F.sum("goal").over(every), F.lit(0))), F.lit(0)).cast("long")
+    return rows.select("source", "sid", "source_size", "weight", "target", edge(goals - F.col("goal")).alias("lo"), edge(goals).alias("hi"))
 
 
 def schedule(sources: DataFrame, block: int, chunk: int = 65536) -> DataFrame:
-    """Slots (sid, rank, t): point t of the sequence belongs to the source whose part of [0, 1) holds it.
+    """Slots (sid, rank, t): point t of the sequence belongs to the source whose part of [0, PERIOD) holds it.
 
-    A source takes slots until its target is met; what the points leave open is closed by slots after them, so
-    every rank below ceil(target / block) occurs once. Points meet sources by an equi-join on cells of [0, 1),
-    four for each source.
+    Points meet sources by an equi-join on cells of [0, PERIOD), four for each source.
     """
     spark = sources.sparkSession
     total, n = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count(F.lit(1))).first()
     cells = 4 * max(1, n)
-    need = sources.select("sid", "lo", "hi", F.ceil(F.floor("target") / block).cast("long").alias("need")).filter("need > 0")
-    parts = need.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1).cast("long")))))
-    points = spark.range(-(-total // block)).select(
-        F.col("id").alias("t"), (F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * GOLDEN, F.lit(PERIOD)) / PERIOD).alias("x")
-    ).withColumn("cell", F.floor(F.col("x") * cells))
-    dealt = points.join(parts, "cell").filter("x >= lo and x < hi").select("sid", "t", F.floor(F.col("t") / chunk).alias("chunk"), F.lit(1).cast("long").alias("one"), "need")
-    ranked = running(dealt, "sid", "chunk", ["t"], "one", "rank").filter("rank < need").select("sid", "rank", "t")
-    got = dealt.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
-    closing = (
-        need.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-        .filter("got < need").select("sid", F.explode(F.sequence("got", F.col("need") - 1)).alias("rank"), F.lit(None).cast("long").alias("t"))
-    )
-    return ranked.unionByName(closing)
+    cell = lambda x: F.floor(x * cells / PERIOD).cast("long")
+    parts = sources.filter("hi > lo").select("sid", "lo", "hi", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"))
+    points = spark.range(-(-total // block)).select(F.col("id").alias("t"), F.pmod(F.pmod(F.col("id"), F.lit(PERIOD)) * GOLDEN, F.lit(PERIOD)).alias("x")).withColumn("cell", cell(F.col("x")))
+    dealt = points.join(parts, "cell").filter("x >= lo and x < hi").select("sid", "t", F.floor(F.col("t") / chunk).alias("chunk"), F.lit(1).cast("long").alias("one"))
+    return running(dealt, "sid", "chunk", ["t"], "one", "rank").select("sid", "rank", "t")
 
 
-def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> DataFrame:
-    """One row per document: size, its source's size and target, and the words that the mix takes of it.
+def takes(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """(documents in their sources' streams, takes): a take is a round of a document (sid, at) with its words taken and first slot.
 
     Documents of a source stand in the order of an MD5 of seed and id. All sums over a source go through hash
     buckets, so that a source with a third of all rows is no task of its own.
@@ -93,29 +80,40 @@ def mix(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1),
     rows = stored(rows, "mix-docs")
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
     known = sources.withColumnRenamed("source", "__source")
-    joined = rows.join(known, rows["source"].eqNullSafe(known["__source"])).drop("__source", "weight", "lo", "hi", "share")
+    joined = rows.join(known, rows["source"].eqNullSafe(known["__source"])).drop("__source", "weight", "lo", "hi")
     joined = joined.withColumn("bucket", F.substring("place", 1, 3))
     streams = stored(running(joined, "sid", "bucket", ["place", "doc_id", "size"], "size", "at"), "mix-streams")
 
-    goal = F.floor("target").cast("long")
-    passes = (
-        streams.filter("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-        .withColumn("from", F.col("pass") * F.col("source_size") + F.col("at"))
-        .withColumn("to", F.least(F.col("from") + F.col("size"), goal)).filter("from < to")
+    rounds = (
+        streams.filter("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+        .withColumn("from", F.col("round") * F.col("source_size") + F.col("at")).withColumn("to", F.col("from") + F.col("size"))
     )
-    pieces = passes.select("sid", "at", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
+    pieces = rounds.select("sid", "at", "round", "from", "to", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))).alias("rank"))
     overlap = F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block)
-    taken = pieces.join(schedule(sources, block), ["sid", "rank"]).groupBy("sid", "at").agg(F.sum(overlap).alias("taken"))
-    out = streams.join(taken.withColumn("size_over_0", F.lit(True)), (streams["sid"] == taken["sid"]) & (streams["at"] == taken["at"]) & (streams["size"] > 0), "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "th")
+    taken = pieces.join(schedule(sources, block), ["sid", "rank"]).groupBy("sid", "at", "round").agg(F.sum(overlap).alias("taken"), F.min("t").alias("slot"))
+    return streams, taken
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """One row per document: size, its source's size and target, the words that the mix takes of it and its first slot."""
+    streams, rounds = takes(docs, **how)
+    taken = rounds.groupBy("sid", "at").agg(F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"))
+    out = streams.join(taken, (streams["sid"] == taken["sid"]) & (streams["at"] == taken["at"]) & (streams["size"] > 0), "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", "first_slot")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its taken words are of its size, rounded; columns untouched."""
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0))).cast("int")).otherwise(0)
-    plan = mix(docs, **how).withColumn("copies", copies).groupBy("doc_id", "th").agg(F.sum("copies").cast("int").alias("__copies")).filter("__copies > 0")
-    rows = rows_of(docs, plan, "inner").dropDuplicates(["doc_id", "__th"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies", "__th")
+    """``docs`` as the mix takes them, in the order of the slots, columns untouched.
+
+    A document comes once for each round in which half of its words or more are taken. Only the last document that a
+    source reaches is taken in part, so no more than half a document of a source is rounded away.
+    """
+    streams, rounds = takes(docs, **how)
+    own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
+    plan = rounds.join(streams.filter("size > 0"), ["sid", "at"]).filter(2 * F.col("taken") >= F.col("size")).select(own("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("slot").alias("__slot"))
+    rows = docs.withColumns({"__id": own("doc_id"), "__th": F.xxhash64("text")}).dropDuplicates(["__id", "__th"])
+    out = rows.join(plan, ["__id", "__th"])
+    return out.repartitionByRange("__slot").sortWithinPartitions("__slot").select(*docs.columns)
 
 
 MIX_SQL = r"""
@@ -133,11 +131,16 @@ b AS (SELECT min(k) AS stop FROM f WHERE fill <= level),
 t AS (SELECT source, sid, source_size,
         CASE WHEN k < stop THEN (3 * source_size)::DOUBLE
              ELSE least((SELECT fill FROM f, b WHERE k = stop) * weight, (3 * source_size)::DOUBLE) END AS target FROM f, b),
-a AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.source,
-        coalesce(sum(size) OVER (PARTITION BY sid ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, source,
-  (SELECT sum(greatest(0, least(p * source_size + pos + size, floor(target)::BIGINT) - least(p * source_size + pos, floor(target)::BIGINT)))
+g AS (SELECT source, sid, source_size, target, (sum(floor(target)::HUGEINT) OVER (ORDER BY sid)) * 2147483648 // nullif(sum(floor(target)::HUGEINT) OVER (), 0) AS hi,
+        (coalesce(sum(floor(target)::HUGEINT) OVER (ORDER BY sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * 2147483648 // nullif(sum(floor(target)::HUGEINT) OVER (), 0) AS lo FROM t),
+x AS (SELECT t, (t % 2147483648) * 1327217885 % 2147483648 AS x FROM range((SELECT ceil(coalesce(sum(source_size), 0) / 64)::BIGINT FROM s)) r(t)),
+z AS (SELECT sid, t, row_number() OVER (PARTITION BY sid ORDER BY t) - 1 AS rank FROM x JOIN g ON x.x >= g.lo AND x.x < g.hi),
+c AS (SELECT sid, count(*) * 64 AS words FROM z GROUP BY sid),
+a AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.source, g.sid, coalesce(c.words, 0) AS words,
+        coalesce(sum(size) OVER (PARTITION BY g.sid ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN c ON c.sid = g.sid)
+SELECT doc_id, size, source_size, target, source, z.t AS first_slot,
+  (SELECT sum(greatest(0, least(p * source_size + pos + size, words) - least(p * source_size + pos, words)))
    FROM (VALUES (0), (1), (2)) v(p))::BIGINT AS taken
-FROM a
+FROM a LEFT JOIN z ON z.sid = a.sid AND z.rank = a.pos // 64 AND a.size > 0
 """
