@@ -530,6 +530,39 @@ def test_warc(spark, tmp_path):
     assert back.filter("record_id is null or meta is null").count() == 0
 
 
+def record(kind, block, *lines, end="\r\n"):
+    return (end.join(["WARC/1.1", f"WARC-Type: {kind}", *lines, f"Content-Length: {len(block)}"]) + end * 2).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path, monkeypatch):
+    """One gzip member per record, one for all, padding, none at all; odd headers, no pages of ours, pieces of any size."""
+    import gzip
+
+    big = b"<p>\r\n\r\n" + random.Random(4).randbytes(3_000_000)
+    records = [
+        record("warcinfo", b"software: x\r\n", "WARC-Record-ID: <urn:i>"),
+        record("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + big, "warc-record-id:<urn:1>", "WARC-Target-URI:http://a/", "X-Long: one", "\ttwo: three"),
+        record("response", b"HTTP/1.0 200 OK\n\nbody", "WARC-RECORD-ID:   <urn:2>"),
+        record("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:1>", "WARC-Record-ID: <urn:3>", end="\n"),
+        record("resource", b"", "WARC-Record-ID: <urn:4>"),
+    ]
+    (tmp_path / "each.warc.gz").write_bytes(b"".join(map(gzip.compress, records)) + bytes(7))
+    (tmp_path / "one.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "nothing.warc").write_bytes(b"")
+    got = warc.read_records(spark, f"file://{tmp_path}", payloads=True).collect()
+    want = [("warcinfo", "<urn:i>", None, None, None), ("response", "<urn:1>", None, "http://a/", big), ("response", "<urn:2>", None, None, b"body"), ("request", "<urn:3>", "<urn:1>", None, None), ("resource", "<urn:4>", None, None, None)]
+    assert Counter((r["type"], r["record_id"], r["concurrent_to"], r["target_uri"], None if r["payload"] is None else bytes(r["payload"])) for r in got) == Counter(want * 3)
+    assert {r["payload_digest"] for r in got if r["record_id"] == "<urn:1>"} == {hashlib.sha256(big).hexdigest()}
+    for size in (1, 7, 100):
+        monkeypatch.setattr(warc, "PIECE", size)
+        data = b"".join(map(gzip.compress, records[2:]))
+        assert [h["warc-type"] for h, _ in warc.parse(warc.inflated(data[i : i + size] for i in range(0, len(data), size)))] == ["response", "request", "resource"]
+    for broken in (data[:-12], b"WARC/1.0\r\nContent-Length: 5\r\n\r\nabc", b"no record\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(warc.inflated([broken])))
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------------
 def brute_jump(key, n):
     b, j = -1, 0
