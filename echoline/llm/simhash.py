@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import blocks, rows_of, text_bytes
+from echoline.llm.common import blocks, rows_of, spread, text_bytes
+from echoline.llm.nearcopies import near_links, sketched
 from echoline.session import stored
 
 M, WIDTH, TAU, LIMIT = 8, 8, 2, 8192
@@ -70,17 +71,26 @@ def simhashes(data: np.ndarray, offsets: np.ndarray, shingle: int = 3, seed: int
     return out
 
 
-def fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, th, fp) of each row; a map over Arrow batches. ``th`` hashes the text, to find the row again."""
+PRINTS = "doc_id long, th long, fp long"
+
+
+def fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42, near: bool = False) -> DataFrame:
+    """(doc_id, th, fp) of each row; a map over Arrow batches. ``th`` hashes the text, to find the row again; ``near`` adds keys and sketches."""
 
     def run(batches):
         for b in batches:
             ids, th, (data, offsets) = b.column("doc_id"), b.column("th"), text_bytes(b.column("text"))
             for i, j in blocks(offsets, 1 << 20):
-                fps = simhashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle, seed)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), th.slice(i, j - i), pa.array(fps.view(np.int64))], ["doc_id", "th", "fp"])
+                part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                out = [ids.slice(i, j - i), th.slice(i, j - i), pa.array(simhashes(*part, shingle, seed).view(np.int64))]
+                names = ["doc_id", "th", "fp"]
+                if near:
+                    out += sketched(*part)
+                    names += ["keys", "sketch"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, fp long")
+    schema = PRINTS + ", keys array<long>, sketch binary" if near else PRINTS
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, schema)
 
 
 def budgets(m: int = M, tau: int = TAU) -> list[tuple[int, int]]:
@@ -192,14 +202,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
-def classes(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, th, fp, root (fingerprint that names the class) and the class's least doc_id."""
-    prints = stored(fingerprint(docs), "simhash")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = components(link(distinct.select("fp"), limit))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lookup = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return prints.join(lookup.select("fp", "root", "component_id"), "fp")
+def classes(docs: DataFrame, limit: int = LIMIT, near: bool = False) -> DataFrame:
+    """One row per document: doc_id, th, fp, root (fingerprint that names the class) and the class's least doc_id.
+
+    ``near`` also links near copies that are further apart than fingerprints tell.
+    """
+    prints = stored(fingerprint(docs, near=near), "simhash")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    edges = link(distinct.select("fp"), limit)
+    if near:
+        edges = edges.unionByName(near_links(prints))
+    roots = components(edges)
+    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    lookup = stored(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "root", "component_id"), "simhash-classes")
+    return spread(prints.select("doc_id", "th", "fp"), lookup, "fp", "n", "doc_id")
 
 
 def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -207,7 +223,10 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     return classes(docs, limit).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one row of each class, that of the least doc_id, every column untouched."""
-    first = classes(docs, limit).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
+def one_of_each(docs: DataFrame, limit: int = LIMIT, near: bool = False) -> DataFrame:
+    """``docs`` with one row of each class, that of the least doc_id, every column untouched.
+
+    With ``near``, texts with a similarity of 0.8 or more are of one class too, wherever their fingerprints lie.
+    """
+    first = classes(docs, limit, near).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
     return rows_of(docs, first, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")

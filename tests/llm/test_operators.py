@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from echoline.llm import chunking, common, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, warc
+from echoline.llm import chunking, common, decontaminate, langid, mixing, nearcopies, pseudolikelihood, repeats, secrets, sharding, simhash, warc
 from tests.oracle import expected, rows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in ("rid", "th", "key", "score", "fp", "n", "taken", "part", "bytes"))
@@ -89,6 +89,30 @@ def test_markov_models_hold_out(spark):
         assert got.agg(F.avg("ok")).first()[0] > 0.95
 
 
+def test_random_spans_in_documents(spark):
+    """Precision and recall of the models' spans: random strings in prose that the fit has not seen, beside long names."""
+    rng = random.Random(11)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    prose = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 2 = 1 and length(text) > 200").select("text").limit(80).collect()]
+    made, where = [], {}
+    for i, t in enumerate(prose):
+        t = re.sub(r"[A-Za-z0-9+/_.=-]{20,}", "x", t)
+        names = " a_long_name_of_parts_for_reading some.package.with.many.parts the-title-of-a-long-page "
+        if i % 2:
+            key = "".join(rng.choice(signs) for _ in range(rng.randint(28, 48)))
+            where[i] = (100 + len(names), 100 + len(names) + len(key))
+            t = t[:100] + names + key + " " + t[100:]
+        else:
+            t = t[:100] + names + t[100:]
+        made.append((i, t))
+    learned = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id % 2 = 0")
+    model = secrets.train(secrets.random_samples(spark).unionByName(secrets.ordinary_samples(learned)))
+    found = [(r["doc_id"], x["start"], x["end"]) for r in secrets.scan(spark.createDataFrame(made, "doc_id long, text string"), model).collect() for x in r["found"] if x["kind"] == "random"]
+    right = {i for i, a, b in found if i in where and a < where[i][1] and b > where[i][0]}
+    assert len(right) / len(where) > 0.9
+    assert sum(i in where and a < where[i][1] and b > where[i][0] for i, a, b in found) / len(found) > 0.9
+
+
 # --- 2 ----------------------------------------------------------------------------------------------------------
 def kept(texts, span):
     raw = [(t or "").encode() for t in texts]
@@ -195,6 +219,41 @@ def test_languages(spark, docs, nothing, table):
     assert hit.agg(F.avg("ok")).first()[0] > 0.97
 
 
+def brute_profile(texts):
+    """N-grams of words with their borders, most frequent first, equal ones by length and code points."""
+    n = Counter()
+    for t in texts:
+        points = [max(ord(c) & 0xFFFF, 1) if c.isalpha() else 0 for c in t.lower()]
+        word = []
+        for p in [*points, 0]:
+            if p:
+                word.append(p)
+            elif word:
+                row = [0, *word, 0]
+                n.update((1, p) for p in word)
+                n.update((2, *row[i : i + 2]) for i in range(len(row) - 1))
+                n.update((3, *row[i : i + 3]) for i in range(len(row) - 2))
+                word = []
+    return sorted(n, key=lambda g: (-n[g], g))[: langid.KEPT]
+
+
+def brute_languages(table):
+    learn = {}
+    for i, t, lang, *_ in table:
+        if i is not None and t is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            learn.setdefault(lang, []).append(t)
+    profiles = {k: {g: i for i, g in enumerate(brute_profile(v))} for k, v in learn.items()}
+    for _, t, *_ in table:
+        own = brute_profile([t or ""])
+        away = sorted((sum(abs(p[g] - i) if g in p else langid.KEPT for i, g in enumerate(own)), lang) for lang, p in profiles.items())
+        yield (away[0][1], 1 - away[0][0] / (langid.KEPT * len(own))) if own else ("und", 0.0)
+
+
+def test_languages_equal_brute_force(docs, table):
+    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in langid.languages(docs).collect())
+    assert got == Counter((r[0], lang, round(score, 9)) for r, (lang, score) in zip(table, brute_languages(table)))
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------------
 def test_decontamination(spark, docs, nothing, table):
     texts = [r[1] for r in table]
@@ -370,6 +429,37 @@ def test_fingerprints(docs, nothing, table, parts):
     assert chunking.fingerprints(nothing, parts).count() == 0
 
 
+def brute_chunks(data):
+    """Byte by byte: digest to length."""
+    out, h, start = {}, 0, 0
+    for i, c in enumerate(data):
+        h = ((h << 1) + int(chunking.GEAR[c])) & 0xFFFFFFFF
+        size = i + 1 - start
+        limit = 0 if size < chunking.LEAST else int(chunking.STRICT) if size <= chunking.NORMAL else int(chunking.LOOSE)
+        if h < limit or size == chunking.MOST or i + 1 == len(data):
+            out[xxhash.xxh3_64_intdigest(data[start : i + 1]) & 0xFFFFFFFFFFFF] = size
+            start = i + 1
+    return out
+
+
+def test_fingerprints_equal_brute_force(docs, table):
+    import base64
+
+    def packed(chunks):
+        return base64.b64encode(b"".join(d.to_bytes(6, "big") + chunks[d].to_bytes(2, "big") for d in sorted(chunks))).decode()
+
+    def inside(a, b):
+        return sum(n for d, n in a.items() if d in b) / sum(a.values()) if a else float(not b)
+
+    order = sorted(table, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    want = []
+    for r, nxt in zip(order, order[1:] + order[:1]):
+        t, x = r[1] or "", nxt[1] or ""
+        own, edited, other = (brute_chunks(v.encode()) for v in (t, t[: len(t) - len(t) // 4] + x[: len(t) // 4], x))
+        want.append((r[0], packed(own), packed(edited), inside(own, edited), inside(own, other)))
+    same(chunking.fingerprints(docs, 3).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), want)
+
+
 def test_chunks_resist_shifts_and_resume():
     rng = random.Random(4)
     a = bytes(rng.choice(b"abcdefgh ") for _ in range(20000))
@@ -600,6 +690,101 @@ def test_running_sums_over_buckets(spark):
         assert r["at"] == sum(v for p, b, o, v in data if p == r["p"] and (b, o) < (r["b"], r["o"]))
 
 
+def jaccard(a, b):
+    grams = []
+    for x in (a, b):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+        grams.append({tuple(w[p : p + 5]) for p in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1]) if grams[0] and grams[1] else 0.0
+
+
+@pytest.mark.parametrize("limit", [nearcopies.LIMIT, 5])
+def test_near_links_find_near_copies(spark, limit):
+    """Pairs with a similarity of 0.8 or more are linked, those far below are not; also where a bucket is dealt anew."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    texts = ["", None, "one two", "one  TWO", "a b c d e"]
+    for n in (30, 80, 150, 400, 900):
+        base = [word() for _ in range(n)]
+        for changed in (0, 1, 2, n // 60, n // 50, n // 8, n // 4):
+            w = list(base)
+            for p in rng.sample(range(n), changed):
+                w[p] = word()
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = simhash.fingerprint(docs, near=True).cache()
+    fp = {r["doc_id"]: r["fp"] for r in prints.collect()}
+    links = {tuple(sorted((r["a"], r["b"]))) for r in nearcopies.near_links(prints, limit).collect()}
+    roots = brute_components_of(links)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    met = [roots.get(fp[i], fp[i]) == roots.get(fp[j], fp[j]) for i, j in near]
+    assert len(near) >= 30 and sum(met) / len(met) >= 0.9
+    far = {tuple(sorted((fp[i], fp[j]))) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) < 0.65}
+    assert not links & far
+
+
+def brute_components_of(links):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {x: find(x) for x in list(root)}
+
+
+def test_stages_on_awkward_rows(spark, docs, nothing, table, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows, clashing names and no rows at all, against brute force."""
+    import corpus_pipeline as c
+
+    spark.createDataFrame([(0, "one two three four"), (1, None), (2, table[41][1][:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench = [("one", "two", "three", "four"), *(tuple(w[p : p + 10]) for w in [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(table[41][1][:200]))] for p in range(len(w) - 9))]
+    stages = dict(c.STAGES)
+    count = lambda df: Counter((r["doc_id"], r["text"], r["source"]) for r in df.collect())
+    for name, stage in c.STAGES:
+        empty = stage(spark, nothing, str(tmp_path))
+        assert empty.count() == 0 and set(docs.columns) <= set(empty.columns), name
+    got = stages["language"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert count(got) == Counter((r[0], r[1], r[3]) for r, (lang, score) in zip(table, brute_languages(table)) if lang != "und" and score >= 0.1)
+    got = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    prints = [brute_simhash(r[1]) for r in table]
+    roots = brute_components(prints)
+    kept_rows = count(got)
+    assert max(kept_rows.values()) == 1
+    classes_kept = Counter(roots[brute_simhash(k[1])] for k in kept_rows)
+    assert max(classes_kept.values()) == 1
+    # A class that is gone has a near copy that stays, directly or over links.
+    for x in {roots[p] for p in prints} - set(classes_kept):
+        own = [r[1] for r, p in zip(table, prints) if roots[p] == x]
+        assert any(jaccard(a, r[1]) >= 0.7 for a in own for r, p in zip(table, prints) if roots[p] != x)
+    got = stages["decontamination"](spark, docs, str(tmp_path))
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+    clean = lambda x: not any(tuple(w[p : p + len(b)]) == b for w in [words(x)] for b in bench for p in range(len(w) - len(b) + 1))
+    assert got.columns == docs.columns and count(got) == Counter((r[0], r[1], r[3]) for r in table if clean(r[1]))
+    got = stages["mix"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    have, most = count(got), Counter((r[0], r[1], r[3]) for r in table)
+    assert all(n <= 3 * most[k] for k, n in have.items())
+    size = lambda x: len(re.findall(r"[^\x20\x09-\x0D]+", x or ""))
+    taken = mixing.mix(docs).groupBy("source").agg(F.sum("taken")).collect()
+    longest = max(size(r[1]) for r in table)
+    for r in taken:
+        assert abs(sum(size(t) * n for (_, t, src), n in have.items() if src == r[0]) - r[1]) <= longest / 2
+    got = stages["shards"](spark, docs, str(tmp_path))
+    assert set(docs.columns) <= set(got.columns) and count(got) == most
+    shard = {r["doc_id"]: r["shard"] for r in sharding.sharded_documents(docs).collect()}
+    seen = {}
+    for r in got.collect():
+        assert r["shard"] == shard[r["doc_id"]]
+        seen.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in seen.values())
+
+
 def test_pipeline(spark):
     import corpus_pipeline as c
 
