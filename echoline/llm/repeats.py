@@ -25,6 +25,7 @@ Documents are told apart by a 64-bit hash of id and text.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -175,9 +176,9 @@ class RunIndex:
 
     Run j fills the rows ``start[j]`` to ``stop[j]``: it is found by counting, in ``bits``, the runs that start up to a
     row, from ``counts`` at each 64th row on. Its letter is ``letters[j]``. Its first row leads to row ``to[j]``, the others
-    to the rows after it. In the order of where runs lead, ``above[j]`` is the text place sampled in the last row of
-    the run before j and ``below[j]`` that in the first row of the run after j; ``same_above`` and ``same_below`` tell
-    whether those runs have the same letter.
+    to the rows after it. In the order of where runs lead, ``samples[j]`` is the text place of the last row of the run
+    before j and, in the second half, that of the first row of the run after j; ``same`` tells whether those runs have
+    the same letter.
     """
 
     text: np.ndarray
@@ -189,10 +190,8 @@ class RunIndex:
     bits: np.ndarray
     counts: np.ndarray
     to: np.ndarray
-    above: np.ndarray
-    below: np.ndarray
-    same_above: np.ndarray
-    same_below: np.ndarray
+    samples: np.ndarray
+    same: np.ndarray
     highest: int
 
     @classmethod
@@ -219,7 +218,7 @@ class RunIndex:
         # The row after the last letter is the first end.
         last = np.flatnonzero(letters[by] < 0xFF)[-1:]
         below[by[last]] = ends[0] + 1
-        return cls(text, ends - sizes, ends, letters, start, stop, bits, counts, to, above, below, same_above, same_below, int(order[n - m - 1]) if n > m else -1)
+        return cls(text, ends - sizes, ends, letters, start, stop, bits, counts, to, np.concatenate([above, below]), np.concatenate([same_above, same_below]), int(order[n - m - 1]) if n > m else -1)
 
     def longest(self, wanted: np.ndarray, span: int) -> np.ndarray:
         """Matching statistics of the ``wanted`` segments: at each of their places, the longest match that also starts elsewhere, told exactly up to ``span``.
@@ -249,29 +248,28 @@ class RunIndex:
                 on = on[(x == 0) & (got[on] < most[on])]
             return np.minimum(got, most)
 
-        # An end's own row, and the places of its neighbours, which share nothing with it.
-        row, p = n - m + seg, self.ends[seg].copy()
-        up = np.where(seg > 0, self.ends[seg - 1], self.highest)
-        down = np.where(seg < m - 1, self.ends[np.minimum(seg + 1, m - 1)], -1)
-        match_up, match_down = np.zeros(len(seg), np.int64), np.zeros(len(seg), np.int64)
-        for k in active:
-            r = row[:k]
-            j = self.counts[r >> 6] + np.bitwise_count(self.bits[r >> 6] << (63 - (r & 63)).astype(np.uint64)) - 1
-            for at_end, place, match, sample, same in (
-                (r == self.start[j], up, match_up, self.above, self.same_above), (r == self.stop[j], down, match_down, self.below, self.same_below)):
-                place[:k] -= 1
-                match[:k] += 1
-                edge = np.flatnonzero(at_end)
-                if len(edge):
-                    other = sample[j[edge]]
-                    place[edge] = other - 1
-                    match[edge] = 0
-                    ok = same[j[edge]]
-                    if ok.any():
-                        match[edge[ok]] = 1 + common(p[edge[ok]], other[ok])
-            row[:k] = self.to[j] + r - self.start[j]
-            p[:k] -= 1
-            best[p[:k]] = np.maximum(match_up[:k], match_down[:k])
+        # An end's own row, and the places of its neighbours above (first half) and below, which share nothing with it.
+        row, p, k = n - m + seg, self.ends[seg].copy(), len(seg)
+        place = np.concatenate([np.where(seg > 0, self.ends[seg - 1], self.highest), np.where(seg < m - 1, self.ends[np.minimum(seg + 1, m - 1)], -1)])
+        match = np.zeros(2 * k, np.int64)
+        for still in active:
+            if still < k:
+                place, match = (np.concatenate([x[:still], x[k : k + still]]) for x in (place, match))
+                row, p, k = row[:still], p[:still], still
+            j = self.counts[row >> 6] + np.bitwise_count(self.bits[row >> 6] << (63 - (row & 63)).astype(np.uint64)) - 1
+            place -= 1
+            match += 1
+            away = row - self.start[j]
+            up, down = np.flatnonzero(away == 0), np.flatnonzero(row == self.stop[j])
+            edge, run = np.concatenate([up, down + k]), np.concatenate([j[up], j[down] + len(self.start)])
+            other = self.samples[run]
+            place[edge] = other - 1
+            match[edge] = 0
+            ok = np.flatnonzero(self.same[run])
+            match[edge[ok]] = 1 + common(p[edge[ok] % k], other[ok])
+            row = self.to[j] + away
+            p = p - 1
+            best[p] = np.maximum(match[:k], match[k:])
         return best
 
 
@@ -293,30 +291,42 @@ def marked(segments: list[bytes], span: int, wanted: np.ndarray | None = None) -
 SPANS = "rid long, start int, end int"
 
 
+def _likely(group: list[tuple], span: int) -> list[tuple]:
+    """Rows (key, rid, start, n, at, bytes) of an anchor group that can share a window with another row.
+
+    A window has half of what it holds beside the anchor's gram on one of its sides at least, so rows that share
+    neither that stretch before the anchor nor that after it share no window.
+    """
+    half = (span - GRAM) // 2
+    sides = [(r[5][r[4] - half : r[4] + GRAM] if r[4] >= half else None, r[5][r[4] : r[4] + GRAM + half]) for r in group]
+    before, after = Counter(x for x, _ in sides), Counter(x for _, x in sides)
+    kept = [r for r, (x, y) in zip(group, sides, strict=True) if (x is not None and before[x] > 1) or (len(y) == GRAM + half and after[y] > 1)]
+    return kept if any(r[3] == 1 for r in kept) else []
+
+
 def _indexed(span: int):
-    """Arrow function over rows (key, rid, start, n, bytes) sorted by key: repeats inside whole anchor groups."""
+    """Arrow function over rows (key, rid, start, n, at, bytes) sorted by key: repeats inside whole anchor groups."""
 
     def told(rows):
         # A segment that occurs more than once is known to be a repeat; it only answers.
         single = np.flatnonzero([r[3] == 1 for r in rows])
-        out = [(rows[i][1], rows[i][2] + a, rows[i][2] + b) for i, a, b in marked([r[4] for r in rows], span, single)] if len(single) else []
+        out = [(rows[i][1], rows[i][2] + a, rows[i][2] + b) for i, a, b in marked([r[5] for r in rows], span, single)]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["rid", "start", "end"])
 
     def run(batches):
         held, size, group, key = [], 0, [], None
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "rid", "start", "n", "bytes")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "rid", "start", "n", "at", "bytes")), strict=True):
                 if row[0] != key:
-                    if len(group) > 1 and any(r[3] == 1 for r in group):
-                        held += group
-                        size += sum(len(r[4]) for r in group)
-                        if size >= BATCH:
-                            yield told(held)
-                            held, size = [], 0
+                    rows = _likely(group, span)
+                    held += rows
+                    size += sum(len(r[5]) for r in rows)
+                    if size >= BATCH:
+                        yield told(held)
+                        held, size = [], 0
                     group, key = [], row[0]
                 group.append(row)
-        if len(group) > 1:
-            held += group
+        held += _likely(group, span)
         if held:
             yield told(held)
 
@@ -374,7 +384,7 @@ def repeated(docs: DataFrame, span: int = SPAN, limit: int = LIMIT) -> DataFrame
     cut = F.transform("parts", lambda p: F.struct(*[p[c].alias(c) for c in ("start", "end", "at", "key", "content", "n", "kinds")], F.substring(F.col("text").cast("binary"), p["start"] + 1, p["end"] - p["start"]).alias("bytes")))
     rows = stored(docs.join(wanted, "rid").dropDuplicates(["rid"]).select("rid", F.inline(cut)), "repeat-bytes")
     for level, width in enumerate((*WIDTHS, 0)):
-        cold = rows.filter(F.col("kinds") <= limit).select("key", "rid", "start", "n", "bytes")
+        cold = rows.filter(F.col("kinds") <= limit).select("key", "rid", "start", "n", "at", "bytes")
         spans.append(cold.repartition("key").sortWithinPartitions("key").mapInArrow(_indexed(span), SPANS))
         hot = rows.filter(F.col("kinds") > limit)
         if not width or hot.isEmpty():
