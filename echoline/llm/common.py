@@ -29,6 +29,10 @@ def running(df: DataFrame, part: str, bucket: str, order: list[str], value: str,
     )
 
 
+#: Bytes of text that a scan takes at a time: intermediate arrays are many times as large.
+STEP = 1 << 18
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column as (UTF-8 bytes, offsets of n + 1), nulls as empty texts; no copy when there are no nulls."""
     column = column.cast(pa.large_string())

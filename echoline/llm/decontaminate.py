@@ -13,12 +13,14 @@ empty benchmark leaves all documents clean; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import blocks, mix64, rows_of, text_bytes
+from echoline.llm.common import STEP, blocks, mix64, rows_of, text_bytes
 from echoline.session import stored
 
 #: Most hashes that go to the tasks as a filter before the join (8 bytes each); beyond it the join does it alone.
@@ -31,6 +33,7 @@ FOLD = np.zeros(256, np.uint8)
 FOLD[48:58], FOLD[97:123], FOLD[65:91], FOLD[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 
 
+@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of R and of its inverse, modulo 2**64."""
     up, down = np.full(n, R, np.uint64), np.full(n, R_INV, np.uint64)
@@ -118,10 +121,10 @@ def fingerprints(span: int, k: int, lengths: list[int], keep: np.ndarray | None)
         return keep[np.minimum(np.searchsorted(keep, g), len(keep) - 1)] == g
 
     def run(batches):
-        known = powers((1 << 20) + 1)
+        known = powers(STEP + 1)
         for b in batches:
             rid, (data, offsets) = b.column("rid").to_numpy(zero_copy_only=False), text_bytes(b.column("text"))
-            for i, j in blocks(offsets, 1 << 20):
+            for i, j in blocks(offsets, STEP):
                 words, counts = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known)
                 doc = np.repeat(np.arange(j - i), counts)
                 first = np.cumsum(counts) - counts

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import blocks, mix64, spread, text_bytes
+from echoline.llm.common import STEP, blocks, mix64, spread, text_bytes
 from echoline.llm.decontaminate import gram_hashes, powers, winnow, word_hashes
 from echoline.session import stored
 
@@ -403,10 +403,10 @@ def shared_words(docs: DataFrame, passage: int = PASSAGE, k: int = SHARED) -> Da
     """(rid, places): where winnowed ``k``-grams of words of rows (rid, text) start that also stand elsewhere."""
 
     def run(batches):
-        known = powers((1 << 20) + 1)
+        known = powers(STEP + 1)
         for b in batches:
             rids, (data, offsets) = b.column("rid").to_numpy(), text_bytes(b.column("text"))
-            for i, j in blocks(offsets, 1 << 20):
+            for i, j in blocks(offsets, STEP):
                 words, counts = word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], known)
                 doc = np.repeat(np.arange(j - i), counts)
                 at = winnow(words, doc, passage, k)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echoline.llm.common import blocks, rows_of, spread, text_bytes
+from echoline.llm.common import STEP, blocks, rows_of, spread, text_bytes
 from echoline.llm.nearcopies import near_links, sketched
 from echoline.session import stored
 
@@ -80,7 +80,7 @@ def fingerprint(docs: DataFrame, shingle: int = 3, seed: int = 42, near: bool =
     def run(batches):
         for b in batches:
             ids, th, (data, offsets) = b.column("doc_id"), b.column("th"), text_bytes(b.column("text"))
-            for i, j in blocks(offsets, 1 << 20):
+            for i, j in blocks(offsets, STEP):
                 part = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 out = [ids.slice(i, j - i), th.slice(i, j - i), pa.array(simhashes(*part, shingle, seed).view(np.int64))]
                 names = ["doc_id", "th", "fp"]
