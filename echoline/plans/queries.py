@@ -277,7 +277,10 @@ def asof_join(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("k"), F.lit(None).cast("long").alias("v"))
     o = table(spark, sf_dir, "orders").select(F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderkey").cast("long").alias("v"))
     # The union in key order carries the latest order to each event, bucket by bucket; a bucket starts with the last key of those before it.
-    rows = e.unionByName(o).withColumn("b", F.floor(F.col("k") / 4096))
+    # 256 buckets of equal width span the events' keys; orders above them all meet no event.
+    low, high = e.agg(F.min("k"), F.max("k")).first()
+    width = max(1, ((high or 0) - (low or 0)) // 256)
+    rows = e.unionByName(o.filter(F.col("k") <= (high or 0))).withColumn("b", F.floor(F.greatest(F.col("k") - (low or 0), F.lit(-1)) / width))
     tops = rows.groupBy("b").agg(F.max("v").alias("top"))
     tops = tops.select("b", F.max("top").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
     w = Window.partitionBy("b").orderBy("k", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
