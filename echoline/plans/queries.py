@@ -194,52 +194,29 @@ def score_inspection(spark, sf_dir):
 # --- relational operators whose SQL both engines share ------------------------------------------------------------
 P = PREDICTIONS_SQL.replace("documents d", "{documents} d").replace("labels l ", "{labels} l ")
 SHARED = {
-    "fold_filter": f"SELECT clip_id, y, p FROM {P} x WHERE fold = 'validation'",
-    "threshold_decision": f"SELECT clip_id, CAST(p >= 0.5 AS INT) AS decision FROM {P} x",
-    "partition_assignment": "SELECT p_partkey, CASE WHEN p_size <= 15 THEN 'train' WHEN p_size <= 30 THEN 'validation' ELSE 'confirmation' END AS part FROM {part}",
-    "finite_probability": "SELECT event_id, value IS NOT NULL AND NOT isnan(value) AND value / 100 BETWEEN 0 AND 1 AS ok FROM {events}",
-    "validity_reason": "SELECT event_id, CASE WHEN user_id IS NULL THEN 'session' WHEN value IS NULL THEN 'value' WHEN event_type = 'error' THEN 'problem' ELSE 'ok' END AS reason FROM {events}",
-    "anomaly_predicate": "WITH b AS (SELECT user_id, avg(value) AS baseline FROM {events} GROUP BY user_id) SELECT e.event_id FROM {events} e JOIN b ON e.user_id = b.user_id WHERE e.value > 1.6 * b.baseline",
-    "first_distinct_groups": f"WITH g AS (SELECT y, group_id, min(clip_id) AS clip_id FROM {P} x GROUP BY y, group_id), k AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY clip_id) AS k FROM g) SELECT y, group_id, clip_id FROM k WHERE k <= 3",
     "manifest_join": "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey",
     "aligned_vectors": f"SELECT a.clip_id, a.y, a.p, b.p_b FROM {P} a JOIN {P} b ON a.clip_id = b.clip_id",
     "missing_ids": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id",
     "coverage_restriction": "SELECT d.doc_id, d.source FROM {documents} d LEFT SEMI JOIN {labels} l ON d.doc_id = l.doc_id",
-    "set_equality": "SELECT count(*) AS n, CAST(sum(CASE WHEN c.c_custkey IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_orders, CAST(sum(CASE WHEN o.k IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_customers FROM (SELECT DISTINCT o_custkey AS k FROM {orders}) o FULL OUTER JOIN {customer} c ON o.k = c.c_custkey",
     "digest_matches": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM {documents} GROUP BY md5(text) HAVING count(*) > 1",
     "cross_fold_violations": f"SELECT digest, count(DISTINCT fold) AS folds FROM {P} x GROUP BY digest HAVING count(DISTINCT fold) > 1",
     "duplicate_across_classes": f"SELECT digest, count(DISTINCT y) AS classes, count(*) AS n FROM {P} x GROUP BY digest HAVING count(*) > 1",
     "interval_join": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderkey FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL '30' DAY",
     "nearest_segment": "WITH s AS (SELECT n_nationkey, n_regionkey * 10.0 AS x FROM {nation}), c AS (SELECT c_custkey, CAST(c_custkey % 50 AS DOUBLE) AS x FROM {customer}), k AS (SELECT c.c_custkey, s.n_nationkey, abs(c.x - s.x) AS d, row_number() OVER (PARTITION BY c.c_custkey ORDER BY abs(c.x - s.x), s.n_nationkey) AS k FROM c CROSS JOIN s) SELECT c_custkey, n_nationkey, d FROM k WHERE k = 1",
-    "last_fifty": "SELECT event_id, user_id FROM {events} ORDER BY event_id DESC LIMIT 50",
-    "newest_per_session": "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM {events}) x WHERE k <= 10",
-    "first_pending": "SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 1",
     "downsampled": "SELECT vec_id, label FROM {embeddings} WHERE vec_id % 7 = 0",
     "set_difference": "SELECT c_nationkey FROM {customer} EXCEPT SELECT s_nationkey FROM {supplier}",
     "set_intersection": "SELECT c_nationkey FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
     "inventory_union": "SELECT c_custkey AS k, 'customer' AS kind FROM {customer} UNION ALL SELECT s_suppkey, 'supplier' FROM {supplier}",
-    "run_pairs": "SELECT a.r_name AS a, b.r_name AS b FROM {region} a JOIN {region} b ON a.r_name < b.r_name",
-    "latency_summary": "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 9) AS mean, min(l_quantity) AS lo, max(l_quantity) AS hi FROM {lineitem} GROUP BY l_returnflag",
-    "fold_audit": f"SELECT fold, count(*) AS n, CAST(sum(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN (p >= 0.5) = (y = 1) THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM {P} x GROUP BY fold",
     "score_spread": f"SELECT count(*) AS n, max(abs(p - p_b)) AS largest, CAST(sum(CASE WHEN abs(p - p_b) > 0.000001 THEN 1 ELSE 0 END) AS BIGINT) AS over_, CAST(sum(CASE WHEN (p >= 0.5) <> (p_b >= 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS flips FROM {P} x",
-    "fold_validation": f"SELECT group_id, count(DISTINCT fold) AS folds, count(DISTINCT y) AS labels_ FROM {P} x GROUP BY group_id",
     "incident_counters": "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type",
-    "decision_table": f"SELECT fold, CASE WHEN sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) = 0 THEN '—' ELSE CAST(CAST(floor(100.0 * sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) / sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END)) AS INT) AS STRING) END AS precision_text FROM {P} x GROUP BY fold",
-    "cadence_check": "WITH s AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM {events}) SELECT user_id, max(step) AS widest, CAST(sum(CASE WHEN step > 1 THEN 1 ELSE 0 END) AS BIGINT) AS gaps_ FROM s GROUP BY user_id",
-    "duplicate_ids": "SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id HAVING count(*) > 1",
-    "stable_ids": "SELECT doc_id, concat('clip_', sha2(concat('clip', '/', CAST(doc_id AS STRING)), 256)) AS id FROM {documents}",
-    "filename_parse": "SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '/([a-z][a-z])/', 1) AS lang FROM {pages}",
     "safe_paths": "SELECT page_id, NOT (url LIKE '%..%' OR url LIKE '%#%') AS safe FROM {pages}",
     "positive_modulo": "SELECT event_id, ((CAST(floor(value) AS BIGINT) % 7) + 7) % 7 AS m FROM {events}",
-    "public_projection": "SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 'stale' ELSE 'current' END AS health FROM {customer}",
     "path_digest": "SELECT page_id, md5(url) AS digest FROM {pages}",
-    "verdict_groups": f"WITH v AS (SELECT lang, CASE WHEN avg(p - p_b) > 0 THEN 'A' ELSE 'B' END AS verdict FROM {P} x GROUP BY lang) SELECT verdict, count(*) AS n, min(lang) AS first_lang FROM v GROUP BY verdict",
 }
 for _name, _sql in SHARED.items():
     shared(_name, _sql)
 for _name in ("missing_ids", "coverage_restriction"):
     ORACLES[_name] = ORACLES[_name].replace("LEFT ANTI", "ANTI").replace("LEFT SEMI", "SEMI")
-ORACLES["stable_ids"] = ORACLES["stable_ids"].replace("sha2(", "sha256(").replace(", 256)", ")")
 
 
 # --- ranks over all rows, spread over tasks -----------------------------------------------------------------------
