@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Floor in dB, most columns shown, attenuation length, healthy (rms, crest) per sensor, RMS factor, sample period.
@@ -70,6 +70,13 @@ def rings(frequencies: Column, matrix: Column, times: Column) -> Column:
     return F.when(F.coalesce(good, F.lit(False)), F.transform(kept, ring)).otherwise(F.array())
 
 
+def shown(rows: DataFrame, key: str, order: str, most: int = MOST_COLUMNS) -> DataFrame:
+    """At most ``most`` rows of each key, at an even stride from its first in the order of ``order``; none is interpolated."""
+    w = Window.partitionBy(key)
+    placed = rows.withColumns({"__k": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count(F.lit(1)).over(w)})
+    return placed.filter(F.col("__k") % F.greatest(F.lit(1), F.ceil(F.col("__n") / most)) == 0).drop("__k", "__n")
+
+
 def noise(sensor: Column, k: Column, salt: int) -> Column:
     """Deterministic pseudo-noise in [-1, 1]: the fraction of a steep sine."""
     x = F.sin((k + 1) * 12.9898 + sensor * 78.233 + salt * 37.719) * 43758.5453

@@ -93,14 +93,19 @@ def best_records(overlaps: DataFrame) -> DataFrame:
 def near_pairs(vectors: DataFrame, over: float, block: int = 512) -> DataFrame:
     """(a, b, cosine) of all pairs of (id, x) with a < b whose cosine is above ``over``: exact, block against block.
 
-    Vectors of length 0 have no pairs. Each pair of blocks is one task-sized matrix product; both blocks of a pair are
-    shipped once, so the work is quadratic by nature and the memory is two blocks.
+    Vectors of length 0 have no pairs. Each pair of blocks is one task-sized matrix product, so the work is quadratic by
+    nature. Blocks stand in a circle and each meets itself and the half of the circle behind it: every key of the join
+    receives the same number of blocks.
     """
     n = vectors.count()
     count = max(1, -(-n // block))
     blocks = vectors.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")).groupBy("i").agg(F.collect_list(F.struct("id", "x")).alias("v"))
     blocks = blocks.select("i", F.col("v.id").alias("ids"), F.col("v.x").alias("xs"))
-    right = blocks.toDF("j", "ids2", "xs2").withColumn("i", F.explode(F.expr("sequence(0, j)")))
+    back = F.explode(F.sequence(F.lit(0), F.lit(count // 2)))
+    right = blocks.toDF("j", "ids2", "xs2").withColumn("d", back).withColumn("i", F.pmod(F.col("j") - F.col("d"), F.lit(count)))
+    if count % 2 == 0:
+        right = right.filter((F.col("d") < count // 2) | (F.col("i") < count // 2))  # opposite blocks meet once
+    right = right.drop("d")
     kind = dict(vectors.dtypes)["id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

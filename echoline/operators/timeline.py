@@ -35,15 +35,46 @@ def level_trace(clocks: DataFrame, measured: DataFrame, key: str, value: str, st
     return read.groupBy(key, "clock", "duration").agg(F.sort_array(F.collect_list(F.struct("i", value))).alias("t")).select(key, "clock", "duration", F.col(f"t.{value}").alias("trace"))
 
 
+def latest_by_range(left: DataFrame, right: DataFrame, time: str, value: str, ranges: int = 256) -> DataFrame:
+    """Add ``value`` of the row of ``right`` with the latest ``time`` at or before each left row's, the first one's before that.
+
+    There is no key to part by: times are cut at quantiles into ``ranges``, each ordered by itself, and the last value
+    of the ranges before is carried into the next. Every distinct time is ordered once, whatever number of rows has it;
+    of right rows at one time the largest value counts. A null time gets null.
+    """
+    t = F.col(time)
+    measured = right.filter(t.isNotNull() & F.col(value).isNotNull()).groupBy(time).agg(F.max(value).alias("__v"))
+    asked = left.select(time).filter(t.isNotNull()).distinct()
+    places = [i / ranges for i in range(1, ranges)]
+    cuts = sorted(set(asked.select(t.cast("double").alias("t")).approxQuantile("t", places, 1 / (4 * ranges)))) if places else []
+    at = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x.cast("double"))) if cuts else F.lit(0)
+    both = measured.withColumn("__asked", F.lit(False)).unionByName(asked.withColumns({"__v": F.lit(None).cast(measured.schema["__v"].dataType), "__asked": F.lit(True)})).withColumn("__b", at(t))
+    tops = both.groupBy("__b").agg(F.max_by("__v", F.when(~F.col("__asked"), t)).alias("__top"))  # at most ``ranges`` rows
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = measured.agg(F.min_by("__v", time).alias("__first"))
+    carried = tops.select("__b", F.last("__top", ignorenulls=True).over(before).alias("__before")).crossJoin(first)
+    inside = Window.partitionBy("__b").orderBy(time, "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    read = both.join(F.broadcast(carried), "__b").withColumn(value, F.coalesce(F.last("__v", ignorenulls=True).over(inside), "__before", "__first"))
+    return left.join(read.filter("__asked").select(time, value), time, "left")
+
+
 def open_incident(samples: DataFrame, incidents: DataFrame, key: str) -> DataFrame:
     """Add the first incident (key, incident, k0, k1) that is open at each sample ``k``: k0 <= k, and k < k1 if it has an end.
 
-    Incidents of a key are joined by key and interval; a left join keeps samples without one.
+    An incident is the first open one from its start, or from the end of the last of those that began before it if that
+    is later. These stretches don't overlap, so samples and stretches are put in order together and no pair is formed.
+    Samples without an open incident, and those with a null key, get null.
     """
-    s, i = samples.alias("s"), incidents.alias("i")
-    inside = (F.col(f"s.{key}") == F.col(f"i.{key}")) & (F.col("s.k") >= F.col("i.k0")) & (F.col("i.k1").isNull() | (F.col("s.k") < F.col("i.k1")))
-    met = s.join(i, inside, "left").select("s.*", F.col("i.incident"), F.col("i.k0").alias("__k0"))
-    return met.groupBy(*samples.columns).agg(F.min_by("incident", F.struct("__k0", "incident")).alias("incident"))
+    earlier = Window.partitionBy(key).orderBy("k0", "incident").rowsBetween(Window.unboundedPreceding, -1)
+    known = incidents.filter(F.col(key).isNotNull() & F.col("k0").isNotNull()).select(key, "incident", "k0", "k1")
+    ends = known.withColumns({"__endless": F.coalesce(F.max(F.col("k1").isNull()).over(earlier), F.lit(False)), "__from": F.greatest("k0", F.max("k1").over(earlier))})
+    first = ends.filter(~F.col("__endless") & (F.col("k1").isNull() | (F.col("__from") < F.col("k1"))))
+    stretch = first.select(key, F.col("__from").alias("k"), F.lit(0).alias("__rank"), F.struct("incident", "k1").alias("__s"))
+    both = samples.withColumn("__rank", F.lit(1)).unionByName(stretch, allowMissingColumns=True)
+    latest = F.last("__s", ignorenulls=True).over(Window.partitionBy(key).orderBy("k", "__rank").rowsBetween(Window.unboundedPreceding, 0))
+    read = both.withColumn("__s", latest).filter("__rank = 1")
+    inside = F.col("k").isNotNull() & (F.col("__s.k1").isNull() | (F.col("k") < F.col("__s.k1")))
+    return read.select(*samples.columns, F.when(inside, F.col("__s.incident")).alias("incident"))
 
 
 def on_clock(incidents: DataFrame, sample: Column) -> DataFrame:

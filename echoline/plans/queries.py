@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from echoline.functions import features
 from echoline.functions import signals as S
-from echoline.operators import audit, metrics, ranking, tracking
-from echoline.plans.registry import ORACLES, query, rounded, shared
+from echoline.operators import audit, metrics, ranking, timeline, tracking
+from echoline.plans.registry import query, rounded
 from echoline.plans.tables import LINES_SQL, PREDICTIONS_SQL, SIGNALS_SQL, lines, predictions, signals, table, windows, windows_sql
 
 
@@ -191,34 +191,6 @@ def score_inspection(spark, sf_dir):
     return c.groupBy("fold").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("values_"), F.max("count").alias("top"), (F.max("count") / F.sum("count")).alias("top_share"))
 
 
-# --- relational operators whose SQL both engines share ------------------------------------------------------------
-P = PREDICTIONS_SQL.replace("documents d", "{documents} d").replace("labels l ", "{labels} l ")
-SHARED = {
-    "manifest_join": "SELECT o.o_orderkey, c.c_name FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey",
-    "aligned_vectors": f"SELECT a.clip_id, a.y, a.p, b.p_b FROM {P} a JOIN {P} b ON a.clip_id = b.clip_id",
-    "missing_ids": "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id",
-    "coverage_restriction": "SELECT d.doc_id, d.source FROM {documents} d LEFT SEMI JOIN {labels} l ON d.doc_id = l.doc_id",
-    "digest_matches": "SELECT md5(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM {documents} GROUP BY md5(text) HAVING count(*) > 1",
-    "cross_fold_violations": f"SELECT digest, count(DISTINCT fold) AS folds FROM {P} x GROUP BY digest HAVING count(DISTINCT fold) > 1",
-    "duplicate_across_classes": f"SELECT digest, count(DISTINCT y) AS classes, count(*) AS n FROM {P} x GROUP BY digest HAVING count(*) > 1",
-    "interval_join": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderkey FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey AND l.l_shipdate >= o.o_orderdate AND l.l_shipdate < o.o_orderdate + INTERVAL '30' DAY",
-    "nearest_segment": "WITH s AS (SELECT n_nationkey, n_regionkey * 10.0 AS x FROM {nation}), c AS (SELECT c_custkey, CAST(c_custkey % 50 AS DOUBLE) AS x FROM {customer}), k AS (SELECT c.c_custkey, s.n_nationkey, abs(c.x - s.x) AS d, row_number() OVER (PARTITION BY c.c_custkey ORDER BY abs(c.x - s.x), s.n_nationkey) AS k FROM c CROSS JOIN s) SELECT c_custkey, n_nationkey, d FROM k WHERE k = 1",
-    "downsampled": "SELECT vec_id, label FROM {embeddings} WHERE vec_id % 7 = 0",
-    "set_difference": "SELECT c_nationkey FROM {customer} EXCEPT SELECT s_nationkey FROM {supplier}",
-    "set_intersection": "SELECT c_nationkey FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}",
-    "inventory_union": "SELECT c_custkey AS k, 'customer' AS kind FROM {customer} UNION ALL SELECT s_suppkey, 'supplier' FROM {supplier}",
-    "score_spread": f"SELECT count(*) AS n, max(abs(p - p_b)) AS largest, CAST(sum(CASE WHEN abs(p - p_b) > 0.000001 THEN 1 ELSE 0 END) AS BIGINT) AS over_, CAST(sum(CASE WHEN (p >= 0.5) <> (p_b >= 0.5) THEN 1 ELSE 0 END) AS BIGINT) AS flips FROM {P} x",
-    "incident_counters": "SELECT event_type, count(*) AS n FROM {events} GROUP BY event_type",
-    "safe_paths": "SELECT page_id, NOT (url LIKE '%..%' OR url LIKE '%#%') AS safe FROM {pages}",
-    "positive_modulo": "SELECT event_id, ((CAST(floor(value) AS BIGINT) % 7) + 7) % 7 AS m FROM {events}",
-    "path_digest": "SELECT page_id, md5(url) AS digest FROM {pages}",
-}
-for _name, _sql in SHARED.items():
-    shared(_name, _sql)
-for _name in ("missing_ids", "coverage_restriction"):
-    ORACLES[_name] = ORACLES[_name].replace("LEFT ANTI", "ANTI").replace("LEFT SEMI", "SEMI")
-
-
 # --- ranks over all rows, spread over tasks -----------------------------------------------------------------------
 @query(f"""WITH b AS (SELECT (row_number() OVER (ORDER BY md5(CAST(clip_id AS VARCHAR)), clip_id) - 1) // 16 AS batch, y, group_id FROM {PREDICTIONS_SQL})
 SELECT batch, count(*) AS n, CAST(sum(y) AS BIGINT) AS positive, count(DISTINCT group_id) AS groups_ FROM b GROUP BY batch""")
@@ -249,20 +221,11 @@ def overall_auc(spark, sf_dir):
     return metrics.roc_auc(predictions(spark, sf_dir))
 
 
-@query(f"""SELECT e.event_id, o.o_orderkey AS latest FROM (SELECT event_id, event_id % 1000 AS k FROM events) e ASOF LEFT JOIN (SELECT o_orderkey, o_orderkey AS k FROM orders) o ON e.k >= o.k""")
+@query("""WITH o AS (SELECT o_orderkey FROM orders) SELECT e.event_id, coalesce(o.o_orderkey, (SELECT min(o_orderkey) FROM o)) AS latest FROM events e ASOF LEFT JOIN o ON e.event_id >= o.o_orderkey""")
 def asof_join(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("k"), F.lit(None).cast("long").alias("v"))
-    o = table(spark, sf_dir, "orders").select(F.lit(None).cast("long").alias("event_id"), F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderkey").cast("long").alias("v"))
-    # The union in key order carries the latest order to each event, bucket by bucket; a bucket starts with the last key of those before it.
-    # 256 buckets of equal width span the events' keys; orders above them all meet no event.
-    low, high = e.agg(F.min("k"), F.max("k")).first()
-    width = max(1, ((high or 0) - (low or 0)) // 256)
-    rows = e.unionByName(o.filter(F.col("k") <= (high or 0))).withColumn("b", F.floor(F.greatest(F.col("k") - (low or 0), F.lit(-1)) / width))
-    tops = rows.groupBy("b").agg(F.max("v").alias("top"))
-    tops = tops.select("b", F.max("top").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    w = Window.partitionBy("b").orderBy("k", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.join(tops, "b").withColumn("latest", F.coalesce(F.last("v", ignorenulls=True).over(w), "before"))
-    return filled.filter("event_id is not null").select("event_id", "latest")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("k"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_orderkey").cast("long").alias("latest"))
+    return timeline.latest_by_range(e, o, "k", "latest").withColumnRenamed("k", "event_id")
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS u, b.l_suppkey AS v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey),

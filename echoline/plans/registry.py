@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echoline.plans.tables import table
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def query(sql: str | None = None):
@@ -24,16 +21,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def shared(name: str, sql: str) -> None:
-    """Register SQL that means the same to Spark and to DuckDB; tables are passed as DataFrames, no views are left."""
-
-    def run(spark, sf_dir, sql=sql):
-        used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
-        return spark.sql(sql, **used)
-
-    QUERIES[name], ORACLES[name] = run, sql.replace("{", "").replace("}", "")
-
-
 def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
     """Sums of doubles differ in the last bits with the order of rows; both engines round them alike."""
     return df.withColumns({n: F.round(F.col(n), digits) for n in names})

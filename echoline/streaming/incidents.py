@@ -87,6 +87,11 @@ def history(events: DataFrame, keep: int = 50) -> DataFrame:
     return told.groupBy("source", "incident", "resolved_at").agg(F.sort_array(F.collect_list(F.struct("at", "event", "detail"))).alias("events"), F.max("attempts").alias("attempts"))
 
 
+def counters(events: DataFrame) -> DataFrame:
+    """Per kind of event how often it occurred, over how many sources, and when last."""
+    return events.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("sources"), F.max("at").alias("latest"))
+
+
 def due(started: DataFrame, now, persistence: float = PERSISTENCE) -> DataFrame:
     """Pending incidents (source, incident, started_at) that have lasted long enough at ``now``, in a batch."""
     return started.filter(F.col("started_at") + persistence <= now).withColumn("confirmed_at", F.col("started_at") + persistence)
