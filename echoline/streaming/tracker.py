@@ -1,7 +1,8 @@
 """Tracking as a stream: one state per session, exact about duplicates, order, lateness and gaps.
 
 Rows are (session, seq, end, received, digest, p, problem); a row without ``p`` is an abstention and says why in
-``problem``. Each row gets an outcome: accepted, duplicate (nothing changes) or rejected with its reason.
+``problem``. Each row gets an outcome: accepted, duplicate (nothing changes) or rejected with its reason. A duplicate
+gets the answer of the row it repeats again, with that row's transition in ``repeats``, so that ``kind`` tells each once.
 The batch counterpart is ``echoline.operators.tracking``.
 """
 
@@ -17,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from echoline.functions import config
 
 ROWS = "session string, seq long, end double, received double, digest string, p double, problem string"
-OUTCOMES = "session string, seq long, outcome string, reason string, kind string, event long, observed long, high long, interrupted boolean"
-STATE = "seq long, end double, received double, digest string, degraded boolean, rising long, falling long, active boolean, event long, observed long, high long, current long, interrupted boolean, persisted boolean, finished boolean"
+OUTCOMES = "session string, seq long, outcome string, reason string, kind string, event long, observed long, high long, interrupted boolean, repeats string"
+STATE = "seq long, end double, received double, digest string, degraded boolean, rising long, falling long, active boolean, event long, observed long, high long, current long, interrupted boolean, persisted boolean, finished boolean, said string, inside boolean"
 FIELDS = [x.split(" ")[0] for x in STATE.split(", ")]
-START = (-1, None, None, None, False, 0, 0, False, 0, 0, 0, 0, False, False, False)
+START = (-1, None, None, None, False, 0, 0, False, 0, 0, 0, 0, False, False, False, None, False)
 MAX_GAP, AHEAD, CADENCE = 2.0, 0.25, 0.01
 #: The ``problem`` of a row that ends its session: an open event stops with its coverage interrupted.
 END_OF_SESSION = "end of session"
@@ -80,18 +81,25 @@ def advance(s: dict, r) -> str | None:
     return None
 
 
+def answer(s: dict) -> list:
+    """Event, observed and high windows and interruption after the last accepted row; nulls outside of an event."""
+    return [s["event"], s["observed"], s["high"], s["interrupted"]] if s["inside"] else [None] * 4
+
+
 def _session(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """State function; rows of a trigger are taken in the order they were received."""
     s = dict(zip(FIELDS, state.get if state.exists else START, strict=True))
     out = []
     for r in pd.concat(list(batches)).sort_values(["received", "seq"], kind="stable").itertuples():
         reason = refused(s, r)
-        if reason:
-            out.append((key[0], r.seq, "duplicate" if reason == "duplicate" else "rejected", None if reason == "duplicate" else reason, None, None, None, None, None))
-            continue
-        kind = advance(s, r)
-        inside = s["active"] or kind in ("ended", "stopped")
-        out.append((key[0], r.seq, "accepted", None, kind, *([s["event"], s["observed"], s["high"], s["interrupted"]] if inside else [None] * 4)))
+        if reason == "duplicate":
+            out.append((key[0], r.seq, "duplicate", None, None, *answer(s), s["said"]))
+        elif reason:
+            out.append((key[0], r.seq, "rejected", reason, None, *[None] * 5))
+        else:
+            kind = s["said"] = advance(s, r)
+            s["inside"] = s["active"] or kind in ("ended", "stopped")
+            out.append((key[0], r.seq, "accepted", None, kind, *answer(s), None))
     state.update(tuple(s[f] for f in FIELDS))
     frame = pd.DataFrame(out, columns=[x.split(" ")[0] for x in OUTCOMES.split(", ")])
     yield frame.astype({c: "Int64" for c in ("event", "observed", "high")})

@@ -41,6 +41,17 @@ def test_open_close_and_restart(spark, tmp_path):
     assert not [r for r in got if r["session"] == "t" and r["kind"]]
 
 
+def test_duplicate_gets_the_first_answer_again(spark, tmp_path):
+    """Also in a later batch, after a rejected row, and outside of an event."""
+    rows = [window(0, 0.1), window(0, 0.1)] + [window(i, 0.9) for i in range(1, 4)]
+    got = run(spark, tmp_path, rows, [window(3, 0.9, digest="b" * 64, received=104.1), window(3, 0.9, received=104.2)])
+    answer = lambda r: (r["event"], r["observed"], r["high"], r["interrupted"])
+    by = {(r["seq"], r["outcome"]): r for r in got}
+    assert by[3, "accepted"]["kind"] == by[3, "duplicate"]["repeats"] == "opened" and by[3, "duplicate"]["kind"] is None
+    assert answer(by[3, "accepted"]) == answer(by[3, "duplicate"]) == (1, 3, 3, False) and by[3, "rejected"]["reason"] == "conflict"
+    assert answer(by[0, "duplicate"]) == (None,) * 4 and by[0, "duplicate"]["repeats"] is None
+
+
 def test_rejections_gaps_and_persistence():
     s = dict(zip(tracker.FIELDS, tracker.START))
     take = lambda w: tracker.refused(s, pd.Series(w)) or tracker.advance(s, pd.Series(w))

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from echoline.functions import intake
-from echoline.operators import evaluation, invariants, timeline
+from echoline.operators import evaluation, invariants, metrics, timeline
 
 
 def test_raw_sound_has_an_exact_scale_and_a_least_length(spark):
@@ -68,3 +68,43 @@ def test_patterns_of_scenarios(spark):
 def test_incomplete_candidates_are_left_out(spark):
     rows = [("a", 0, 0.5), ("a", 1, 0.7), ("b", 0, 0.9), ("c", 0, 0.6), ("c", 1, 0.6), ("d", 0, 0.9), ("d", 0, 0.9)]
     assert evaluation.best_of_complete(spark.createDataFrame(rows, "candidate string, cv_fold int, auc double"), 2).first()["candidate"] == "a"
+
+
+def test_whole_evaluation_is_that_of_brute_force(spark):
+    """Threshold of the validation groups, counts and AUC of both levels in both folds, intervals over the same draws."""
+    rng = np.random.default_rng(5)
+    rows = [(i, int(g % 2), round(float(rng.normal(0.4 + 0.2 * (g % 2), 0.2)), 3), f"g{g}", ("validation", "test", "train")[g % 3]) for i, g in enumerate(rng.integers(0, 24, 160).tolist())]
+    df = spark.createDataFrame(rows, "clip_id int, y int, p double, group_id string, fold string")
+    got = {(r["fold"], r["level"]): r for r in evaluation.evaluate_run(df, draws=60, seed="s").collect()}
+
+    def auc(scores):
+        a, b = [p for y, p in scores if y], [p for y, p in scores if not y]
+        return sum((u > v) + 0.5 * (u == v) for u in a for v in b) / (len(a) * len(b)) if a and b else None
+
+    def counted(scores, t):
+        return tuple(sum(y == c and (p >= t) == d for y, p in scores) for c, d in ((1, True), (0, True), (0, False), (1, False)))
+
+    def macro(scores, t):
+        tp, fp, tn, fn = counted(scores, t)
+        f1 = lambda a, b, c: 2 * a / (2 * a + b + c) if 2 * a + b + c else 0.0
+        return (f1(tp, fp, fn) + f1(tn, fn, fp)) / 2
+
+    clips = {f: {} for f in ("validation", "test")}
+    for _, y, p, g, f in rows:
+        if f in clips:
+            clips[f].setdefault(g, []).append((y, p))
+    groups = {f: {g: [(v[0][0], float(np.median([p for _, p in v])))] for g, v in c.items()} for f, c in clips.items()}
+    flat = lambda d: [x for v in d.values() for x in v]
+    val = flat(groups["validation"])
+    ends = [p for _, p in val]
+    t = min(ends + [min(ends) - 1e-9, max(ends) + 1e-9], key=lambda t: (-macro(val, t), t))
+    drawn = {}
+    for r in metrics.draws(df.filter("fold <> 'train'"), 60, "s", ["fold"]).collect():
+        drawn.setdefault((r["fold"], r["draw"]), []).append(r["group_id"])
+    assert set(got) == {(f, x) for f in clips for x in ("clip", "group")}
+    for (f, level), r in got.items():
+        of = (clips if level == "clip" else groups)[f]
+        values = [v for (g, _), names in drawn.items() if g == f and (v := auc([x for n in names for x in of[n]])) is not None]
+        assert abs(r["threshold"] - t) < 1e-12 and (r["tp"], r["fp"], r["tn"], r["fn"]) == counted(flat(of), t)
+        assert abs(r["roc_auc"] - auc(flat(of))) < 1e-12 and r["draws"] == len(values)
+        assert np.allclose([r["low"], r["high"]], np.percentile(values, [2.5, 97.5]))
