@@ -38,7 +38,7 @@ def level_trace(clocks: DataFrame, measured: DataFrame, key: str, value: str, st
 def latest_by_range(left: DataFrame, right: DataFrame, time: str, value: str, ranges: int = 256) -> DataFrame:
     """Add ``value`` of the row of ``right`` with the latest ``time`` at or before each left row's, the first one's before that.
 
-    There is no key to part by: times are cut at quantiles into ``ranges``, each ordered by itself, and the last value
+    There is no key to part by: the times of both sides are cut at quantiles into ``ranges``, each ordered by itself, and the last value
     of the ranges before is carried into the next. Every distinct time is ordered once, whatever number of rows has it;
     of right rows at one time the largest value counts. A null time gets null.
     """
@@ -46,7 +46,7 @@ def latest_by_range(left: DataFrame, right: DataFrame, time: str, value: str, ra
     measured = right.filter(t.isNotNull() & F.col(value).isNotNull()).groupBy(time).agg(F.max(value).alias("__v"))
     asked = left.select(time).filter(t.isNotNull()).distinct()
     places = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(asked.select(t.cast("double").alias("t")).approxQuantile("t", places, 1 / (4 * ranges)))) if places else []
+    cuts = sorted(set(measured.select(time).unionByName(asked).select(t.cast("double").alias("t")).approxQuantile("t", places, 1 / (4 * ranges)))) if places else []
     at = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x.cast("double"))) if cuts else F.lit(0)
     both = measured.withColumn("__asked", F.lit(False)).unionByName(asked.withColumns({"__v": F.lit(None).cast(measured.schema["__v"].dataType), "__asked": F.lit(True)})).withColumn("__b", at(t))
     tops = both.groupBy("__b").agg(F.max_by("__v", F.when(~F.col("__asked"), t)).alias("__top"))  # at most ``ranges`` rows
