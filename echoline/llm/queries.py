@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoline.llm import chunking, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, warc
+from echoline.llm import chunking, conversations, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, vectorcodes, warc
 
 
 def _table(spark, sf_dir, name):
@@ -49,5 +49,19 @@ def op10_sharding(spark, sf_dir):
     return sharding.sharded_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_repeats, op3_language, op4_decontamination, op5_pseudolikelihood, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding)}
+def op11_codes(spark, sf_dir):
+    return vectorcodes.codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_repair(spark, sf_dir):
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secrets, op2_repeats, op3_language, op4_decontamination, op5_pseudolikelihood, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding,
+        op11_codes, op13_repair,
+    )
+}
 ORACLES = {"op4_decontamination": decontaminate.DECON_SQL, "op8_mixing": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL}
