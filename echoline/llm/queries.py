@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoline.llm import chunking, conversations, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, vectorcodes, warc
+from echoline.llm import chunking, conversations, decontaminate, langid, mixing, pseudolikelihood, repeats, secrets, sharding, simhash, toxicity, vectorcodes, warc
 
 
 def _table(spark, sf_dir, name):
@@ -53,6 +53,10 @@ def op11_codes(spark, sf_dir):
     return vectorcodes.codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_toxicity(spark, sf_dir):
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op13_repair(spark, sf_dir):
     return conversations.repair(_table(spark, sf_dir, "conversations"))
 
@@ -61,7 +65,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_secrets, op2_repeats, op3_language, op4_decontamination, op5_pseudolikelihood, op6_fingerprints, op7_simhash, op8_mixing, op9_warc, op10_sharding,
-        op11_codes, op13_repair,
+        op11_codes, op12_toxicity, op13_repair,
     )
 }
 ORACLES = {"op4_decontamination": decontaminate.DECON_SQL, "op8_mixing": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL}
