@@ -61,6 +61,31 @@ def band_series(single: bool = False):
     return run
 
 
+def log_spectrum(samples: int = SAMPLE_RATE, width: int = FFT):
+    """A pandas UDF from a signal to log1p of its short-time magnitudes, frequencies by frames in one array, for comparing signals.
+
+    The signal is cut or filled to ``samples``, then set between half a frame of zeros on either side and filled to whole frames, which
+    overlap by half. A null or non-finite signal gives null.
+    """
+    hop, window = width // 2, np.hanning(width + 1)[:-1]
+
+    @F.pandas_udf("array<double>")
+    def run(signals: pd.Series) -> pd.Series:
+        out = []
+        for x in signals:
+            x = None if x is None else np.asarray(x, float)[:samples]
+            if x is None or not np.isfinite(x).all():
+                out.append(None)
+                continue
+            whole = np.zeros(hop + samples + hop + (-samples) % hop)
+            whole[hop : hop + len(x)] = x
+            cut = np.lib.stride_tricks.sliding_window_view(whole, width)[::hop]
+            out.append(np.log1p(np.abs(np.fft.rfft(cut * window)) / window.sum()).T.ravel())
+        return pd.Series(out)
+
+    return run
+
+
 def dominant_band(series: Column, frames: int = FRAMES) -> Column:
     """Name of the band of the largest mean energy; the lower one on a tie."""
     energy = F.transform(series, lambda band: F.aggregate(F.slice(band, 1, frames), F.lit(0.0), lambda acc, v: acc + F.expm1(v)))

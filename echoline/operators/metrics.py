@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from echoline.operators import ranking
 
+#: Ranges of scores that are summed apart; tasks that make a table of draws.
+RANGES, SPREAD = 256, 32
+
 
 def group_medians(rows: DataFrame, by: list[str] = ()) -> DataFrame:
     """One row per group: its median score, class and whether it mixes classes."""
@@ -48,14 +51,15 @@ def _histogram(rows: DataFrame, by: list[str]) -> DataFrame:
 def _running(h: DataFrame, by: list[str], sums: dict[str, Column], descending: bool = True) -> DataFrame:
     """Add running sums by falling (or rising) score, each row's own included.
 
-    Without ``by`` one key holds all scores: sums then run inside ranges of 1/4096 of a score and over the ranges'
-    totals, so that no task sees all distinct scores.
+    Without ``by`` one key holds all scores: sums then run inside ``RANGES`` ranges, cut at quantiles of the distinct scores
+    wherever they lie, and over the ranges' totals, so that no task sees all of them.
     """
     order = F.desc if descending else F.asc
     if by:
         w = Window.partitionBy(*by).orderBy(order("p")).rowsBetween(Window.unboundedPreceding, 0)
         return h.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
-    h = h.withColumn("__range", F.floor(F.col("p") * 4096))
+    cut = h.crossJoin(F.broadcast(ranking.quantile_cuts(h, "p", RANGES)))  # one row
+    h = cut.withColumn("__range", ranking.bucket_of(F.col("p"), F.col("cuts"), RANGES)).drop("cuts")
     earlier = Window.orderBy(order("__range")).rowsBetween(Window.unboundedPreceding, -1)
     totals = h.groupBy("__range").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
     totals = totals.select("__range", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
@@ -100,11 +104,11 @@ def pick_threshold(rows: DataFrame, by: list[str] = ()) -> DataFrame:
 def draws(groups: DataFrame, n_draws: int, seed: str, by: list[str] = ()) -> DataFrame:
     """(draw, k, group_id): for each draw as many groups as there are, with replacement, by MD5 of (seed, draw, k).
 
-    The table has draws x groups rows and is joined to groups by rank, never crossed with clips.
+    The table has draws x groups rows, made by ``SPREAD`` tasks, and is joined to groups by rank, never crossed with clips.
     """
     ranked = ranking.ranked(groups.select(*by, "group_id").distinct(), "group_id", "r", by).withColumn("r", F.col("r") - 1)
     sizes = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    table = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).select(*by, "n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    table = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")).repartition(SPREAD, "draw").select(*by, "n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     number = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "draw", "k")), 1, 12), 16, 10).cast("long")
     return table.withColumn("r", number % F.col("n")).join(ranked, [*by, "r"]).select(*by, "draw", "k", "group_id")
 

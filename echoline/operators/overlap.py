@@ -1,7 +1,12 @@
-"""Overlap of signals: the best correlation over all offsets, and near pairs of short vectors in blocks."""
+"""Overlap of signals: the best correlation over all offsets, exactly equal aligned windows, and near pairs of short vectors in blocks.
+
+A long recording need not be one row: it comes in pieces, which are cut anew into chunks that carry a halo of the next samples as
+long as a query less one (overlap-save), so that each offset is looked at in one chunk.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,24 +16,27 @@ from pyspark.sql import functions as F
 
 RESULT = "query string, record string, correlation double, offset long, unassessable long, reason string"
 UNSTABLE = 1e-5
+#: Samples of a chunk without its halo; bytes of queries that go to the tasks at a time; decimals that decide between offsets.
+CHUNK, QUERY_BYTES, DECIMALS = 1 << 16, 1 << 26, 9
 
 
-def correlations(queries: np.ndarray, record: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def correlations(queries: np.ndarray, record: np.ndarray, mean: float | None = None, total: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(absolute correlation of each query at each offset, which offsets can be assessed); others hold -1.
 
     The products come from one transform per side. A stretch that is constant, or whose variance is lost in the
-    rounding of the running sums, can't be assessed.
+    rounding of the running sums, can't be assessed. ``mean`` and ``total``, the sum of squares about it, are those of the whole recording
+    when ``record`` is a chunk of it.
     """
     n, width = len(record), queries.shape[1]
     q = queries - queries.mean(axis=1, keepdims=True)
-    r = record - record.mean()
+    r = record - (record.mean() if mean is None else mean)
     size = 1 << int(np.ceil(np.log2(n + width)))
     dots = np.fft.irfft(np.conj(np.fft.rfft(q, size)) * np.fft.rfft(r, size), size)[:, : n - width + 1]
     run = lambda v: np.concatenate(([0.0], np.cumsum(v)))
     s1, s2 = run(r), run(r * r)
     energy = (s2[width:] - s2[:-width]) - (s1[width:] - s1[:-width]) ** 2 / width
     steps = run(np.diff(record) != 0)
-    good = (steps[width - 1 :] > steps[: n - width + 1]) & (energy > 64 * np.finfo(float).eps * s2[-1])
+    good = (steps[width - 1 :] > steps[: n - width + 1]) & (energy > 64 * np.finfo(float).eps * (s2[-1] if total is None else total))
     norms = np.sqrt((q * q).sum(axis=1))
     scale = norms[:, None] * np.sqrt(np.where(good, energy, 1.0))[None, :]
     out = np.abs(np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0))
@@ -42,44 +50,153 @@ def _pearson(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.clip(a @ b / np.sqrt((a @ a) * (b @ b)), -1, 1))
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (records of one block, one query block): the best offset of each pair, checked by a direct correlation."""
-    for batch in batches:
-        rows = []
-        for b in batch.itertuples():
-            queries = [np.asarray(x, float) for x in b.query_samples]
-            record = np.asarray(b.samples, float)
-            for width in {len(x) for x in queries}:
-                at = [i for i, x in enumerate(queries) if len(x) == width]
-                if width < 2 or width > len(record):
-                    rows += [(b.query_ids[i], b.record, None, None, 0, "length") for i in at]
-                    continue
-                found, good = correlations(np.stack([queries[i] for i in at]), record)
-                for i, scores in zip(at, found, strict=True):
-                    k = int(scores.argmax())
-                    if scores[k] < 0:
-                        constant = bool((queries[i] == queries[i][0]).all())
-                        rows.append((b.query_ids[i], b.record, None, None, len(good) if constant else int((~good).sum()), "constant_query" if constant else "no_stable_variance_window"))
+def pieces(records: DataFrame) -> DataFrame:
+    """Whole recordings (record, samples) as pieces (record, start, samples)."""
+    return records.select("record", F.lit(0).cast("long").alias("start"), "samples")
+
+
+def chunks(parts: DataFrame, halo: int, chunk: int = CHUNK) -> DataFrame:
+    """(record, start, samples, own): each chunk with the ``halo`` samples after it; ``own`` is how many are its own.
+
+    Pieces (record, start, samples) may be of any length but must meet. Each gives its samples to the chunks that need them;
+    a group is no longer than a chunk with its halo.
+    """
+    end = F.col("start") + F.size("samples")
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("start") - halo) / chunk).cast("long"))
+    wanted = F.explode(F.sequence(first, F.floor((end - 1) / chunk).cast("long")))
+    rows = parts.filter(F.size("samples") > 0).withColumn("c", wanted)
+    lo, hi = F.greatest("start", F.col("c") * chunk), F.least(end, (F.col("c") + 1) * chunk + halo)
+    given = rows.filter(hi > lo).select("record", "c", lo.alias("lo"), F.slice("samples", (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("s"))
+    whole = given.groupBy("record", "c").agg(F.array_sort(F.collect_list(F.struct("lo", "s"))).alias("g"))
+    out = whole.select("record", (F.col("c") * chunk).alias("start"), F.flatten(F.transform("g", lambda x: x["s"])).alias("samples"))
+    return out.withColumn("own", F.least(F.size("samples"), F.lit(chunk)))
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    """(record, length, mean, energy) of recordings in pieces; the energy is the sum of squares about the mean."""
+    add = lambda f: F.aggregate("samples", F.lit(0.0), lambda acc, v: acc + f(v))
+    sums = parts.groupBy("record").agg(F.sum(F.size("samples")).cast("long").alias("length"), F.sum(add(lambda v: v)).alias("s"), F.sum(add(lambda v: v * v)).alias("s2"))
+    mean = F.try_divide(F.col("s"), F.col("length"))
+    return sums.select("record", "length", mean.alias("mean"), F.greatest(F.lit(0.0), F.col("s2") - F.col("s") * mean).alias("energy"))
+
+
+def _against(ids: list[str], samples: list[np.ndarray], per_block: int):
+    """A function over chunks: for every query the best offset that begins in the chunk, checked by a direct correlation."""
+    names = ["query", "record", "correlation", "offset", "unassessable", "reason"]
+    by_width: dict[int, list[int]] = {}
+    for i, x in enumerate(samples):
+        by_width.setdefault(len(x), []).append(i)
+
+    def of(b, record: np.ndarray) -> Iterator[tuple]:
+        for width, at in by_width.items():
+            if width < 2 or width > b.length:
+                yield from ((ids[i], b.record, None, None, 0, "length") for i in at)
+                continue
+            if width > len(record):  # the end of the recording: its offsets began in chunks before
+                yield from ((ids[i], b.record, None, None, 0, "no_stable_variance_window") for i in at)
+                continue
+            for k in range(0, len(at), per_block):
+                block = at[k : k + per_block]
+                found, good = correlations(np.stack([samples[i] for i in block]), record, b.mean, b.energy)
+                found, good = found[:, : b.own], good[: b.own]
+                for i, scores in zip(block, found, strict=True):
+                    top = float(scores.max())
+                    if top < 0:
+                        constant = bool((samples[i] == samples[i][0]).all())
+                        yield ids[i], b.record, None, None, len(good) if constant else int((~good).sum()), "constant_query" if constant else "no_stable_variance_window"
                         continue
-                    direct = _pearson(queries[i], record[k : k + width])
-                    if abs(abs(direct) - scores[k]) > UNSTABLE:
-                        raise ValueError(f"unstable correlation of {b.query_ids[i]} in {b.record}")
-                    rows.append((b.query_ids[i], b.record, direct, k, int((~good).sum()), None))
-        yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in RESULT.split(", ")]).astype({"offset": "Int64"})
+                    j = int(np.round(scores, DECIMALS).argmax())  # the first of equal ones
+                    direct = _pearson(samples[i], record[j : j + width])
+                    if abs(abs(direct) - scores[j]) > UNSTABLE:
+                        raise ValueError(f"unstable correlation of {ids[i]} in {b.record}")
+                    yield ids[i], b.record, direct, b.start + j, int((~good).sum()), None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch.itertuples():
+                yield pd.DataFrame(list(of(b, np.asarray(b.samples, float))), columns=names).astype({"offset": "Int64"})
+
+    return run
 
 
-def sliding_overlap(queries: DataFrame, records: DataFrame, per_block: int = 16, tasks: int | None = None) -> DataFrame:
-    """Best absolute correlation over all offsets of every query (query, samples) in every record (record, samples).
+def sliding_overlap(queries: DataFrame, records: DataFrame, per_block: int = 16, chunk: int = CHUNK, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Best absolute correlation over all offsets of every query (query, samples) in every recording.
 
-    This is a stated query set against all records: queries are put into blocks of about ``per_block``; each record
-    meets each block in one row, and rows are spread over ``tasks``. Signals are finite and not empty.
+    ``records`` are (record, samples), or pieces (record, start, samples) of recordings that need not fit a row. This is a stated
+    query set against all recordings: the queries go to the tasks in lots of at most ``query_bytes``, whose number is
+    counted first, and each lot meets each chunk in one row. The best offset of a pair is the arg max over its chunks; of offsets that are equal to
+    ``DECIMALS`` decimals the first. Signals are finite and queries not empty.
     """
-    n = queries.count()
-    blocks = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-n // per_block)))))
-    blocks = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("query", "samples"))).alias("q"))
-    blocks = blocks.select(F.col("q.query").alias("query_ids"), F.col("q.samples").alias("query_samples"))
-    pairs = records.select("record", "samples").crossJoin(blocks)
-    return (pairs.repartition(tasks) if tasks else pairs).mapInPandas(_compare, RESULT)
+    spark = queries.sparkSession
+    parts = records.select("record", "start", "samples") if "start" in records.columns else pieces(records)
+    size, widest = queries.agg(F.coalesce(F.sum(8 * F.size("samples").cast("long") + 64), F.lit(0)), F.coalesce(F.max(F.size("samples")), F.lit(1))).first()
+    if size == 0:
+        return spark.createDataFrame([], RESULT)
+    lots = -(-size // query_bytes)
+    cut = chunks(parts, max(0, widest - 1), chunk).join(totals(parts), "record")
+    out = None
+    for lot in range(lots):
+        own = queries.filter(F.pmod(F.xxhash64("query"), F.lit(lots)) == lot).select("query", "samples").orderBy("query").collect()
+        held = spark.sparkContext.broadcast(([r["query"] for r in own], [np.asarray(r["samples"], float) for r in own]))
+
+        def run(batches, held=held):
+            return _against(*held.value, per_block)(batches)
+
+        told = cut.mapInPandas(run, RESULT)
+        out = told if out is None else out.unionByName(told)
+    size_of = F.struct(F.round(F.abs("correlation"), DECIMALS).alias("c"), (-F.col("offset")).alias("o"))
+    best = F.max_by(F.struct("correlation", "offset"), F.when(F.col("correlation").isNotNull(), size_of))
+    whole = out.groupBy("query", "record").agg(best.alias("b"), F.sum("unassessable").alias("unassessable"), F.min("reason").alias("reason"))
+    return whole.select("query", "record", "b.correlation", "b.offset", "unassessable", F.when(F.col("b").isNull(), F.col("reason")).alias("reason"))
+
+
+DIGESTS = "kind string, digest binary"
+KINDS = ("decoded_float64", "centered_unit_float64")
+
+
+def canonical_digests(signal: np.ndarray) -> list[tuple[str, bytes]]:
+    """(kind, SHA-256 of little-endian doubles) of a window as it is and centred with length 1; -0.0 counts as 0.0."""
+    x = np.asarray(signal, "<f8")
+    centred = x - x.mean()
+    norm = np.sqrt((centred * centred).sum())
+    forms = [(KINDS[0], x)] + ([(KINDS[1], centred / norm)] if norm > 0 else [])
+    return [(k, hashlib.sha256((v + 0.0).tobytes()).digest()) for k, v in forms]
+
+
+def aligned_digests(rows: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """(key, offset, kind, digest) of signals (key, samples), or of all their whole windows of ``width`` that start at its multiples.
+
+    Rows with a column ``start`` are pieces: windows are aligned to the recording, so a piece must begin and, but for the last, end
+    at a multiple of ``width``.
+    """
+    kind = dict(rows.dtypes)[key]
+    start = F.col("start") if "start" in rows.columns else F.lit(0).cast("long")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, first, x in batch.itertuples(index=False):
+                x = np.asarray(x, float)
+                step = width or max(1, len(x))
+                for at in range(0, len(x) - step + 1, step):
+                    out += [(name, first + at, k, d) for k, d in canonical_digests(x[at : at + step])]
+            yield pd.DataFrame(out, columns=[key, "offset", "kind", "digest"])
+
+    rows = rows.filter(F.size("samples") > 0).select(key, start.alias("start"), "samples")
+    return rows.mapInPandas(run, f"{key} {kind}, offset long, {DIGESTS}")
+
+
+def aligned_matches(clips: DataFrame, records: DataFrame, width: int) -> DataFrame:
+    """(clip, record, offset, kind): aligned windows of recordings that equal a clip, as they are or but for offset and gain."""
+    known = aligned_digests(clips, "clip").drop("offset")
+    return known.join(aligned_digests(records, "record", width), ["kind", "digest"]).select("clip", "record", "offset", "kind")
+
+
+def aligned_classes(clips: DataFrame, records: DataFrame, width: int) -> DataFrame:
+    """(kind, digest, clips, windows, first_clip): the same matches as classes, where shared content is common; no pairs are made."""
+    a = aligned_digests(clips, "clip").groupBy("kind", "digest").agg(F.count(F.lit(1)).alias("clips"), F.min("clip").alias("first_clip"))
+    b = aligned_digests(records, "record", width).groupBy("kind", "digest").agg(F.count(F.lit(1)).alias("windows"))
+    return a.join(b, ["kind", "digest"]).select("kind", F.lower(F.hex("digest")).alias("digest"), "clips", "windows", "first_clip")
 
 
 def best_records(overlaps: DataFrame) -> DataFrame:

@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def quantile_cuts(rows: DataFrame, value: str, ranges: int) -> DataFrame:
+    """One row (cuts): at most ``ranges`` - 1 sorted values that part the rows into ranges of about equal numbers."""
+    places = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return rows.agg(F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(F.col(value).cast("double"), places, 4 * ranges), F.array().cast("array<double>")))).alias("cuts"))
+
+
+def bucket_of(value: Column, cuts: Column, ranges: int) -> Column:
+    """How many of the sorted ``cuts``, fewer than ``ranges``, lie at or below the value; found by halving, not by a scan."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(ranges.bit_length()))])
+    below = lambda at: F.get(cuts, at - 1) <= value.cast("double")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(cuts)) & below(at + step), at + step).otherwise(at))
+
+
 def ranked(rows: DataFrame, key: str, name: str, by: Sequence[str] = (), seed: str = "") -> DataFrame:
     """Add ``name``: ranks from 1 in the order of (MD5 of seed and key, key), per ``by``; keys and ``by`` are not null.
 

@@ -20,6 +20,18 @@ def stratified_draws(groups: DataFrame, n_draws: int, seed: str) -> DataFrame:
     return metrics.draws(groups, n_draws, seed, ["y"])
 
 
+def paired_delta(groups: DataFrame, drawn: DataFrame, a: str = "p", b: str = "p_b") -> DataFrame:
+    """One row (observed, low, high, draws, verdict): AUC of score ``a`` less that of ``b`` over the groups, and over the same draws.
+
+    Draws (draw, k, group_id) of one class have no difference and are left out of the interval and of the count.
+    """
+    both = F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(a, b))).alias("run", "p")
+    delta = lambda rows, by: metrics.roc_auc(rows, [*by, "run"]).groupBy(*by).pivot("run", ["a", "b"]).agg(F.first("roc_auc")).withColumn("delta", F.col("a") - F.col("b"))
+    observed = delta(groups.select(F.lit(0).alias("one"), "y", both), ["one"]).select(F.col("delta").alias("observed"))
+    ci = metrics.interval(delta(drawn.join(groups, "group_id").select("draw", "y", both), ["draw"]).select("draw", "delta"), "delta")
+    return observed.crossJoin(ci).withColumn("verdict", metrics.verdict(F.col("low"), F.col("high")))  # one row each
+
+
 def promoted(gain: Column, low: Column, least: float) -> Column:
     """A candidate is promoted if it gains at least so much and its interval lies above 0."""
     return F.coalesce((gain >= least) & (low > 0), F.lit(False))

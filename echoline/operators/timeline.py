@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echoline.functions.config import HISTORY
+from echoline.operators.ranking import bucket_of, quantile_cuts
 
 #: Steps and seconds per step of a level trace, samples of a chart.
 TRACE_STEPS, TRACE_STEP, CHART_SAMPLES = 80, 0.1, 240
@@ -43,17 +44,18 @@ def latest_by_range(left: DataFrame, right: DataFrame, time: str, value: str, ra
     of right rows at one time the largest value counts. A null time gets null.
     """
     t = F.col(time)
-    measured = right.filter(t.isNotNull() & F.col(value).isNotNull()).groupBy(time).agg(F.max(value).alias("__v"))
-    asked = left.select(time).filter(t.isNotNull()).distinct()
-    places = [i / ranges for i in range(1, ranges)]
-    cuts = sorted(set(measured.select(time).unionByName(asked).select(t.cast("double").alias("t")).approxQuantile("t", places, 1 / (4 * ranges)))) if places else []
-    at = lambda x: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= x.cast("double"))) if cuts else F.lit(0)
-    both = measured.withColumn("__asked", F.lit(False)).unionByName(asked.withColumns({"__v": F.lit(None).cast(measured.schema["__v"].dataType), "__asked": F.lit(True)})).withColumn("__b", at(t))
-    tops = both.groupBy("__b").agg(F.max_by("__v", F.when(~F.col("__asked"), t)).alias("__top"))  # at most ``ranges`` rows
+    kind = right.schema[value].dataType
+    given = right.filter(t.isNotNull() & F.col(value).isNotNull()).select(time, F.col(value).alias("__v"), F.lit(False).alias("__asked"))
+    asked = left.filter(t.isNotNull()).select(time, F.lit(None).cast(kind).alias("__v"), F.lit(True).alias("__asked"))
+    times = given.unionByName(asked).groupBy(time).agg(F.max("__v").alias("__v"), F.max("__asked").alias("__asked"))
+    cut = times.crossJoin(F.broadcast(quantile_cuts(times, time, ranges)))  # one row
+    both = cut.withColumn("__b", bucket_of(t, F.col("cuts"), ranges)).drop("cuts")
+    known = F.when(F.col("__v").isNotNull(), t)
+    tops = both.groupBy("__b").agg(F.max_by("__v", known).alias("__top"), F.min_by("__v", known).alias("__low"))  # at most ``ranges`` rows
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    first = measured.agg(F.min_by("__v", time).alias("__first"))
-    carried = tops.select("__b", F.last("__top", ignorenulls=True).over(before).alias("__before")).crossJoin(first)
-    inside = Window.partitionBy("__b").orderBy(time, "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carried = tops.select("__b", F.last("__top", ignorenulls=True).over(before).alias("__before"), F.first("__low", ignorenulls=True).over(every).alias("__first"))
+    inside = Window.partitionBy("__b").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     read = both.join(F.broadcast(carried), "__b").withColumn(value, F.coalesce(F.last("__v", ignorenulls=True).over(inside), "__before", "__first"))
     return left.join(read.filter("__asked").select(time, value), time, "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echoline.plans import domain_queries, queries, relation_queries, study_queries  # noqa: F401
+from echoline.plans import domain_queries, queries, relation_queries, signal_queries, study_queries  # noqa: F401
 from echoline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

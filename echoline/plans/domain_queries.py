@@ -9,7 +9,8 @@ from echoline.functions import narration as N
 from echoline.functions import series, stress
 from echoline.functions import signals as S
 from echoline.operators import audit, metrics, overlap, resampling, tracking
-from echoline.plans.queries import AUC, DRAWS, MEDIANS
+from echoline.functions.config import DRAWS as DRAWN
+from echoline.plans.queries import AUC, BOTH, DELTA, DRAWS, MEDIANS
 from echoline.plans.registry import query, rounded
 from echoline.plans.tables import PREDICTIONS_SQL, SIGNALS_SQL, predictions, signals, table, windows, windows_sql
 from echoline.sources import manifests
@@ -139,21 +140,22 @@ def terminal_softmax(spark, sf_dir):
 
 
 # --- selection ------------------------------------------------------------------------------------------------------
-@query(f"""WITH pr AS {PREDICTIONS_SQL}, {DRAWS.format(draws=20)} SELECT draw, count(*) AS clips, count(DISTINCT dr.group_id || '#' || k) AS groups_, CAST(sum(y) AS BIGINT) AS positive FROM dr JOIN pr USING (group_id) GROUP BY draw""")
+@query(f"""WITH pr AS {PREDICTIONS_SQL}, {DRAWS.format(draws=DRAWN)} SELECT draw, count(*) AS clips, count(DISTINCT dr.group_id || '#' || k) AS groups_, CAST(sum(y) AS BIGINT) AS positive FROM dr JOIN pr USING (group_id) GROUP BY draw""")
 def resample_expansion(spark, sf_dir):
     rows = predictions(spark, sf_dir)
-    r = resampling.resampled(rows, metrics.draws(rows, 20, "s"))
-    return r.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("clips"), F.countDistinct("group_id").alias("groups_"), F.sum("y").alias("positive"))
+    # Every drawn group brings all its clips: their counts travel, not the clips.
+    groups = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("clips"), F.sum("y").alias("positive"))
+    r = resampling.resampled(groups, metrics.draws(groups, DRAWN, "s"))
+    return r.groupBy(F.col("draw").cast("long").alias("draw")).agg(F.sum("clips").alias("clips"), F.countDistinct("group_id").alias("groups_"), F.sum("positive").alias("positive"))
 
 
 @query(f"""WITH pr AS {PREDICTIONS_SQL}, {MEDIANS}, g AS (SELECT group_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(group_id), group_id) - 1 AS r FROM m), n AS (SELECT y, count(*) AS n FROM m GROUP BY y),
-d AS (SELECT y, draw, k, CAST('0x' || substr(md5('s:' || draw || ':' || k), 1, 12) AS BIGINT) % n AS r FROM n, range(100) a(draw), LATERAL (SELECT unnest(range(n)) AS k)),
-x AS (SELECT draw, m.y, m.p FROM d JOIN g ON d.y = g.y AND d.r = g.r JOIN m USING (group_id)), {AUC.format(by='draw')}
-SELECT round(quantile_cont(roc_auc, 0.025), 9) AS low, round(quantile_cont(roc_auc, 0.975), 9) AS high, count(*) AS draws FROM auc""")
+d AS (SELECT y, draw, k, CAST('0x' || substr(md5('s:' || draw || ':' || k), 1, 12) AS BIGINT) % n AS r FROM n, range({DRAWN}) a(draw), LATERAL (SELECT unnest(range(n)) AS k)),
+b AS (SELECT CAST(draw AS VARCHAR) AS draw, m.y, m.p, m.p_b FROM d JOIN g ON d.y = g.y AND d.r = g.r JOIN m USING (group_id) UNION ALL SELECT 'all', y, p, p_b FROM m), {BOTH}, {AUC.format(by='key')}, {DELTA}""")
 def stratified_bootstrap(spark, sf_dir):
-    groups = metrics.group_medians(predictions(spark, sf_dir)).select("group_id", "p", "y")
-    drawn = resampling.stratified_draws(groups, 100, "s").select("draw", "k", "group_id")
-    return rounded(metrics.interval(metrics.bootstrap_auc(groups, drawn), "roc_auc"), "low", "high")
+    groups = predictions(spark, sf_dir).groupBy("group_id").agg(F.median("p").alias("p"), F.median("p_b").alias("p_b"), F.max("y").alias("y"))
+    drawn = resampling.stratified_draws(groups, DRAWN, "s").select("draw", "k", "group_id")
+    return rounded(resampling.paired_delta(groups, drawn), "observed", "low", "high")
 
 
 @query()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from echoline.functions import features
+from echoline.functions import config, features
 from echoline.functions import signals as S
-from echoline.operators import audit, metrics, ranking, timeline, tracking
+from echoline.operators import audit, metrics, ranking, resampling, timeline, tracking
 from echoline.plans.registry import query, rounded
 from echoline.plans.tables import LINES_SQL, PREDICTIONS_SQL, SIGNALS_SQL, lines, predictions, signals, table, windows, windows_sql
 
@@ -161,23 +161,26 @@ def _drawn(spark, sf_dir, n):
     return groups, metrics.draws(groups, n, "s")
 
 
-@query(f"""WITH pr AS {PREDICTIONS_SQL}, {MEDIANS}, {DRAWS.format(draws=200)}, x AS (SELECT draw, y, p FROM dr JOIN m USING (group_id)), {AUC.format(by='draw')}
+@query(f"""WITH pr AS {PREDICTIONS_SQL}, {MEDIANS}, {DRAWS.format(draws=config.DRAWS)}, x AS (SELECT draw, y, p FROM dr JOIN m USING (group_id)), {AUC.format(by='draw')}
 SELECT round(quantile_cont(roc_auc, 0.025), 9) AS low, round(quantile_cont(roc_auc, 0.975), 9) AS high, count(*) AS draws FROM auc WHERE roc_auc IS NOT NULL""")
 def bootstrap_ci(spark, sf_dir):
-    groups, drawn = _drawn(spark, sf_dir, 200)
+    groups, drawn = _drawn(spark, sf_dir, config.DRAWS)
     return rounded(metrics.interval(metrics.bootstrap_auc(groups, drawn), "roc_auc"), "low", "high")
 
 
-@query(f"""WITH pr AS {PREDICTIONS_SQL}, {MEDIANS}, {DRAWS.format(draws=200)}, x AS (SELECT draw || '/a' AS key, y, p FROM dr JOIN m USING (group_id) UNION ALL SELECT draw || '/b', y, p_b FROM dr JOIN m USING (group_id)),
-{AUC.format(by='key')}, v AS (SELECT split_part(key, '/', 1) AS draw, max(roc_auc) FILTER (key LIKE '%a') - max(roc_auc) FILTER (key LIKE '%b') AS delta FROM auc GROUP BY 1)
-SELECT low, high, draws, CASE WHEN low > 0 THEN 'A better' WHEN high < 0 THEN 'B better' ELSE 'inconclusive' END AS verdict
-FROM (SELECT round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high, count(*) AS draws FROM v WHERE delta IS NOT NULL)""")
+#: AUC of both scores per key ``<draw>/a`` and ``<draw>/b`` of x; their differences by draw, and that of all groups without a draw.
+DELTA = """v AS (SELECT split_part(key, '/', 1) AS draw, max(roc_auc) FILTER (key LIKE '%a') - max(roc_auc) FILTER (key LIKE '%b') AS delta FROM auc GROUP BY 1),
+o AS (SELECT delta AS observed FROM v WHERE draw = 'all')
+SELECT round(observed, 9) AS observed, low, high, draws, CASE WHEN low > 0 THEN 'A better' WHEN high < 0 THEN 'B better' ELSE 'inconclusive' END AS verdict
+FROM (SELECT round(quantile_cont(delta, 0.025), 9) AS low, round(quantile_cont(delta, 0.975), 9) AS high, count(*) AS draws FROM v WHERE delta IS NOT NULL AND draw <> 'all') CROSS JOIN o"""
+BOTH = """x AS (SELECT draw || '/a' AS key, y, p FROM b UNION ALL SELECT draw || '/b', y, p_b FROM b)"""
+
+
+@query(f"""WITH pr AS {PREDICTIONS_SQL}, {MEDIANS}, {DRAWS.format(draws=config.DRAWS)}, b AS (SELECT CAST(draw AS VARCHAR) AS draw, y, p, p_b FROM dr JOIN m USING (group_id) UNION ALL SELECT 'all', y, p, p_b FROM m),
+{BOTH}, {AUC.format(by='key')}, {DELTA}""")
 def paired_delta(spark, sf_dir):
-    groups, drawn = _drawn(spark, sf_dir, 200)
-    long = drawn.join(groups, "group_id").select("draw", "y", F.explode(F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array("p", "p_b"))).alias("run", "p"))
-    by_run = metrics.roc_auc(long, ["draw", "run"]).groupBy("draw").pivot("run", ["a", "b"]).agg(F.first("roc_auc"))
-    ci = rounded(metrics.interval(by_run.select("draw", (F.col("a") - F.col("b")).alias("delta")), "delta"), "low", "high")
-    return ci.withColumn("verdict", metrics.verdict(F.col("low"), F.col("high")))
+    groups, drawn = _drawn(spark, sf_dir, config.DRAWS)
+    return rounded(resampling.paired_delta(groups, drawn), "observed", "low", "high")
 
 
 @query(f"SELECT fold, count(*) FILTER (y = 0) AS negative, count(*) FILTER (y = 1) AS positive FROM {PREDICTIONS_SQL} GROUP BY fold")
