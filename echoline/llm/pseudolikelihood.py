@@ -1,27 +1,28 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
 The network predicts a word from ``REACH`` words on each side: a table of vectors per offset, their sum through
-tanh, then a softmax over classes of words and one over the words of a class. A document's score is the sum of
+tanh, then a softmax over classes of units and one over the units of a class. A document's score is the sum of
 the log-probabilities of all its words, each given its neighbours on both sides.
 
-Units are the most frequent words of the whole corpus, counted over all documents, and ``REST`` buckets by hash
-for all others. A word of a bucket has the bucket's probability times its share of it, from the counts of all
-words; a part of the bucket, as large as that of the words seen once, is for words never seen, spelled at random.
-The tasks know the shares of up to ``LISTED`` words; the counts of all rarer ones are joined. Training masks one place in ``EVERY`` of every document, chosen by a hash, so that what training
-sees grows with the corpus; the masked places are dealt evenly over tasks, each task goes on from the shared
-weights in numpy, and the weights are averaged by Spark, block by block, in ``ROUNDS`` rounds with places of
-their own. Only the model, whose size is fixed, comes to the driver.
+All counted words are leaves of that tree. The most frequent ones are units of their own; every other word belongs to the unit of
+its ending, to the network also as a neighbour, and has that unit's probability times its share of it, from the counts of all words;
+a part of the unit, as large as that of the words seen once, is for words never seen, spelled at random. How many units there are
+grows with the number of distinct words (``size_of``). The tasks know the shares of up to ``LISTED`` words; the counts of all rarer ones are joined.
+
+Training masks every place of every document once. Texts become rows of units, pieces of at most ``PIECE`` words, which are dealt
+by a hash over ``ROUNDS`` rounds and seats; a seat's pieces are sorted, it goes on from the shared weights in numpy, and Spark averages
+the weights of the seats, block by block and seat by seat. The number of seats follows from the words and the model's weights alone, so the result
+doesn't depend on how many tasks or partitions a session has. Only the model comes to the driver.
 
 Cases: a null text has no words, as has one without letters or digits: sum 0, mean null; a text of one word is
 predicted from its borders; repeated rows are scored each; equally frequent words rank by hash; an empty table
-gives no rows, a corpus without words the untrained network; other columns are ignored. Weights are sums of
-floats in the order tasks deliver them: a rerun may differ in the last digits, scores are rounded to 1e-3.
+gives no rows, a corpus without words the untrained network; other columns are ignored. Scores are rounded to 1e-3.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from math import log
+from math import log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,14 @@ from echoline.llm.common import blocks, mix64, text_bytes
 from echoline.llm.decontaminate import hashed, powers, word_spans
 from echoline.session import stored
 
-KNOWN, REST, CLASSES = 1984, 64, 64
-UNITS = KNOWN + REST
-WIDE = UNITS // CLASSES
-BORDER, REACH, WIDTH = UNITS, 2, 32
-EVERY, ROUNDS, BATCH, HELD, RATE = 8, 3, 512, 1 << 16, 0.1
+#: Units are about so many times the cube root of the distinct words; the part of them that holds the rarer words by ending.
+GROWTH, LEAST_UNITS, RARE = 40, 256, 4
+REACH, WIDTH = 2, 32
+ROUNDS, RATE = 3, 0.1
+#: A seat has at least so many places for each of the model's weights, and about so many steps if a batch between the bounds allows it.
+PER_WEIGHT, STEPS, BATCHES = 2, 200, (256, 8192)
+#: Words of a piece; places that a seat shuffles and learns at a time.
+PIECE, HELD = 1 << 15, 1 << 16
 #: Bytes of text in a step of the scans, most distinct words a task holds before it hands counts on, words in a step of scoring.
 STEP, DISTINCT, SLICE = 1 << 20, 1 << 18, 8192
 BLOCK = 2048
@@ -44,9 +48,53 @@ BLOCK = 2048
 LISTED, SIGNS, LAST = 1 << 18, 164, 1 / 8
 
 
+@dataclass(frozen=True)
+class Size:
+    """How many units and classes a network has: known words first, then the units of rarer words."""
+
+    units: int
+    classes: int
+
+    @property
+    def rest(self) -> int:
+        return self.units // RARE
+
+    @property
+    def known(self) -> int:
+        return self.units - self.rest
+
+    @property
+    def wide(self) -> int:
+        return self.units // self.classes
+
+    @property
+    def border(self) -> int:
+        return self.units
+
+    @property
+    def kind(self) -> type:
+        """The integers that hold a unit or the border."""
+        return np.uint16 if self.units < 1 << 16 else np.uint32
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        return {
+            "near": (2 * REACH, self.units + 1, WIDTH), "bias": (WIDTH,), "kind": (self.classes, WIDTH), "kind_bias": (self.classes,),
+            "word": (self.classes, self.wide, WIDTH), "word_bias": (self.classes, self.wide),
+        }
+
+    def weights(self) -> int:
+        return sum(int(np.prod(v)) for v in self.shapes().values())
+
+
+def size_of(distinct: int) -> Size:
+    """The network's size for so many distinct words: powers of two, classes about as many as units in a class."""
+    units = max(LEAST_UNITS, 1 << round(log2(GROWTH * max(1, distinct) ** (1 / 3))))
+    return Size(units, 1 << (units.bit_length() - 1) // 2)
+
+
 @dataclass
 class Shares:
-    """Counts of words by sorted hash; by bucket, the words in it and the part for unseen words; counts of all words, if some are not listed."""
+    """Counts of words by sorted hash; by rare unit, the words in it and the part for unseen words; counts of all words, if some are not listed."""
 
     hashes: np.ndarray
     n: np.ndarray
@@ -57,33 +105,40 @@ class Shares:
 
 @dataclass
 class Model:
-    """Known words (sorted hashes and their units), the network's weights by name, and the words' shares of their buckets."""
+    """Known words (sorted hashes and their units), the network's weights by name, the words' shares of their units, and the words counted."""
 
+    size: Size
     hashes: np.ndarray
     units: np.ndarray
     weights: dict[str, np.ndarray]
     shares: Shares | None = None
+    total: int = 0
 
 
-SHAPES = {"near": (2 * REACH, UNITS + 1, WIDTH), "bias": (WIDTH,), "kind": (CLASSES, WIDTH), "kind_bias": (CLASSES,), "word": (CLASSES, WIDE, WIDTH), "word_bias": (CLASSES, WIDE)}
-
-
-def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
+def unpacked(flat: np.ndarray, size: Size) -> dict[str, np.ndarray]:
     """Weights by name as views of one vector."""
     out, at = {}, 0
-    for name, shape in SHAPES.items():
+    for name, shape in size.shapes().items():
         n = int(np.prod(shape))
         out[name] = flat[at : at + n].reshape(shape)
         at += n
     return out
 
 
-def packed(weights: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([weights[k].ravel() for k in SHAPES]).astype(np.float32)
+def packed(weights: dict[str, np.ndarray], size: Size) -> np.ndarray:
+    return np.concatenate([weights[k].ravel() for k in size.shapes()]).astype(np.float32)
+
+
+def endings(folded: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash of the last three bytes of each word."""
+    last = folded[e - 1].astype(np.uint64)
+    for k in (2, 3):
+        last |= np.where(e - s >= k, folded[np.maximum(e - k, s)], 0).astype(np.uint64) << np.uint64(8 * (k - 1))
+    return mix64(last)
 
 
 def _scan(docs: DataFrame, schema: str, tell):
-    """Map steps of documents: ``tell(batch, i, j, hashes, counts, sizes)`` yields Arrow batches; ``tell(None, ...)`` ends a task."""
+    """Map steps of documents: ``tell(batch, i, j, hashes, counts, sizes, tails)`` yields Arrow batches; ``tell(None, ...)`` ends a task."""
 
     def run(batches):
         known = powers(STEP + 1)
@@ -93,55 +148,54 @@ def _scan(docs: DataFrame, schema: str, tell):
             for i, j in blocks(offsets, STEP):
                 at = offsets[i : j + 1] - offsets[i]
                 folded, s, e = word_spans(data[offsets[i] : offsets[j]], at)
-                yield from told(b, i, j, *hashed(folded, s, e, at, known), e - s)
-        yield from told(None, 0, 0, None, None, None)
+                yield from told(b, i, j, *hashed(folded, s, e, at, known), e - s, endings(folded, s, e))
+        yield from told(None, 0, 0, None, None, None, None)
 
     return docs.mapInArrow(run, schema)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word hash, n) over all documents; tasks add up what they can hold before the shuffle."""
+    """(word hash, ending, n) over all documents; tasks add up what they can hold before the shuffle."""
 
     def tell():
-        parts, size = [], 0
+        parts, held = [], 0
 
         def added():
-            h = np.concatenate([p[0] for p in parts])
-            n = np.concatenate([p[1] for p in parts])
-            own, back = np.unique(h, return_inverse=True)
-            return own, np.bincount(back, weights=n, minlength=len(own)).astype(np.int64)
+            h, t, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            own, first, back = np.unique(h, return_index=True, return_inverse=True)
+            return own, t[first], np.bincount(back, weights=n, minlength=len(own)).astype(np.int64)
 
-        def step(batch, i, j, hashes, counts, sizes):
-            nonlocal parts, size
+        def step(batch, i, j, hashes, counts, sizes, tails):
+            nonlocal parts, held
             if batch is not None:
-                own = np.unique(hashes, return_counts=True)
-                parts.append(own)
-                size += len(own[0])
-                if size < DISTINCT:
+                own, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                parts.append((own, tails[first], n))
+                held += len(own)
+                if held < DISTINCT:
                     return
                 parts = [added()]
-                size = len(parts[0][0])
-                if size < DISTINCT // 2:
+                held = len(parts[0][0])
+                if held < DISTINCT // 2:
                     return
             if parts:
-                h, n = added()
-                parts, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["word", "n"])
+                h, t, n = added()
+                parts, held = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.view(np.int64)), pa.array(n)], ["word", "ending", "n"])
 
         return step
 
-    return _scan(docs.select("text"), "word long, n long", tell).groupBy("word").agg(F.sum("n").alias("n"))
+    return _scan(docs.select("text"), "word long, ending long, n long", tell).groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
-def word_shares(counts: DataFrame, known: np.ndarray, n: np.ndarray, listed: int = LISTED) -> Shares:
-    """Shares of the words outside ``known`` (hashes, with counts ``n``) of their buckets."""
-    total, once = np.zeros(REST), np.zeros(REST)
-    own = counts.groupBy(F.col("word").bitwiseAND(REST - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"))
+def word_shares(counts: DataFrame, size: Size, known: np.ndarray, n: np.ndarray, tails: np.ndarray, listed: int = LISTED) -> Shares:
+    """Shares of the words outside ``known`` (hashes, with counts ``n`` and their endings) of their units."""
+    total, once = np.zeros(size.rest), np.zeros(size.rest)
+    own = counts.groupBy(F.col("ending").bitwiseAND(size.rest - 1).alias("unit")).agg(F.sum("n").alias("n"), F.count_if(F.col("n") == 1).alias("once"))
     for r in own.collect():
-        total[r["bucket"]], once[r["bucket"]] = r["n"], r["once"]
-    bucket = (known % np.uint64(REST)).astype(np.int64)
-    total -= np.bincount(bucket, weights=n, minlength=REST)
-    once -= np.bincount(bucket, weights=n == 1, minlength=REST)
+        total[r["unit"]], once[r["unit"]] = r["n"], r["once"]
+    unit = (tails % np.uint64(size.rest)).astype(np.int64)
+    total -= np.bincount(unit, weights=n, minlength=size.rest)
+    once -= np.bincount(unit, weights=n == 1, minlength=size.rest)
     least, room = None, listed + len(known)
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
         room -= r["count"]
@@ -152,29 +206,33 @@ def word_shares(counts: DataFrame, known: np.ndarray, n: np.ndarray, listed: int
     found = found.select("word", "n").toArrow()
     h, m = found.column("word").to_numpy().view(np.uint64), found.column("n").to_numpy()
     order = np.argsort(h)
-    return Shares(h[order], m[order], total, np.maximum(once, 1), counts if room < 0 else None)
+    return Shares(h[order], m[order], total, np.maximum(once, 1), counts.select("word", "n") if room < 0 else None)
 
 
 def untrained(counts: DataFrame, seed: int = 1, listed: int = LISTED) -> Model:
     """The most frequent words, most frequent first, and a network that gives each unit its share of the corpus."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    share = np.ones(UNITS)
-    share[: len(top)] += [r["n"] for r in top]
-    share[KNOWN:] += max(0, total - sum(r["n"] for r in top)) / REST
-    share = np.log(share / share.sum()).reshape(CLASSES, WIDE)
+    distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    size = size_of(distinct)
+    top = counts.orderBy(F.desc("n"), "word").limit(size.known).collect()
+    hashes, tails = (np.array([r[c] for r in top], np.int64).view(np.uint64) for c in ("word", "ending"))
+    n = np.array([r["n"] for r in top], np.int64)
+    shares = word_shares(counts, size, hashes, n, tails, listed)
+    share = np.ones(size.units)
+    share[: len(top)] += n
+    share[size.known :] += shares.total
+    share = np.log(share / share.sum()).reshape(size.classes, size.wide)
     kinds = np.log(np.exp(share).sum(axis=1))
-    weights = {k: np.zeros(v, np.float32) for k, v in SHAPES.items()}
+    weights = {k: np.zeros(v, np.float32) for k, v in size.shapes().items()}
     rng = np.random.default_rng(seed)
-    weights["near"][:] = rng.normal(0, 0.1, SHAPES["near"])
+    weights["near"][:] = rng.normal(0, 0.1, weights["near"].shape)
     weights["kind_bias"][:], weights["word_bias"][:] = kinds, share - kinds[:, None]
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Model(hashes[order], order.astype(np.int16), weights, word_shares(counts, hashes, np.array([r["n"] for r in top], np.int64), listed))
+    return Model(size, hashes[order], order, weights, shares, total)
 
 
-def units_of(hashes: np.ndarray, model: Model) -> np.ndarray:
-    out = (hashes % np.uint64(REST)).astype(np.int16) + np.int16(KNOWN)
+def units_of(hashes: np.ndarray, tails: np.ndarray, model: Model) -> np.ndarray:
+    """The unit of each word: its own, or that of its ending."""
+    out = (tails % np.uint64(model.size.rest)).astype(model.size.kind) + model.size.kind(model.size.known)
     if len(model.hashes):
         at = np.minimum(np.searchsorted(model.hashes, hashes), len(model.hashes) - 1)
         hit = model.hashes[at] == hashes
@@ -182,15 +240,16 @@ def units_of(hashes: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
-def in_bucket(hashes: np.ndarray, sizes: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words outside the units: log of their share of the bucket, whether their count is still missing, and log of the part that needs none.
+def in_unit(hashes: np.ndarray, sizes: np.ndarray, tails: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words outside the known: log of their share of the unit, whether their count is still missing, and log of the part that needs none.
 
     The share is (n + unseen * spelled) / (total + unseen); where the count is missing, the first result is only
-    the log of the divisor's inverse. The spellings of all words add up to REST, those of a bucket to about 1.
+    the log of the divisor's inverse. The spellings of all words add up to the number of rare units, those of a unit to about 1.
     """
-    bucket = (hashes % np.uint64(REST)).astype(np.int64)
-    spelled = log(REST * LAST / (1 - LAST)) + sizes * log((1 - LAST) / SIGNS) + np.log(shares.unseen)[bucket]
-    base = -np.log(shares.total + shares.unseen)[bucket]
+    rest = len(shares.total)
+    unit = (tails % np.uint64(rest)).astype(np.int64)
+    spelled = log(rest * LAST / (1 - LAST)) + sizes * log((1 - LAST) / SIGNS) + np.log(shares.unseen)[unit]
+    base = -np.log(shares.total + shares.unseen)[unit]
     n = np.zeros(len(hashes))
     if len(shares.hashes):
         at = np.minimum(np.searchsorted(shares.hashes, hashes), len(shares.hashes) - 1)
@@ -202,10 +261,10 @@ def in_bucket(hashes: np.ndarray, sizes: np.ndarray, shares: Shares) -> tuple[np
     return np.where(missing, base, found), missing, spelled
 
 
-def bordered(units: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bordered(units: np.ndarray, counts: np.ndarray, size: Size) -> tuple[np.ndarray, np.ndarray]:
     """All units with ``REACH`` borders around each text, and the places of the units in it."""
     places = np.arange(len(units)) + REACH * (np.repeat(np.arange(len(counts)), counts) + 1)
-    row = np.full(len(units) + REACH * (len(counts) + 1), BORDER, np.int16)
+    row = np.full(len(units) + REACH * (len(counts) + 1), size.border, size.kind)
     row[places] = units
     return row, places
 
@@ -233,7 +292,8 @@ def _hidden(near: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
 
 def log_probabilities(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     """Log-probability of each target unit given its neighbours (one row of ``near`` per offset)."""
-    kind = (target // WIDE).astype(np.uint8)
+    classes, wide, _ = w["word"].shape
+    kind = (target // wide).astype(np.uint16)
     order = np.argsort(kind, kind="stable")
     near, target, kind = near[:, order], target[order], kind[order]
     h = _hidden(near, w)
@@ -241,13 +301,13 @@ def log_probabilities(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndar
     logits = h @ w["kind"].T + w["kind_bias"]
     picked = logits[every, kind]
     out = picked - _softmax(logits)[0]
-    ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-    logits = np.empty((len(target), WIDE), np.float32)
-    for c in range(CLASSES):
+    ends = np.cumsum(np.bincount(kind, minlength=classes))
+    logits = np.empty((len(target), wide), np.float32)
+    for c in range(classes):
         a, b = ends[c - 1] if c else 0, ends[c]
         if a < b:
             logits[a:b] = h[a:b] @ w["word"][c].T + w["word_bias"][c]
-    picked = logits[every, target % WIDE]
+    picked = logits[every, target % wide]
     out += picked - _softmax(logits)[0]
     back = np.empty_like(out)
     back[order] = out
@@ -256,94 +316,119 @@ def log_probabilities(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndar
 
 def step(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray], seen: dict[str, np.ndarray], rate: float = RATE) -> None:
     """One Adagrad step on a batch; ``seen`` sums the squared gradients."""
-    n = len(target)
-    kind = target // WIDE
+    classes, wide, _ = w["word"].shape
+    n, every = len(target), np.arange(len(target))
+    kind = (target // wide).astype(np.uint16)
     order = np.argsort(kind, kind="stable")
     near, target, kind = near[:, order], target[order], kind[order]
-    h, every = _hidden(near, w), np.arange(n)
+    h = _hidden(near, w)
     _, g = _softmax(h @ w["kind"].T + w["kind_bias"])
     g[every, kind] -= 1
     back = g @ w["kind"]
-    grads = {"kind": g.T @ h, "kind_bias": g.sum(axis=0), "word": np.zeros(SHAPES["word"], np.float32), "word_bias": np.zeros(SHAPES["word_bias"], np.float32)}
-    ends = np.cumsum(np.bincount(kind, minlength=CLASSES))
-    for c in np.unique(kind).tolist():
-        a, b = ends[c - 1] if c else 0, ends[c]
-        _, g = _softmax(h[a:b] @ w["word"][c].T + w["word_bias"][c])
-        g[np.arange(b - a), target[a:b] % WIDE] -= 1
-        back[a:b] += g @ w["word"][c]
-        grads["word"][c], grads["word_bias"][c] = g.T @ h[a:b], g.sum(axis=0)
+    grads = {"kind": g.T @ h, "kind_bias": g.sum(axis=0)}
+    ends = np.cumsum(np.bincount(kind, minlength=classes))
+    logits = np.empty((n, wide), np.float32)
+    spans = [(c, ends[c - 1] if c else 0, ends[c]) for c in range(classes) if (ends[c - 1] if c else 0) < ends[c]]
+    for c, a, b in spans:
+        logits[a:b] = h[a:b] @ w["word"][c].T + w["word_bias"][c]
+    _, g = _softmax(logits)
+    g[every, target % wide] -= 1
+    for c, a, b in spans:
+        back[a:b] += g[a:b] @ w["word"][c]
+        own, bias = g[a:b].T @ h[a:b] / n, g[a:b].sum(axis=0) / n
+        for name, grad in (("word", own), ("word_bias", bias)):
+            seen[name][c] += grad * grad
+            w[name][c] -= rate * grad / np.sqrt(seen[name][c])
     back *= 1 - h * h
     grads["bias"] = back.sum(axis=0)
-    for name, g in grads.items():
-        g /= n
-        seen[name] += g * g
-        w[name] -= rate * g / np.sqrt(seen[name])
+    for name, grad in grads.items():
+        grad = grad / n
+        seen[name] += grad * grad
+        w[name] -= rate * grad / np.sqrt(seen[name])
     for k in range(2 * REACH):
         by = np.argsort(near[k], kind="stable")
         unit = near[k][by]
         first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-        g, unit = np.add.reduceat(back[by], first, axis=0) / n, unit[first]
-        seen["near"][k][unit] += g * g
-        w["near"][k][unit] -= rate * g / np.sqrt(seen["near"][k][unit])
+        grad, unit = np.add.reduceat(back[by], first, axis=0) / n, unit[first]
+        past = seen["near"][k][unit] + grad * grad
+        seen["near"][k][unit] = past
+        w["near"][k][unit] -= rate * grad / np.sqrt(past)
 
 
-def masked(docs: DataFrame, model: Model) -> DataFrame:
-    """(round, places binary): masked places of all documents as int16 rows (neighbours, target), dealt evenly."""
-    names = ["round", "places"]
-    own = Model(model.hashes, model.units, model.weights)
+def encoded(docs: DataFrame, model: Model, slots: int) -> DataFrame:
+    """(slot, key, part, cells binary): texts as units between their borders or neighbours, in pieces that are dealt over ``slots``.
 
-    def tell():
+    A slot and the order in it follow from the document and its piece alone.
+    """
+    own, size = Model(model.size, model.hashes, model.units, {}), model.size
 
-        def run(batch, i, j, hashes, counts, sizes):
+    def tell():
+        def run(batch, i, j, hashes, counts, sizes, tails):
             if batch is None or not len(hashes):
                 return
-            row, places = bordered(units_of(hashes, own), counts)
-            # The choice depends on the word, its neighbour and its place: copies of a text mask the same places.
-            nth = np.arange(len(hashes), dtype=np.uint64) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.uint64)
-            draw = mix64(hashes ^ (nth * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(EVERY * ROUNDS)
-            for r in range(ROUNDS):
-                p = places[draw == r]
-                if len(p):
-                    cells = np.stack([*(row[p + o] for o in OFFSETS), row[p]], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([cells.tobytes()], pa.binary())], names)
+            row, _ = bordered(units_of(hashes, tails, own), counts, size)
+            ends = np.cumsum(counts) + REACH * np.arange(1, len(counts) + 1)
+            keys, parts, cells, which = batch.column("key").slice(i, j - i), [], [], []
+            for d in np.flatnonzero(counts).tolist():
+                last, first = int(ends[d]), int(ends[d] - counts[d])
+                for part, at in enumerate(range(first, last, PIECE)):
+                    which.append(d)
+                    parts.append(part)
+                    cells.append(row[at - REACH : min(at + PIECE, last) + REACH].tobytes())
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(which, pa.int64())), pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], ["key", "part", "cells"])
 
         return run
 
-    found = _scan(docs.select("text"), "round int, places binary", tell)
-    return found.withColumn("seat", F.monotonically_increasing_id()).repartition("seat").drop("seat")
-
-
-def trained(places: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """One round: every task goes on from ``weights`` over its places; the results are averaged by places seen."""
-    start = packed(weights)
+    found = _scan(docs.select("text", F.xxhash64("doc_id", "text").alias("key")), "key long, part int, cells binary", tell)
+    return found.select(F.pmod(F.xxhash64("key", "part"), F.lit(slots)).cast("int").alias("slot"), "key", "part", "cells")
+
+
+def trained(pieces: DataFrame, weights: dict[str, np.ndarray], size: Size, batch: int) -> dict[str, np.ndarray]:
+    """One round over pieces sorted by slot in their partitions: every slot goes on from ``weights``; the results are averaged by places."""
+    start = packed(weights, size)
+
+    class Seat:
+        """Learns the places of one slot as they come, ``HELD`` at a time."""
+
+        def __init__(self, slot: int):
+            self.slot, self.flat, self.rng, self.total = slot, start.copy(), np.random.default_rng((7, slot)), 0
+            self.w, self.held, self.size = unpacked(self.flat, size), [], 0
+            self.seen = {k: np.full(v, 1e-6, np.float32) for k, v in size.shapes().items()}
+
+        def take(self, cells: bytes) -> None:
+            row = np.frombuffer(cells, size.kind)
+            n = len(row) - 2 * REACH
+            self.held.append(np.stack([row[REACH + o : REACH + o + n] for o in (*OFFSETS, 0)]))
+            self.size += n
+            if self.size >= HELD:
+                self.learn()
+
+        def learn(self) -> None:
+            if self.size:
+                cells = np.concatenate(self.held, axis=1)
+                cells = cells[:, self.rng.permutation(self.size)]
+                for a in range(0, self.size, batch):
+                    step(cells[:-1, a : a + batch], cells[-1, a : a + batch], self.w, self.seen)
+                self.total += self.size
+            self.held, self.size = [], 0
+
+        def done(self) -> pa.RecordBatch:
+            self.learn()
+            parts = [self.flat[a : a + BLOCK].tobytes() for a in range(0, len(self.flat), BLOCK)]
+            n = len(parts)
+            return pa.RecordBatch.from_arrays([pa.array([self.slot] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([self.total] * n, pa.int64()), pa.array(parts, pa.binary())], ["slot", "block", "n", "w"])
 
     def fit(batches):
-        flat, rng, total = start.copy(), np.random.default_rng(7), 0
-        w = unpacked(flat)
-        seen = {k: np.full(v, 1e-6, np.float32) for k, v in SHAPES.items()}
-        held, size = [], 0
-
-        def learn():
-            cells = np.concatenate(held)
-            rng.shuffle(cells)
-            for a in range(0, len(cells), BATCH):
-                part = cells[a : a + BATCH].astype(np.int64)
-                step(np.ascontiguousarray(part[:, :-1].T), part[:, -1], w, seen)
-
+        now = None
         for b in batches:
-            for data in b.column("places"):
-                cells = np.frombuffer(data.as_py(), np.int16).reshape(-1, 2 * REACH + 1)
-                held.append(cells)
-                size += len(cells)
-                total += len(cells)
-                if size >= HELD:
-                    learn()
-                    held, size = [], 0
-        if size:
-            learn()
-        if total:
-            parts = [flat[a : a + BLOCK] for a in range(0, len(flat), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([total] * len(parts), pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["block", "n", "w"])
+            for slot, cells in zip(b.column("slot").to_pylist(), b.column("cells"), strict=True):
+                if now is None or now.slot != slot:
+                    if now is not None:
+                        yield now.done()
+                    now = Seat(slot)
+                now.take(cells.as_py())
+        if now is not None:
+            yield now.done()
 
     def added(batches):
         sums: dict[int, list] = {}
@@ -355,19 +440,23 @@ def trained(places: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.n
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / n).astype(np.float32).tobytes() for n, x in sums.values()], pa.binary())], ["block", "w"])
 
-    schema = "block int, n long, w binary"
-    means = places.mapInArrow(fit, schema).repartition("block").mapInArrow(added, "block int, w binary").collect()
+    parts = pieces.select("slot", "cells").mapInArrow(fit, "slot int, block int, n long, w binary")
+    # Sums of floats in the order of the slots, whoever delivers first.
+    means = parts.repartition("block").sortWithinPartitions("block", "slot").mapInArrow(added, "block int, w binary").collect()
     if not means:
         return weights
-    return unpacked(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(means, key=lambda r: r["block"])]))
+    return unpacked(np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(means, key=lambda r: r["block"])]), size)
 
 
 def fit(docs: DataFrame, listed: int = LISTED) -> Model:
-    """A model of the words of all documents."""
+    """A model of the words of all documents, trained on all their places."""
     model = untrained(stored(word_counts(docs), "lm-counts"), listed=listed)
-    places = stored(masked(docs, model), "lm-places")
+    seats = max(1, model.total // (ROUNDS * PER_WEIGHT * model.size.weights()))
+    batch = min(BATCHES[1], max(BATCHES[0], model.total // (ROUNDS * seats * STEPS)))
+    pieces = stored(encoded(docs, model, seats * ROUNDS), "lm-pieces")
     for r in range(ROUNDS):
-        model.weights = trained(places.filter(F.col("round") == r).select("places"), model.weights)
+        own = pieces.filter(F.col("slot").between(r * seats, (r + 1) * seats - 1))
+        model.weights = trained(own.repartition(seats, "slot").sortWithinPartitions("slot", "key", "part"), model.weights, model.size, batch)
     return model
 
 
@@ -379,14 +468,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [x.split(" ")[0] for x in SCORES.split(", ")]
     # The shares go to the tasks without the table of counts.
     shares = model.shares and replace(model.shares, counts=None if model.shares.counts is None else ())
-    own = Model(model.hashes, model.units, model.weights)
+    own = Model(model.size, model.hashes, model.units, model.weights)
 
     def tell():
-        def run(batch, i, j, hashes, counts, sizes):
+        def run(batch, i, j, hashes, counts, sizes, tails):
             if batch is None:
                 return
-            units = units_of(hashes, own)
-            row, places = bordered(units, counts)
+            units = units_of(hashes, tails, own)
+            row, places = bordered(units, counts, own.size)
             found = np.empty(len(places))
             for a in range(0, len(places), SLICE):
                 p = places[a : a + SLICE]
@@ -394,8 +483,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             doc = np.repeat(np.arange(j - i), counts)
             at, spelled = np.zeros(0, np.int64), np.zeros(0)
             if shares is not None:
-                at = np.flatnonzero(units >= KNOWN)
-                share, missing, spelled = in_bucket(hashes[at], sizes[at], shares)
+                at = np.flatnonzero(units >= own.size.known)
+                share, missing, spelled = in_unit(hashes[at], sizes[at], tails[at], shares)
                 found[at] += share
                 at, spelled = at[missing], spelled[missing]
             sums = np.bincount(doc, weights=found, minlength=j - i)

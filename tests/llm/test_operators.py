@@ -296,20 +296,21 @@ def test_every_shared_span_is_found():
 # --- 5 ----------------------------------------------------------------------------------------------------------
 def network(seed=2):
     rng = np.random.default_rng(seed)
-    weights = {k: rng.normal(0, 0.3, v).astype(np.float32) for k, v in pseudolikelihood.SHAPES.items()}
+    size = pseudolikelihood.Size(2048, 64)
+    weights = {k: rng.normal(0, 0.3, v).astype(np.float32) for k, v in size.shapes().items()}
     hashes = np.sort(rng.integers(0, 2**63, 960).astype(np.uint64))
-    return pseudolikelihood.Model(hashes, rng.permutation(960).astype(np.int16), weights)
+    return pseudolikelihood.Model(size, hashes, rng.permutation(960), weights)
 
 
 def brute_log_probability(near, target, w):
     h = np.tanh(sum(w["near"][k][u].astype(float) for k, u in enumerate(near)) + w["bias"])
-    kind, word = divmod(target, pseudolikelihood.WIDE)
+    kind, word = divmod(int(target), w["word"].shape[1])
     log_softmax = lambda x: x - np.log(np.exp(x).sum())
     return log_softmax(w["kind"] @ h + w["kind_bias"])[kind] + log_softmax(w["word"][kind] @ h + w["word_bias"][kind])[word]
 
 
 def test_log_probabilities_are_a_distribution():
-    w, units = network().weights, pseudolikelihood.UNITS
+    w, units = network().weights, network().size.units
     near = np.tile(np.array([[3], [units], [7], [1000]]), (1, units))
     got = pseudolikelihood.log_probabilities(near, np.arange(units), w)
     assert np.exp(got.astype(float)).sum() == pytest.approx(1, abs=1e-4)
@@ -318,11 +319,11 @@ def test_log_probabilities_are_a_distribution():
 
 def test_a_step_goes_down_the_gradient():
     rng, w = np.random.default_rng(4), network().weights
-    near, target = rng.integers(0, pseudolikelihood.UNITS + 1, (4, 40)), rng.integers(0, pseudolikelihood.UNITS, 40)
+    near, target = rng.integers(0, 2049, (4, 40)), rng.integers(0, 2048, 40)
     loss = lambda: -pseudolikelihood.log_probabilities(near, target, w).astype(float).mean()
     before = {k: v.copy() for k, v in w.items()}
     # With a large history the step is the gradient times a constant.
-    pseudolikelihood.step(near, target, w, {k: np.full(v, 1e6, np.float32) for k, v in pseudolikelihood.SHAPES.items()}, rate=1e3)
+    pseudolikelihood.step(near, target, w, {k: np.full(v.shape, 1e6, np.float32) for k, v in w.items()}, rate=1e3)
     moved = {k: before[k] - v for k, v in w.items()}
     for name, at in (("bias", (3,)), ("kind", (5, 2)), ("near", (2, near[2, 0], 9)), ("word", (target[0] // 32, target[0] % 32, 4)), ("word_bias", (target[1] // 32, 0))):
         for k in w:
@@ -343,7 +344,9 @@ def test_scores_equal_brute_force(docs, nothing, table):
     for i in (3, 41, 46, 47, 52, 53):
         raw = (table[i][1] or "").encode()
         h, _ = decontaminate.word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        u = [pseudolikelihood.BORDER] * 2 + pseudolikelihood.units_of(h, model).tolist() + [pseudolikelihood.BORDER] * 2
+        tails = pseudolikelihood.endings(*decontaminate.word_spans(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+        border = [model.size.border] * 2
+        u = border + pseudolikelihood.units_of(h, tails, model).tolist() + border
         want = sum(brute_log_probability([u[p - 2], u[p - 1], u[p + 1], u[p + 2]], u[p], model.weights) for p in range(2, len(u) - 2))
         r = sums[(table[i][0], len(h))]
         assert r["log_likelihood"] == pytest.approx(want, abs=0.01 + 1e-4 * abs(want))
@@ -368,30 +371,79 @@ def test_pseudo_likelihood_on_held_out_documents(spark, nothing):
     assert pseudolikelihood.score_documents(nothing).count() == 0
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """The same scores for 4 and 32 partitions, with and without adaptive execution, and however the table is cut."""
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("doc_id % 3 = 0")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    found = []
+    try:
+        for partitions, adaptive, cut in ((4, "true", 1), (32, "false", 7), (32, "true", 3)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            found.append({r["doc_id"]: r["mean_log_likelihood"] for r in pseudolikelihood.score_documents(real.repartition(cut)).collect()})
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[k] is None if v is None else abs(other[k] - v) < 1e-3 for k, v in found[0].items())
+
+
+def test_every_place_is_trained_once(docs, table, monkeypatch):
+    """Pieces cover all words of all texts, each in one slot, with their neighbours; long texts are cut."""
+    monkeypatch.setattr(pseudolikelihood, "PIECE", 700)
+    model = pseudolikelihood.untrained(pseudolikelihood.word_counts(docs))
+    rows = pseudolikelihood.encoded(docs, model, 6).collect()
+    cells = [np.frombuffer(r["cells"], model.size.kind) for r in rows]
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
+    assert sum(len(c) - 4 for c in cells) == sum(len(words(r[1])) for r in table) and max(map(len, cells)) == 704
+    assert {r["slot"] for r in rows} == set(range(6)) and all(0 < len(c) - 4 <= 700 for c in cells)
+    long = max(range(len(table)), key=lambda i: len(table[i][1] or ""))
+    raw = table[long][1].encode()
+    at = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    h, _ = decontaminate.word_hashes(*at)
+    want = [model.size.border] * 2 + pseudolikelihood.units_of(h, pseudolikelihood.endings(*decontaminate.word_spans(*at)), model).tolist() + [model.size.border] * 2
+    by_key = {}
+    for r, c in zip(rows, cells, strict=True):
+        by_key.setdefault(r["key"], {})[r["part"]] = c.tolist()
+    whole = max(by_key.values(), key=len)
+    got = whole[0][:2] + [u for k in sorted(whole) for u in whole[k][2:-2]] + whole[max(whole)][-2:]
+    assert got == want and all(whole[k][-4:] == whole[k + 1][:4] for k in range(len(whole) - 1))
+
+
+def test_the_network_grows_with_the_words():
+    sizes = [pseudolikelihood.size_of(n) for n in (0, 1000, 70_000, 1_500_000, 50_000_000, 10**10)]
+    assert all(a.units < b.units for a, b in zip(sizes, sizes[1:], strict=False)) and all(s.classes * s.wide == s.units and s.known + s.rest == s.units for s in sizes)
+    assert sizes[-1].kind is np.uint32
+
+
 def test_words_outside_the_vocabulary_are_scored_by_their_counts(spark, docs, nothing, table):
     """Shares equal brute force, whether listed or joined; text of unseen words scores below clean text."""
     words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(x))
     hashed = lambda x: int(decontaminate.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())]))[0][0])
+    ending = lambda x: int(common.mix64(np.array([int.from_bytes(x.encode()[-3:], "big")], np.uint64))[0])
     counts = pseudolikelihood.word_counts(docs)
     model = pseudolikelihood.untrained(counts)
     n = Counter(hashed(w) for r in table for w in words(r[1]))
-    known, rest = set(model.hashes.tolist()), pseudolikelihood.REST
-    assert len(n) > len(known) == pseudolikelihood.KNOWN
-    total, once = Counter(), Counter()
+    known, rest = set(model.hashes.tolist()), model.size.rest
+    assert len(n) > len(known) == model.size.known
+    total, once, unit = Counter(), Counter(), {}
+    for w in {w for r in table for w in words(r[1])}:
+        unit[hashed(w)] = ending(w) % rest
     for h, m in n.items():
         if h not in known:
-            total[h % rest] += m
-            once[h % rest] += m == 1
+            total[unit[h]] += m
+            once[unit[h]] += m == 1
 
     def share(w):
-        h, size = hashed(w), len(w.encode())
+        h, size, of = hashed(w), len(w.encode()), ending(w) % rest
         if h in known:
             return 0.0
-        unseen, spelled = max(1, once[h % rest]), rest / 8 * (7 / 8) ** (size - 1) / 164.0**size
-        return np.log((n[h] + unseen * spelled) / (total[h % rest] + unseen))
+        unseen, spelled = max(1, once[of]), rest / 8 * (7 / 8) ** (size - 1) / 164.0**size
+        return np.log((n[h] + unseen * spelled) / (total[of] + unseen))
 
     probe = docs.filter("length(text) < 3000").unionByName(spark.createDataFrame([(900, "qqzzk never seen qqzzk"), (901, "é")], "doc_id long, text string"), allowMissingColumns=True)
-    network = pseudolikelihood.Model(model.hashes, model.units, model.weights)
+    network = pseudolikelihood.Model(model.size, model.hashes, model.units, model.weights)
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["log_likelihood"])
     plain = sorted(pseudolikelihood.score(probe, network).collect(), key=key)
     text = {}
