@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
-The network predicts a word from ``REACH`` words on each side: a table of vectors per offset, their sum through
-tanh, then a softmax over classes of units and one over the units of a class. A document's score is the sum of
+The network predicts a word from ``REACH`` words on each side: a table of vectors per offset, their sum x through
+x / (1 + |x|), then a softmax over classes of units and one over the units of a class. A document's score is the sum of
 the log-probabilities of all its words, each given its neighbours on both sides.
 
 All counted words are leaves of that tree. The most frequent ones are units of their own; every other word belongs to the unit of
@@ -35,7 +35,7 @@ from echoline.session import stored
 
 #: Units are about so many times the cube root of the distinct words; the part of them that holds the rarer words by ending.
 GROWTH, LEAST_UNITS, RARE = 40, 256, 4
-REACH, WIDTH = 2, 32
+REACH, WIDTH = 2, 24
 ROUNDS, RATE = 3, 0.1
 #: A seat has at least so many places for each of the model's weights, and about so many steps if a batch between the bounds allows it.
 PER_WEIGHT, STEPS, BATCHES = 2, 200, (256, 8192)
@@ -272,14 +272,20 @@ def bordered(units: np.ndarray, counts: np.ndarray, size: Size) -> tuple[np.ndar
 OFFSETS = [*range(-REACH, 0), *range(1, REACH + 1)]
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log of the sum, softmax) by row; ``x`` is overwritten."""
+def _log_sums(x: np.ndarray) -> np.ndarray:
+    """Logs of the sums of exponentials by row; ``x`` is left with the exponentials, largest one by row."""
     top = x.max(axis=1, keepdims=True)
     x -= top
     np.exp(x, out=x)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
-    return (np.log(total) + top)[:, 0], x
+    return np.log(x.sum(axis=1)) + top[:, 0]
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Softmax by row, in place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _hidden(near: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -287,7 +293,10 @@ def _hidden(near: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     for k in range(1, 2 * REACH):
         h += w["near"][k][near[k]]
     h += w["bias"]
-    return np.tanh(h, out=h)
+    size = np.abs(h)
+    size += 1
+    h /= size
+    return h
 
 
 def log_probabilities(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -299,16 +308,16 @@ def log_probabilities(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndar
     h = _hidden(near, w)
     every = np.arange(len(target))
     logits = h @ w["kind"].T + w["kind_bias"]
-    picked = logits[every, kind]
-    out = picked - _softmax(logits)[0]
+    out = logits[every, kind]
+    out -= _log_sums(logits)
     ends = np.cumsum(np.bincount(kind, minlength=classes))
     logits = np.empty((len(target), wide), np.float32)
     for c in range(classes):
         a, b = ends[c - 1] if c else 0, ends[c]
         if a < b:
             logits[a:b] = h[a:b] @ w["word"][c].T + w["word_bias"][c]
-    picked = logits[every, target % wide]
-    out += picked - _softmax(logits)[0]
+    out += logits[every, target % wide]
+    out -= _log_sums(logits)
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -322,7 +331,7 @@ def step(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray], seen: d
     order = np.argsort(kind, kind="stable")
     near, target, kind = near[:, order], target[order], kind[order]
     h = _hidden(near, w)
-    _, g = _softmax(h @ w["kind"].T + w["kind_bias"])
+    g = _softmax(h @ w["kind"].T + w["kind_bias"])
     g[every, kind] -= 1
     back = g @ w["kind"]
     grads = {"kind": g.T @ h, "kind_bias": g.sum(axis=0)}
@@ -331,7 +340,7 @@ def step(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray], seen: d
     spans = [(c, ends[c - 1] if c else 0, ends[c]) for c in range(classes) if (ends[c - 1] if c else 0) < ends[c]]
     for c, a, b in spans:
         logits[a:b] = h[a:b] @ w["word"][c].T + w["word_bias"][c]
-    _, g = _softmax(logits)
+    g = _softmax(logits)
     g[every, target % wide] -= 1
     for c, a, b in spans:
         back[a:b] += g[a:b] @ w["word"][c]
@@ -339,7 +348,7 @@ def step(near: np.ndarray, target: np.ndarray, w: dict[str, np.ndarray], seen: d
         for name, grad in (("word", own), ("word_bias", bias)):
             seen[name][c] += grad * grad
             w[name][c] -= rate * grad / np.sqrt(seen[name][c])
-    back *= 1 - h * h
+    back *= np.square(1 - np.abs(h))
     grads["bias"] = back.sum(axis=0)
     for name, grad in grads.items():
         grad = grad / n

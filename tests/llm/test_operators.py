@@ -303,7 +303,8 @@ def network(seed=2):
 
 
 def brute_log_probability(near, target, w):
-    h = np.tanh(sum(w["near"][k][u].astype(float) for k, u in enumerate(near)) + w["bias"])
+    x = sum(w["near"][k][u].astype(float) for k, u in enumerate(near)) + w["bias"]
+    h = x / (1 + np.abs(x))
     kind, word = divmod(int(target), w["word"].shape[1])
     log_softmax = lambda x: x - np.log(np.exp(x).sum())
     return log_softmax(w["kind"] @ h + w["kind_bias"])[kind] + log_softmax(w["word"][kind] @ h + w["word_bias"][kind])[word]
