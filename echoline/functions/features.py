@@ -117,8 +117,11 @@ def dynamics(m: np.ndarray) -> np.ndarray:
 FAMILIES: dict[str, Callable[[np.ndarray], np.ndarray]] = {"level": level, "amplitude": amplitude, "spectral": spectral, "dynamics": dynamics, "mixed": mixed}
 
 
-def features(family: str):
-    """A pandas UDF from array<double> to a struct of the family's features."""
+def features(family: str, single: bool = False):
+    """A pandas UDF from array<double> to a struct of the family's features.
+
+    ``single`` normalises the signal and passes it through single precision first, as stored signals have been.
+    """
     compute, names = FAMILIES[family], NAMES[family]
 
     @F.pandas_udf(", ".join(f"{n} double" for n in names))
@@ -130,7 +133,8 @@ def features(family: str):
         for i in good:
             by_length.setdefault(len(arrays[i]), []).append(i)
         for rows in by_length.values():
-            out[rows] = compute(np.stack([arrays[i] for i in rows]))
+            m = np.stack([arrays[i] for i in rows])
+            out[rows] = compute(_unit(m).astype(np.float32).astype(float) if single else m)
         return pd.DataFrame(out, columns=names).astype(object).where(~np.isnan(out), None)
 
     return run

@@ -20,8 +20,6 @@ RMS_FACTOR, FULL_SCALE, RAW_SAMPLES, MOST_RAW_BYTES = 1.6, 32767 / 32768, 240000
 #: Prefix and names of the amplitude text.
 AMPLITUDE_PREFIX = "\nMeasured normalized-amplitude statistics (C1; six significant digits): "
 AMPLITUDE_NAMES = ("facteur_crete", "kurtosis", "skewness", "abs_p50", "abs_p75", "abs_p90", "abs_p99", "ratio_p99_p50", "ecart_type_enveloppe")
-#: Name of the format in a waveform's identity; a study that has identities already sets its own.
-WAVEFORM_FORMAT = "waveform-f64le-v1"
 
 
 def finite(v: Column) -> Column:
@@ -135,16 +133,25 @@ def raw_pcm32(content: pd.Series) -> pd.Series:
     return content.map(lambda c: np.frombuffer(c, "<i4", RAW_SAMPLES) / 2.0**31 if sound(c) else None)
 
 
-@F.pandas_udf(StringType())
-def waveform_identity(samples: pd.Series, rate: pd.Series) -> pd.Series:
-    """SHA-256 of a signal's numbers as 64-bit floats after a header with its rate and length; null if not finite."""
+def waveform_identity(format_name: str):
+    """A pandas UDF (samples, rate) -> SHA-256 of a signal's numbers as 64-bit floats after a header that names format, rate and length.
+
+    ``format_name`` is part of the identity, so a study must name its own. Null for null or non-finite signals.
+    """
     import hashlib
 
+    if not format_name:
+        raise ValueError("a format name is needed")
+
     def identity(x, r) -> str | None:
         x = np.asarray(x if x is not None else [np.nan], "<f8")
         if not np.isfinite(x).all():
             return None
-        header = json.dumps({"format": WAVEFORM_FORMAT, "sample_rate": int(r), "shape": [len(x)]}, sort_keys=True, separators=(",", ":"))
+        header = json.dumps({"format": format_name, "sample_rate": int(r), "shape": [len(x)]}, sort_keys=True, separators=(",", ":"))
         return hashlib.sha256(header.encode() + b"\x00" + x.tobytes()).hexdigest()
 
-    return pd.Series([identity(x, r) for x, r in zip(samples, rate, strict=True)])
+    @F.pandas_udf(StringType())
+    def run(samples: pd.Series, rate: pd.Series) -> pd.Series:
+        return pd.Series([identity(x, r) for x, r in zip(samples, rate, strict=True)])
+
+    return run

@@ -38,25 +38,52 @@ def band_energies(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _series_of(single: bool):
+    """A function from a finite signal to its band series; mean and gain are removed first."""
+
+    def make(x: np.ndarray) -> list:
+        x = x - x.mean()
+        rms = np.sqrt((x * x).mean())
+        x = x / rms if rms > 0 else x
+        return band_energies(x.astype(np.float32).astype(float) if single else x).astype(float).tolist()
+
+    return make
+
+
 def band_series(single: bool = False):
     """A pandas UDF from a signal to its band series; mean and gain are removed first.
 
     ``single`` passes the normalised samples through single precision. Null, short or non-finite signals give null.
     """
 
+    make = _series_of(single)
+
     @F.pandas_udf("array<array<double>>")
     def run(signals: pd.Series) -> pd.Series:
+        arrays = [None if x is None else np.asarray(x, float) for x in signals]
+        return pd.Series([None if x is None or len(x) < FFT or not np.isfinite(x).all() else make(x) for x in arrays])
+
+    return run
+
+
+def preprocessed(version: str, versions: dict[str, bool]):
+    """A pandas UDF (signal, rate) -> struct (series, problem): the band series of one known version of the preprocessing.
+
+    ``versions`` says of each version whether signals pass through single precision; any other version is refused at once, any
+    other rate or length, and signals that aren't finite, by the problem.
+    """
+    if version not in versions:
+        raise ValueError(f"preprocessing {version} is not one of {sorted(versions)}")
+    make = _series_of(versions[version])
+
+    @F.pandas_udf("series array<array<double>>, problem string")
+    def run(signals: pd.Series, rates: pd.Series) -> pd.DataFrame:
         out = []
-        for x in signals:
+        for x, rate in zip(signals, rates, strict=True):
             x = None if x is None else np.asarray(x, float)
-            if x is None or len(x) < FFT or not np.isfinite(x).all():
-                out.append(None)
-                continue
-            x = x - x.mean()
-            rms = np.sqrt((x * x).mean())
-            x = x / rms if rms > 0 else x
-            out.append(band_energies(x.astype(np.float32).astype(float) if single else x).astype(float).tolist())
-        return pd.Series(out)
+            problem = "missing" if x is None else "sample_rate" if rate != SAMPLE_RATE else "length" if len(x) != SAMPLE_RATE else None if np.isfinite(x).all() else "not_finite"
+            out.append((None if problem else make(x), problem))
+        return pd.DataFrame(out, columns=["series", "problem"])
 
     return run
 

@@ -97,6 +97,28 @@ def text_audit(rows: DataFrame) -> DataFrame:
     })
 
 
+def whole_text_audit(rows: DataFrame, expected: dict[str, int], latencies: tuple[str, ...] = ("api_ms", "generation_ms")) -> DataFrame:
+    """``text_audit`` of folds whose clips are all there, with expected counts, errors by class and latencies as columns.
+
+    Rows also have the durations named by ``latencies``, null where nothing was called, and ``paid`` for calls that gave an answer.
+    A fold with a clip too few, too many or twice, and a fold that isn't expected, are refused by name.
+    """
+    want = rows.sparkSession.createDataFrame(sorted(expected.items()), "fold string, n_expected long")
+    per = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("clip_id").alias("d"))
+    both = want.join(per, "fold", "full_outer")
+    wrong = both.filter(~F.coalesce((F.col("n") == F.col("n_expected")) & (F.col("d") == F.col("n")), F.lit(False))).orderBy("fold").collect()
+    if wrong:
+        raise ValueError("clips missing or repeated in " + ", ".join(r["fold"] for r in wrong))
+    classes = rows.filter("error is not null").groupBy("fold", "error").agg(F.count(F.lit(1)).alias("n")).groupBy("fold")
+    errors = classes.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("error", "n")))).alias("error_counts"))
+    out = want.join(text_audit(rows), "fold").join(errors, "fold", "left").withColumn("error_counts", F.coalesce("error_counts", F.create_map().cast("map<string,bigint>")))
+    for name in latencies:
+        for kind, part in (("all", rows), ("paid", rows.filter("paid"))):
+            own = latency_summary(part, ["fold"], name)
+            out = out.join(own.select("fold", F.struct(*own.columns[1:]).alias(f"{name}_{kind}")), "fold", "left")
+    return out
+
+
 def percent(a: Column, b: Column) -> Column:
     """``12.3 %`` of a ratio, or a dash for a zero denominator."""
     return F.when(b == 0, NO_RATE).otherwise(F.format_string("%.1f %%", 100 * metrics.ratio(a, b)))

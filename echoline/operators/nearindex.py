@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echoline.operators.grouped import runs_of
+
 #: Rows of a part of a bucket; standard deviations of the differing places that a pair at the wanted cosine may be off.
 PART, SLACK = 2048, 5.0
 FIXED_SEED = 20260912
@@ -102,29 +104,6 @@ def keyed(sketches: DataFrame, tables: int, bits: int) -> DataFrame:
     return sketches.mapInArrow(run, f"id {kind}, sketch binary, bucket long")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal keys in sorted batches, across their borders."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(b.num_rows, bool)
-        for c in cols:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            key = tuple(c[i] for c in cols)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(i, j - i))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def candidates(sketches: DataFrame, cosine: float, tables: int, bits: int, part: int = PART) -> DataFrame:
     """(a, b), a < b: pairs that share a key and whose sketches are near enough, each once."""
     kind = dict(sketches.dtypes)["id"]
@@ -140,7 +119,7 @@ def candidates(sketches: DataFrame, cosine: float, tables: int, bits: int, part:
     most = n * p + SLACK * sqrt(n * p * (1 - p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["bucket", "i", "j"]):
+        for g in runs_of(batches, ["bucket", "i", "j"]):
             ids, mine = g.column("id").to_numpy(), g.column("mine").to_numpy()
             own, cross = int(g.column("i")[0].as_py()), int(g.column("j")[0].as_py())
             bits_of = np.unpackbits(np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)[:, :n].astype(np.float32)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echoline.functions import series, views
-from echoline.operators import invariants, nearindex, overlap
+from echoline.operators import invariants, nearindex, overlap, scoring
 from echoline.plans.domain_queries import RECORDINGS_SQL, recordings
 from echoline.plans.registry import query, rounded
 from echoline.plans.tables import SIGNALS_SQL, signals
@@ -71,3 +72,19 @@ def spectrogram_pooling(spark, sf_dir):
     cells = v.select("record", F.posexplode(F.arrays_zip("v.frequencies_hz", "v.power_db")).alias("cell", "c"))
     return cells.select("record", F.col("cell").cast("long").alias("cell"), F.round("c.frequencies_hz", 6).alias("frequency_hz"), F.get("c.power_db", F.lit(0)).alias("power_db"))
 
+
+
+def measures():
+    """Mean, level and peak of each window, and a score from the level."""
+    measure = lambda x: np.stack([x.mean(axis=1), np.sqrt((x * x).mean(axis=1)), np.abs(x).max(axis=1)], axis=1)
+    return measure, lambda m: 1 / (1 + np.exp(-m[:, 1]))
+
+
+@query(f"""WITH w AS (SELECT record, o, samples[o * 64 + 1:o * 64 + 64] AS x FROM (SELECT record, samples, unnest(range(8)) AS o FROM {RECORDINGS_SQL} WHERE len(samples) = 512)),
+m AS (SELECT record, o, list_avg(x) AS mean, sqrt(list_sum(list_transform(x, lambda v: v * v)) / 64) AS level, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM w)
+SELECT record, CAST(o AS BIGINT) AS window_, round(mean, 9) AS mean, round(level, 9) AS level, round(peak, 9) AS peak, round(1 / (1 + exp(-level)), 9) AS p FROM m""")
+def recording_matrix(spark, sf_dir):
+    made = scoring.recording_matrix(recordings(spark, sf_dir), measures, "record", 8, 64).filter("problem is null")
+    rows = made.select("record", F.posexplode("matrix").alias("w", "m"))
+    cells = {n: F.get("m", F.lit(i)).alias(n) for i, n in enumerate(("mean", "level", "peak", "p"))}
+    return rounded(rows.select("record", F.col("w").cast("long").alias("window_"), *cells.values()), *cells)

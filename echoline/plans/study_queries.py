@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from echoline.functions import intake
-from echoline.operators import evaluation, invariants, metrics, timeline
+from echoline.operators import evaluation, invariants, metrics, scoring, timeline
 from echoline.plans.registry import query, rounded
 from echoline.plans.tables import PREDICTIONS_SQL, SIGNALS_SQL, predictions, signals, table, windows, windows_sql
 from echoline.sources import manifests
@@ -237,10 +238,18 @@ def array_differences(spark, sf_dir):
     return rounded(signals(spark, sf_dir).select("vec_id", d.alias("d")).select("vec_id", "d.same_shape", "d.exact", "d.n_different", "d.max_abs", "d.mean_abs"), "mean_abs")
 
 
-@query(f"SELECT count(*) AS n, 0 AS beyond, 0 AS flips, 0.0 AS largest, min(clip_id) AS worst, 0 AS faulty FROM {PREDICTIONS_SQL}")
+def level_scorer():
+    """Scores a batch of signals by their level alone."""
+    return lambda x: 1 / (1 + np.exp(-np.sqrt((x * x).mean(axis=1))))
+
+
+@query(f"""WITH s AS (SELECT vec_id AS clip_id, 1 / (1 + exp(-sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)))) AS p FROM {SIGNALS_SQL}),
+r AS (SELECT clip_id, size, dir, p FROM s, (VALUES (1), (2), (4)) a(size), (VALUES ('forward'), ('reversed')) b(dir)), c AS (SELECT clip_id, max(p) - min(p) AS spread, max(p) >= 0.6 AS hi, min(p) >= 0.6 AS lo, count(*) AS n FROM r GROUP BY clip_id)
+SELECT count(*) AS n, count(*) FILTER (spread > 1e-6) AS beyond, count(*) FILTER (hi <> lo) AS flips, round(max(spread), 9) AS largest, (SELECT clip_id FROM c ORDER BY round(spread, 9) DESC, clip_id LIMIT 1) AS worst, count(*) FILTER (n <> 6) AS faulty FROM c""")
 def batch_invariance(spark, sf_dir):
-    routes = evaluation.batched(predictions(spark, sf_dir).select("clip_id", "p"))
-    return evaluation.batch_invariance(routes, 2 * len(evaluation.BATCH_SIZES), 0.5)
+    clips = signals(spark, sf_dir).select(F.col("vec_id").alias("clip_id"), F.col("x").alias("samples"))
+    routes = scoring.by_routes(clips, level_scorer)
+    return rounded(evaluation.batch_invariance(routes, 2 * len(evaluation.BATCH_SIZES), 0.6), "largest")
 
 
 # --- timelines ----------------------------------------------------------------------------------------------------
