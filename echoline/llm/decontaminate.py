@@ -9,10 +9,14 @@ Words compare by 64-bit hashes, ten of which agree in a hit. Cases: a null text
 words never occurs; equal items share one fingerprint entry and are all reported; repeated documents are
 reported each; ties between equal hashes keep the last one on both sides; an empty table gives no rows, an
 empty benchmark leaves all documents clean; other columns are ignored.
+
+The tasks drop hashes that no item has by a Bloom filter of the items' hashes, which Spark builds block by block. It has ``BITS`` bits
+for each hash up to ``MOST_BITS`` in all; with more hashes than that it lets more through, and the join decides all the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 from echoline.llm.common import STEP, blocks, mix64, rows_of, text_bytes
 from echoline.session import stored
 
-#: Most hashes that go to the tasks as a filter before the join (8 bytes each); beyond it the join does it alone.
-FILTER_LIMIT = 4_000_000
+#: Bits of the filter for each hash, least and most bits in all (64 MB), bits of a block of it, and places that a hash sets.
+BITS, LEAST_BITS, MOST_BITS, FILTER_BLOCK, PLACES = 16, 1 << 16, 1 << 29, 1 << 16, 3
 R = np.uint64(0x9E3779B97F4A7C15 | 1)
 R_INV = np.uint64(pow(int(R), -1, 1 << 64))
 
@@ -104,22 +108,63 @@ def _contexts(words: np.ndarray, doc: np.ndarray, at: np.ndarray, before: int, l
     return np.where(ok & (doc[j] == doc[at][:, None]), words[j], np.uint64(0))
 
 
-def fingerprints(span: int, k: int, lengths: list[int], keep: np.ndarray | None):
+def filter_places(g: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The places of hashes in a filter of ``bits`` bits, a power of two."""
+    for _ in range(PLACES):
+        yield (g & np.uint64(bits - 1)).astype(np.int64)
+        g = mix64(g)
+
+
+def may_hold(held: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Which hashes the filter (its bits as bytes) may hold; none that it holds is missed."""
+    ok = np.ones(len(g), bool)
+    for at in filter_places(g, 8 * len(held)):
+        ok &= (held[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def hash_filter(hashes: DataFrame, most: int = MOST_BITS) -> np.ndarray:
+    """A filter of the column ``gram``, as bytes: tasks find the places, others set them block by block; the blocks come to the driver."""
+    n = hashes.count()
+    bits = min(most, max(LEAST_BITS, 1 << (BITS * max(1, n) - 1).bit_length()))
+
+    def find(batches):
+        for b in batches:
+            g = b.column("gram").to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate(list(filter_places(g, bits))))
+            yield pa.RecordBatch.from_arrays([pa.array(at // FILTER_BLOCK), pa.array((at % FILTER_BLOCK).astype(np.int32))], ["block", "at"])
+
+    def put(batches):
+        now, held = None, np.zeros(0, np.uint8)
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+        for b in batches:
+            block, at = b.column("block").to_numpy(), b.column("at").to_numpy()
+            for i in np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(block) else []:
+                if block[i] != now:
+                    if now is not None:
+                        yield told()
+                    now, held = int(block[i]), np.zeros(FILTER_BLOCK, np.uint8)
+                held[at[i : int(np.searchsorted(block, block[i], "right"))]] = 1
+        if now is not None:
+            yield told()
+
+    places = hashes.select("gram").mapInArrow(find, "block long, at int")
+    blocks_of = places.repartition("block").sortWithinPartitions("block").mapInArrow(put, "block long, bits binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for r in blocks_of.toLocalIterator():
+        out[r["block"] * (FILTER_BLOCK // 8) : (r["block"] + 1) * (FILTER_BLOCK // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def fingerprints(span: int, k: int, lengths: list[int], held: np.ndarray):
     """Arrow function: (rid, text) to (rid, n_words, hits); a hit is (gram hash, place, length, context).
 
     ``lengths``: whole texts of so many words (under ``span``) are looked for too, by all their n-grams.
-    ``keep``: sorted hashes; others are not emitted.
+    ``held``: the items' filter; hashes that it doesn't hold are not emitted.
     """
     hit = pa.struct([("gram", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("around", pa.list_(pa.int64()))])
     reach = span - k
 
-    def wanted(g):
-        if keep is None:
-            return np.ones(len(g), bool)
-        if not len(keep):
-            return np.zeros(len(g), bool)
-        return keep[np.minimum(np.searchsorted(keep, g), len(keep) - 1)] == g
-
     def run(batches):
         known = powers(STEP + 1)
         for b in batches:
@@ -130,11 +175,11 @@ def fingerprints(span: int, k: int, lengths: list[int], keep: np.ndarray | None)
                 first = np.cumsum(counts) - counts
                 at = winnow(words, doc, span, k)
                 g = gram_hashes(words, k)[at]
-                ok = wanted(g)
+                ok = may_hold(held, g)
                 places, grams, sizes, around = [at[ok]], [g[ok]], [np.full(int(ok.sum()), k)], [_contexts(words, doc, at[ok], reach, k + 2 * reach)]
                 for n in lengths:
                     g = gram_hashes(words, n)
-                    ok = wanted(g) & (doc[: len(g)] == doc[n - 1 : n - 1 + len(g)])
+                    ok = may_hold(held, g) & (doc[: len(g)] == doc[n - 1 : n - 1 + len(g)])
                     at = np.flatnonzero(ok)
                     places.append(at), grams.append(g[at]), sizes.append(np.full(len(at), n)), around.append(np.zeros((len(at), k + 2 * reach), np.uint64))
                 at, g, n, ctx = np.concatenate(places), np.concatenate(grams), np.concatenate(sizes), np.concatenate(around)
@@ -179,19 +224,15 @@ def item_index(benchmark: DataFrame, span: int, k: int) -> tuple[DataFrame, Data
 def hits_of(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
     """One row per document: doc_id, th (hash of the text), n_words, n_hit, items (sorted ids as strings).
 
-    The items' hashes go to the tasks as a filter only while they are few (counted first). Hits of a document are
-    bounded by its own length; items are gathered as classes of equal texts.
+    Hits of a document are bounded by its own length; items are gathered as classes of equal texts.
     """
     prints, items = item_index(benchmark, span, k)
     prints = stored(prints.distinct(), "decon-items")
     lengths = [r[0] for r in prints.filter("whole > 0").select("whole").distinct().orderBy("whole").collect()]
-    hashes = prints.select("gram").distinct()
-    keep = None
-    if hashes.count() <= FILTER_LIMIT:
-        keep = np.unique(np.array([r[0] for r in hashes.collect()], np.int64).view(np.uint64))
+    held = hash_filter(prints.select("gram").distinct())
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.monotonically_increasing_id().alias("rid"), "text")
     schema = "doc_id long, th long, " + HITS
-    find = fingerprints(span, k, lengths, keep)
+    find = fingerprints(span, k, lengths, held)
 
     def with_id(batches):
         for b in batches:

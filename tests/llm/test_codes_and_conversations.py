@@ -122,7 +122,7 @@ def every_edit(signature):
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_solved_signatures_equal_all_scripts(n):
     for signature in map("".join, itertools.product("suaxSUA-", repeat=n)):
-        if n < 3 or signature[0] in "sU":
+        if n < 3 or signature[0] == "S":
             assert conversations.solve(signature) == every_edit(signature), signature
 
 
