@@ -64,6 +64,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def row_hash(rows: DataFrame):
+    """A hash of all columns of a row, maps left out."""
+    names = [f.name for f in rows.schema.fields if f.dataType.typeName() != "map"]
+    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
+
+
 def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """Join ``docs`` to ``found`` on doc_id and ``th``, the hash of the text, nulls equal; adds ``__th``."""
     left = docs.withColumn("__th", F.xxhash64("text"))

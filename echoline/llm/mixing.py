@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoline.llm.common import running
+from echoline.llm.common import row_hash, running
 from echoline.session import stored
 
 #: Golden ratio as a fraction of 2**31, rounded to an odd number.
@@ -69,14 +69,15 @@ def schedule(sources: DataFrame, block: int, chunk: int = 65536) -> DataFrame:
     return running(dealt, "sid", "chunk", ["t"], "one", "rank").select("sid", "rank", "t")
 
 
-def takes(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+def takes(docs: DataFrame, block: int = 64, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(documents in their sources' streams, takes): a take is a round of a document (sid, at) with its words taken and first slot.
+    Streams keep the columns named by ``carry``.
 
     Documents of a source stand in the order of an MD5 of seed and id. All sums over a source go through hash
     buckets, so that a source with a third of all rows is no task of its own.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("place"))
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), digest.alias("place"), *carry)
     rows = stored(rows, "mix-docs")
     sources = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
     known = sources.withColumnRenamed("source", "__source")
@@ -106,13 +107,15 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """``docs`` as the mix takes them, in the order of the slots, columns untouched.
 
     A document comes once for each round in which half of its words or more are taken. Only the last document that a
-    source reaches is taken in part, so no more than half a document of a source is rounded away.
+    source reaches is taken in part, so no more than half a document of a source is rounded away. Rows are told apart by all their
+    columns: those that are equal in every column stand for each other, others with the same id and text don't.
     """
-    streams, rounds = takes(docs, **how)
+    marked = docs.withColumn("__row", row_hash(docs))
+    streams, rounds = takes(marked, **how, carry=("__row",))
     own = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(1 << 63)))
-    plan = rounds.join(streams.filter("size > 0"), ["sid", "at"]).filter(2 * F.col("taken") >= F.col("size")).select(own("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("slot").alias("__slot"))
-    rows = docs.withColumns({"__id": own("doc_id"), "__th": F.xxhash64("text")}).dropDuplicates(["__id", "__th"])
-    out = rows.join(plan, ["__id", "__th"])
+    plan = rounds.join(streams.filter("size > 0"), ["sid", "at"]).filter(2 * F.col("taken") >= F.col("size")).select(own("doc_id").alias("__id"), F.col("th").alias("__th"), "__row", F.col("slot").alias("__slot"))
+    rows = marked.withColumns({"__id": own("doc_id"), "__th": F.xxhash64("text")}).dropDuplicates(["__id", "__th", "__row"])
+    out = rows.join(plan, ["__id", "__th", "__row"])
     return out.repartitionByRange("__slot").sortWithinPartitions("__slot").select(*docs.columns)
 
 

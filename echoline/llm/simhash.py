@@ -20,10 +20,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echoline.llm.common import STEP, blocks, rows_of, spread, text_bytes
+from echoline.llm.common import STEP, blocks, row_hash, rows_of, spread, text_bytes
 from echoline.llm.nearcopies import near_links, sketched
 from echoline.session import stored
 
@@ -224,9 +224,12 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, limit: int = LIMIT, near: bool = False) -> DataFrame:
-    """``docs`` with one row of each class, that of the least doc_id, every column untouched.
+    """``docs`` with one row of each class, that of the least doc_id, every column untouched; of rows with its id and text, that of the least hash of all columns.
 
-    With ``near``, texts with a similarity of 0.8 or more are of one class too, wherever their fingerprints lie.
+    With ``near``, texts that five-word shingles link at a similarity of 0.8 or more are of one class too, wherever their fingerprints
+    lie; which links are found is said in ``nearcopies``.
     """
     first = classes(docs, limit, near).groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("f")).select("f.doc_id", "f.th")
-    return rows_of(docs, first, "left_semi").dropDuplicates(["doc_id", "__th"]).drop("__th")
+    met = rows_of(docs, first, "left_semi").withColumn("__row", row_hash(docs))
+    k = F.row_number().over(Window.partitionBy("doc_id", "__th").orderBy("__row"))
+    return met.withColumn("__k", k).filter("__k = 1").drop("__th", "__row", "__k")
