@@ -36,6 +36,22 @@ def crossing(rows: DataFrame, key: str, name: str) -> DataFrame:
     return check(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.countDistinct("fold").alias("folds")), name, F.col("folds") > 1)
 
 
+def originals(split: DataFrame, paths: DataFrame, files: DataFrame, digest=None) -> DataFrame:
+    """Checks that a split (clip_id), its audit (clip_id, path, digest) and files (path, content) are one set, byte for byte.
+
+    ``digest`` makes the audit's digest from ``content``; MD5 unless given. Each failing id or path counts once.
+    """
+    found = F.md5("content") if digest is None else digest
+    ids = split.select("clip_id").distinct().withColumn("s", F.lit(True))
+    both = ids.join(paths.select("clip_id", "path", "digest").withColumn("a", F.lit(True)), "clip_id", "full_outer")
+    read = both.filter("a").join(files.select("path", found.alias("__found")).withColumn("f", F.lit(True)), "path", "left")
+    parts = [
+        check(both, "every clip has its path", F.col("a").isNull()), check(both, "no path without a clip", F.col("s").isNull()), check(paths.groupBy("clip_id").count(), "one path for a clip", F.col("count") > 1),
+        check(read, "every path has its file", F.col("f").isNull()), check(read.filter("f"), "files byte for byte", ~F.col("__found").eqNullSafe(F.col("digest"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def enforce(checks: DataFrame) -> None:
     failed = [r["name"] for r in checks.filter("not passed").collect()]
     if failed:

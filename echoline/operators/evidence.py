@@ -147,8 +147,8 @@ def _pair_of(pair: Column, a: Column, b: Column) -> Column:
     return F.coalesce((text(pair, "a") == a) & (text(pair, "b") == b), F.lit(False))
 
 
-def official_result(files: DataFrame, protocol: Protocol, shown: dict[str, tuple[float, float]], clusters: int, quiet_clusters: int, allow_fixture: bool = False) -> DataFrame:
-    """One row (status, reason, result) of a drop (name, content text): ``OFFICIAL`` with the result, or ``NOT_EVALUATED`` with the first rule that fails.
+def official_result(files: DataFrame, protocol: Protocol, shown: dict[str, tuple[float, float]], clusters: int, quiet_clusters: int, allow_fixture: bool = False, by: list[str] = ()) -> DataFrame:
+    """One row (status, reason, result) for each drop, by the columns ``by``, of files (name, content text): ``OFFICIAL`` with the result, or ``NOT_EVALUATED`` with the first rule that fails.
 
     ``shown`` has the clip and cluster AUC of each control as it is displayed, ``clusters`` and ``quiet_clusters`` the displayed test population: the
     report must carry the same numbers. Only whole results come out; ``result`` is a struct of run, population, scores, comparisons and stress runs.
@@ -156,7 +156,7 @@ def official_result(files: DataFrame, protocol: Protocol, shown: dict[str, tuple
     if tuple(shown) != CONTROLS:
         raise ValueError("the displayed controls are not the ladder")
     of = lambda n: F.max(F.when(F.col("name") == f"{n}.json", F.col("content")))
-    one = files.agg(*[of(n).alias(f"{n}_text") for n in ("receipt", "metrics", "comparison")])
+    one = files.groupBy(*by).agg(*[of(n).alias(f"{n}_text") for n in ("receipt", "metrics", "comparison")])
     one = one.select("*", *[F.try_parse_json(f"{n}_text").alias(n) for n in ("receipt", "metrics", "comparison")])
     m, r = F.col("metrics"), F.col("receipt")
     pairs = F.try_variant_get("comparison", "$", "map<string,variant>")
@@ -209,7 +209,7 @@ def official_result(files: DataFrame, protocol: Protocol, shown: dict[str, tuple
         outcome(F.array(text(versus("c1"), "clip_roc_auc.lecture"), text(versus("c1"), "cluster_roc_auc.lecture"))).alias("outcome"),
     )
     told = one.withColumn("reason", reason)
-    return told.select(F.when(F.col("reason").isNull(), "OFFICIAL").otherwise("NOT_EVALUATED").alias("status"), "reason", F.when(F.col("reason").isNull(), result).alias("result"))
+    return told.select(*by, F.when(F.col("reason").isNull(), "OFFICIAL").otherwise("NOT_EVALUATED").alias("status"), "reason", F.when(F.col("reason").isNull(), result).alias("result"))
 
 
 def gate_problem(gate: Column, ids: Column, variant: str, versions: dict[str, str]) -> Column:

@@ -67,6 +67,21 @@ def frozen_csv(spark: SparkSession, path: str, schema: str, key: str, sha256: st
     return strict_csv(spark, path, schema, key)
 
 
+def audit_paths(spark: SparkSession, path: str, key: str = "clip_id", value: str = "path") -> DataFrame:
+    """(key, value) of an audit file that has many columns: only these two are parsed, so none of the others can surface.
+
+    The file must have both; keys are unique and, like the values, not null.
+    """
+    names = _header(spark, path)
+    if names.count(key) != 1 or names.count(value) != 1:
+        raise ManifestError(f"the file lacks {key} or {value}, or has it twice")
+    whole = StructType.fromDDL(", ".join(f"`{n}` string" for n in names))
+    rows = spark.read.schema(whole).options(header=True, enforceSchema=False, mode="FAILFAST").csv(path).select(key, value)
+    if not rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("given")).filter(F.col(key).isNull() | (F.col("n") > 1) | (F.col("given") == 0)).isEmpty():
+        raise ManifestError(f"{key} is not unique, or a row lacks it or its {value}")
+    return rows
+
+
 def split_checks(split: DataFrame) -> DataFrame:
     """(name, passed, coverage, failures) of a split (clip_id, label, group_id, fold): ids, values and whole groups."""
     from echoline.operators.audit import check, crossing
