@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,12 @@ from pyspark.sql import functions as F
 FLOOR_DB, MOST_COLUMNS, ATTENUATION = 120.0, 72, 260.0
 BASELINES = ((12.1, 5.1), (13.0, 4.9), (11.4, 5.3))
 RMS_FACTOR, SAMPLE_MS, CONFIRM, LONGEST_RUN = 1.6, 500, 2, 481
+#: Fixed values of a ring: least top frequency, bands, dB below which there is no centroid, inner radius and depth.
+LEAST_TOP, BANDS, SILENT_DB, INNER, DEPTH = 1.0, 3, -119.99, 0.18, 0.95
+#: Fixed values of a synthetic reading: noise of rms and crest, drift and its samples, spikes, the ramp and rise of an incident, the least crest.
+NOISE, DRIFT, DRIFT_SAMPLES = (0.35, 0.22), 0.25, 9
+SPIKE_OVER, SPIKE, SPIKE_CREST = 0.985, (3, 5), 0.18
+RAMP_SAMPLES, INCIDENT, INCIDENT_NOISE, LEAST_CREST = 6, (22, -1.8), 0.12, 1.2
 
 
 def unit(value: Column, low: float, high: float) -> Column:
@@ -36,38 +43,34 @@ def _power_db(power: Column) -> Column:
     return 10 * F.log10(F.greatest(power, F.lit(1e-12)))
 
 
-def rings(frequencies: Column, matrix: Column, times: Column) -> Column:
-    """Array of (time, energy_db, centroid_hz, bands_db, radius, angle) of a spectrogram in dB (frequencies x times).
+def sound_spectrogram(frequencies: Column, matrix: Column, times: Column) -> Column:
+    """Whether a spectrogram in dB (frequencies x times) is whole: not empty, every row as long as the times, all numbers finite."""
+    number = lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))
+    axis = lambda a: (F.size(a) > 0) & F.forall(a, lambda v: number(v) & (v >= 0))
+    rows = F.forall(matrix, lambda row: (F.size(row) == F.size(times)) & F.forall(row, number))
+    return F.coalesce(axis(times) & axis(frequencies) & (F.size(matrix) == F.size(frequencies)) & rows, F.lit(False))
 
-    Empty for ragged, empty or non-finite input; at most 72 of the measured columns are kept, none is interpolated.
-    """
-    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    good = (
-        (F.size(times) > 0) & (F.size(frequencies) > 0) & (F.size(matrix) == F.size(frequencies)) & F.forall(times, lambda t: finite(t) & (t >= 0))
-        & F.forall(frequencies, lambda f: finite(f) & (f >= 0)) & F.forall(matrix, lambda row: (F.size(row) == F.size(times)) & F.forall(row, finite))
-    )
-    top = F.greatest(F.lit(1.0), F.array_max(frequencies))
-    stride = F.greatest(F.lit(1), F.ceil(F.size(times) / MOST_COLUMNS).cast("int"))
-    kept = F.filter(F.sequence(F.lit(0), F.size(times) - 1), lambda t: t % stride == 0)
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-
-    def ring(t: Column) -> Column:
-        power = F.transform(matrix, lambda row: F.pow(F.lit(10.0), F.get(row, t) / 10))
-        total = add(power)
-        energy = _power_db(total / F.size(power))
-        centroid = F.when(energy <= -119.99, 0.0).otherwise(F.try_divide(add(F.zip_with(power, frequencies, lambda p, f: p * f)), total))
 
-        def band(b: int) -> Column:
-            inside = lambda f: F.least(F.lit(2), F.floor(f / top * 3)) == b
-            values = add(F.zip_with(power, frequencies, lambda p, f: F.when(inside(f), p).otherwise(0.0)))
-            return _power_db(values / F.greatest(F.lit(1), F.size(F.filter(frequencies, inside))))
+def rings(spectrograms: DataFrame, key: str) -> DataFrame:
+    """One row for each shown column of spectrograms (key, frequencies, matrix, times): (key, time, energy_db, centroid_hz, bands_db, radius, angle).
 
-        return F.struct(
-            F.get(times, t).alias("time"), energy.alias("energy_db"), centroid.alias("centroid_hz"), F.array(*map(band, range(3))).alias("bands_db"),
-            (0.18 + 0.95 * unit(energy, -FLOOR_DB, 0.0)).alias("radius"), (centroid / top * math.pi).alias("angle"),
-        )
-
-    return F.when(F.coalesce(good, F.lit(False)), F.transform(kept, ring)).otherwise(F.array())
+    The matrix is exploded to cells, and each ring is one aggregate of its cells. At most ``MOST_COLUMNS`` of the measured columns are
+    shown, at an even stride, none is interpolated; spectrograms that aren't whole have no rows.
+    """
+    whole = spectrograms.filter(sound_spectrogram(F.col("frequencies"), F.col("matrix"), F.col("times")))
+    bins = whole.select(
+        key, "times", F.greatest(F.lit(LEAST_TOP), F.array_max("frequencies")).alias("top"), F.ceil(F.size("times") / MOST_COLUMNS).cast("int").alias("stride"),
+        F.explode(F.arrays_zip("frequencies", "matrix")).alias("bin"),
+    )
+    cells = bins.select(key, "top", "stride", F.col("bin.frequencies").alias("f"), F.posexplode(F.arrays_zip("times", F.col("bin.matrix").alias("db"))).alias("t", "cell"))
+    cells = cells.filter(F.col("t") % F.col("stride") == 0).withColumns({"power": F.pow(F.lit(10.0), F.col("cell.db") / 10), "band": F.least(F.lit(BANDS - 1), F.floor(F.col("f") / F.col("top") * BANDS))})
+    band = lambda b: _power_db(F.coalesce(F.avg(F.when(F.col("band") == b, F.col("power"))), F.lit(0.0)))
+    made = cells.groupBy(key, "t").agg(
+        F.first("cell.times").alias("time"), F.first("top").alias("top"), _power_db(F.avg("power")).alias("energy_db"), F.try_divide(F.sum(F.col("power") * F.col("f")), F.sum("power")).alias("mean_hz"),
+        F.array(*map(band, range(BANDS))).alias("bands_db"),
+    )
+    made = made.withColumn("centroid_hz", F.when(F.col("energy_db") > SILENT_DB, F.col("mean_hz")).otherwise(0.0))
+    return made.select(key, "time", "energy_db", "centroid_hz", "bands_db", (INNER + DEPTH * unit(F.col("energy_db"), -FLOOR_DB, 0.0)).alias("radius"), (F.col("centroid_hz") / F.col("top") * math.pi).alias("angle"))
 
 
 def shown(rows: DataFrame, key: str, order: str, most: int = MOST_COLUMNS) -> DataFrame:
@@ -83,16 +86,23 @@ def noise(sensor: Column, k: Column, salt: int) -> Column:
     return (x - F.floor(x)) * 2 - 1
 
 
-def reading(sensor: Column, k: Column, start: Column | None = None, level: Column | None = None) -> Column:
-    """Struct (rms, crest) of a synthetic sensor; from sample ``start`` an incident ramps up to its ``level``."""
-    base = F.element_at(F.array(*[F.struct(F.lit(r).alias("rms"), F.lit(c).alias("crest")) for r, c in BASELINES]), (sensor + 1).cast("int"))
-    spike = F.when(noise(sensor, k, 3) > 0.985, 3 + 5 * F.abs(noise(sensor, k, 4))).otherwise(0.0)
-    rms = base["rms"] + 0.35 * noise(sensor, k, 1) + 0.25 * F.sin(k / 9 + sensor) + spike
-    crest = base["crest"] + 0.22 * noise(sensor, k, 2) + spike * 0.18
+def _contributions(sensor: Column, k: Column, start: Column | None, level: Column | None) -> list[tuple[Column, Column]]:
+    """What adds up to a reading, as (to the rms, to the crest): level, noise, drift, rare spikes and an incident."""
+    zero = F.lit(0.0)
+    healthy = lambda i: F.element_at(F.array(*[F.lit(b[i]) for b in BASELINES]), (sensor + 1).cast("int"))
+    spike = F.when(noise(sensor, k, 3) > SPIKE_OVER, SPIKE[0] + SPIKE[1] * F.abs(noise(sensor, k, 4))).otherwise(zero)
+    parts = [(healthy(0), healthy(1)), (NOISE[0] * noise(sensor, k, 1), NOISE[1] * noise(sensor, k, 2)), (DRIFT * F.sin(k / DRIFT_SAMPLES + sensor), zero), (spike, SPIKE_CREST * spike)]
     if start is not None:
-        rise = F.coalesce(F.when(k >= start, F.least(F.lit(1.0), (k - start) / 6) * level), F.lit(0.0))
-        rms, crest = rms + rise * 22 * (1 + 0.12 * noise(sensor, k, 5)), crest - rise * 1.8
-    return F.struct(rms.alias("rms"), F.greatest(F.lit(1.2), crest).alias("crest"))
+        grown = F.least((k - start) / RAMP_SAMPLES, F.lit(1.0))
+        strength = F.coalesce(F.when(k >= start, grown * level), zero)
+        parts.append((INCIDENT[0] * strength * (1 + INCIDENT_NOISE * noise(sensor, k, 5)), INCIDENT[1] * strength))
+    return parts
+
+
+def reading(sensor: Column, k: Column, start: Column | None = None, level: Column | None = None) -> Column:
+    """Struct (rms, crest) of a synthetic sensor: the sum of its contributions; from sample ``start`` an incident ramps up to its ``level``."""
+    rms, crest = (reduce(lambda a, b: a + b, column) for column in zip(*_contributions(sensor, k, start, level), strict=True))
+    return F.struct(rms.alias("rms"), F.greatest(F.lit(LEAST_CREST), crest).alias("crest"))
 
 
 def status(run: Column, confirmed: Column) -> Column:

@@ -16,6 +16,9 @@ from echoline.operators.audit import check
 CONTROLS = ("c0", "c1", "c2", "c2b", "c3")
 BATCH_SIZES = (1, 2, 4)
 SCORE_TOLERANCE = 1e-6
+#: Fixed values of drawn scenarios: patterns, windows, the end's first window and its distance from the last, long and short high ends, a lead, an early stretch.
+PATTERNS = ("quiet", "brief", "persistent", "intermittent", "ended")
+SCENARIO_WINDOWS, STOP, LONG_TAIL, SHORT_TAIL, LEAD, EARLY = (31, 65), (10, 4), 31, (1, 13), (3, 10), (2, 6)
 #: Fixed value: what stands for a rate whose denominator is zero.
 NO_RATE = "—"
 
@@ -214,13 +217,13 @@ def scenarios(names: DataFrame, key: str = "name") -> DataFrame:
     short or long high end, a high stretch before a short end, or one that is over well before the last window.
     """
     draw = lambda i, lo, hi: lo + F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key), F.lit(i))), 1, 8), 16, 10).cast("long") % (hi - lo)
-    rows = names.withColumn("n", draw(0, F.lit(31), F.lit(65))).withColumn("pattern", F.element_at(F.array(*map(F.lit, ("quiet", "brief", "persistent", "intermittent", "ended"))), (draw(1, F.lit(0), F.lit(5)) + 1).cast("int")))
-    stop = draw(2, F.lit(10), F.col("n") - 4)
-    tail = F.when(F.col("pattern") == "persistent", draw(3, F.lit(31), F.col("n") + 1)).otherwise(draw(4, F.lit(1), F.lit(13)))
-    lead = draw(5, F.lit(3), F.lit(10))
+    rows = names.withColumn("n", draw(0, *map(F.lit, SCENARIO_WINDOWS))).withColumn("pattern", F.element_at(F.array(*map(F.lit, PATTERNS)), (draw(1, F.lit(0), F.lit(len(PATTERNS))) + 1).cast("int")))
+    stop = draw(2, F.lit(STOP[0]), F.col("n") - STOP[1])
+    tail = F.when(F.col("pattern") == "persistent", draw(3, F.lit(LONG_TAIL), F.col("n") + 1)).otherwise(draw(4, *map(F.lit, SHORT_TAIL)))
+    lead = draw(5, *map(F.lit, LEAD))
     ends_high = F.col("pattern").isin("brief", "persistent", "intermittent")
     high = lambda i: (
-        (ends_high & (i >= F.col("n") - F.col("tail"))) | ((F.col("pattern") == "intermittent") & i.between(2, 6)) | ((F.col("pattern") == "ended") & (i >= F.greatest(F.lit(0), F.col("stop") - F.col("lead"))) & (i < F.col("stop")))
+        (ends_high & (i >= F.col("n") - F.col("tail"))) | ((F.col("pattern") == "intermittent") & i.between(*EARLY)) | ((F.col("pattern") == "ended") & (i >= F.greatest(F.lit(0), F.col("stop") - F.col("lead"))) & (i < F.col("stop")))
     )
     rows = rows.withColumns({"stop": stop, "tail": tail, "lead": lead})
     return rows.withColumn("flags", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), high)).drop("stop", "tail", "lead")

@@ -90,8 +90,8 @@ SELECT vec_id, CAST(t AS DOUBLE) AS time, round(e, 6) AS energy_db, round(CASE W
 def ring_geometry(spark, sf_dir):
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(F.slice("x", k * 8 + 1, 8), lambda v: v * 100 - 60))
     grid = lambda step: F.array(*[F.lit(i * step) for i in range(8)])
-    r = signals(spark, sf_dir).select("vec_id", F.explode(D.rings(grid(500.0), rows, grid(1.0))).alias("r"))
-    return rounded(rounded(r.select("vec_id", "r.time", "r.energy_db", "r.centroid_hz", "r.radius"), "energy_db", "centroid_hz", digits=6), "radius")
+    r = D.rings(signals(spark, sf_dir).select("vec_id", grid(500.0).alias("frequencies"), rows.alias("matrix"), grid(1.0).alias("times")), "vec_id")
+    return rounded(rounded(r.select("vec_id", "time", "energy_db", "centroid_hz", "radius"), "energy_db", "centroid_hz", digits=6), "radius")
 
 
 @query("SELECT o_orderkey, printf('%02d:%04.1f', CAST(floor(s / 60) AS INT), s - floor(s / 60) * 60) AS clock, round(((s % 45) + 45) % 45, 6) AS looped FROM (SELECT o_orderkey, o_orderkey / 4.0 + 0.01 AS s FROM orders)")
@@ -120,23 +120,22 @@ def synthetic_sensors(spark, sf_dir):
 
 
 # --- narration ------------------------------------------------------------------------------------------------------
-@query("""WITH a AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN text[1:20] ELSE CASE WHEN n_chars % 2 = 0 THEN 'leak' ELSE 'no_leak' END || '; Greatest mean spectral energy: ' || CAST(doc_id % 4 * 1000 AS VARCHAR) || '-' || CAST(doc_id % 4 * 1000 + 1000 AS VARCHAR) || ' Hz.' END AS t FROM documents)
+@query("""WITH a AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 5 = 1 THEN text ELSE CASE WHEN n_chars % 2 = 0 THEN 'leak' ELSE 'no_leak' END || '; Greatest mean spectral energy: ' || CAST(doc_id % 4 * 1000 AS VARCHAR) || '-' || CAST(doc_id % 4 * 1000 + 1000 AS VARCHAR) || ' Hz.' END AS t FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 5 > 1 THEN split_part(t, ';', 1) END AS label, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN doc_id % 5 = 1 THEN 'grammar' END AS problem,
   CASE WHEN doc_id % 5 = 0 THEN 'no_text' WHEN doc_id % 5 = 1 THEN 'grammar' ELSE concat_ws(',', CASE WHEN n_chars % 2 <> 0 THEN 'class_differs' END, CASE WHEN doc_id % 4 <> 1 THEN 'band_differs' END) END AS reasons FROM a""")
 def narration_fallback(spark, sf_dir):
     low = F.col("doc_id") % 4 * 1000
     made = F.concat(F.when(F.col("n_chars") % 2 == 0, "leak").otherwise("no_leak"), F.lit("; Greatest mean spectral energy: "), low.cast("string"), F.lit("-"), (low + 1000).cast("string"), F.lit(" Hz."))
     kind = F.col("doc_id") % 5
-    d = table(spark, sf_dir, "documents").withColumn("t", F.when(kind == 1, F.substring("text", 1, 20)).when(kind > 1, made))
+    d = table(spark, sf_dir, "documents").withColumn("t", F.when(kind == 1, F.col("text")).when(kind > 1, made))
     reasons = N.fallback_reasons(F.col("t"), F.lit("leak"), F.lit("1000-2000"), F.lit(0.9))
     return d.select("doc_id", N.answer(F.col("t"))["label"].alias("label"), N.answer(F.col("t"))["problem"].alias("problem"), F.concat_ws(",", reasons).alias("reasons"))
 
 
-@query(f"""SELECT vec_id, round(exp(x[1] - m) / list_sum(list_transform(x[1:4], lambda v: exp(v - m))), 9) AS first_, list_position(x[1:4], m) - 1 AS best FROM (SELECT vec_id, x, list_max(x[1:4]) AS m FROM {SIGNALS_SQL})""")
+@query(f"""SELECT vec_id, round(exp(x[1] - m) / list_sum(list_transform(x, lambda v: exp(v - m))), 9) AS first_, list_position(x, m) - 1 AS best FROM (SELECT vec_id, x, list_max(x) AS m FROM {SIGNALS_SQL})""")
 def terminal_softmax(spark, sf_dir):
-    four = F.slice("x", 1, 4)
-    names = F.array(*[F.lit(i).cast("long") for i in range(4)])
-    return rounded(signals(spark, sf_dir).select("vec_id", N.softmax(four)[0].alias("first_"), N.best(four, names).alias("best")), "first_")
+    names = F.sequence(F.lit(0).cast("long"), F.size("x").cast("long") - 1)
+    return rounded(signals(spark, sf_dir).select("vec_id", N.softmax(F.col("x"))[0].alias("first_"), N.best(F.col("x"), names).alias("best")), "first_")
 
 
 # --- selection ------------------------------------------------------------------------------------------------------

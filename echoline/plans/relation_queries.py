@@ -52,14 +52,14 @@ def duplicate_across_classes(spark, sf_dir):
 @query("""SELECT s.l_suppkey, s.l_linenumber, s.l_orderkey, s.k, arg_min(o.o_orderkey, (o.k0, o.o_orderkey)) AS incident
 FROM (SELECT l_suppkey, l_linenumber, l_orderkey, datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS k FROM lineitem) s
 LEFT JOIN (SELECT DISTINCT l_suppkey, o_orderkey, datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS k0, CASE WHEN o_orderstatus <> 'P' THEN datediff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 2 + o_orderkey % 9 END AS k1
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1) o ON s.l_suppkey = o.l_suppkey AND s.k >= o.k0 AND (o.k1 IS NULL OR s.k < o.k1) GROUP BY ALL""")
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey) o ON s.l_suppkey = o.l_suppkey AND s.k >= o.k0 AND (o.k1 IS NULL OR s.k < o.k1) GROUP BY ALL""")
 def interval_join(spark, sf_dir):
-    """Each shipped line with the first order of its supplier that is open on that day; an order's supplier is that of its first line."""
+    """Each shipped line with the first order of its supplier that is open on that day; an order is an incident of the suppliers of all its lines."""
     days = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
     x = table(spark, sf_dir, "lineitem")
     s = x.select("l_suppkey", "l_linenumber", "l_orderkey", days("l_shipdate").alias("k"))
     o = table(spark, sf_dir, "orders").withColumn("k0", days("o_orderdate")).withColumn("k1", F.when(F.col("o_orderstatus") != "P", F.col("k0") + 2 + F.col("o_orderkey") % 9))
-    lead = x.filter("l_linenumber = 1").select("l_suppkey", F.col("l_orderkey").alias("o_orderkey"))
+    lead = x.select("l_suppkey", F.col("l_orderkey").alias("o_orderkey")).distinct()
     return timeline.open_incident(s, o.join(lead, "o_orderkey").select("l_suppkey", F.col("o_orderkey").alias("incident"), "k0", "k1"), "l_suppkey")
 
 

@@ -225,9 +225,13 @@ def test_displays(spark):
     assert (r["c"], r["n"], r["l"]) == ("01:15.3", "00:00.0", 3.0)
     assert [tuple(p) for p in r["p"]] == [(10.0, 20.0), (30.0, 20.0), (30.0, -5.5)]
     assert r["s"]["distance"] == pytest.approx(50**0.5) and (r["h"], r["y"], r["o"]) == ("healthy", "confirmed", "under observation")
-    cases = spark.createDataFrame([([0.0, 1.0], [[0.0, -20.0], [0.0, -20.0]], [0.0, 1.0]), ([0.0, 1.0], [[0.0], [0.0, 1.0]], [0.0, 1.0]), ([], [], [])], "f array<double>, m array<array<double>>, t array<double>")
-    sizes = [x["r"] for x in cases.select(display.rings(F.col("f"), F.col("m"), F.col("t")).alias("r")).collect()]
-    assert [len(x) for x in sizes] == [2, 0, 0] and sizes[0][0]["energy_db"] == pytest.approx(0) and sizes[0][0]["centroid_hz"] == pytest.approx(0.5)
+    cases = [(0, [0.0, 1.0], [[0.0, -20.0], [0.0, -20.0]], [0.0, 1.0]), (1, [0.0, 1.0], [[0.0], [0.0, 1.0]], [0.0, 1.0]), (2, [], [], []), (3, [0.0], [[float("nan")]], [0.0]), (4, None, None, None), (5, [5.0], [[-200.0] * 100], [float(i) for i in range(100)])]
+    df = spark.createDataFrame(cases, "id int, frequencies array<double>, matrix array<array<double>>, times array<double>")
+    got = {}
+    for x in display.rings(df, "id").orderBy("id", "time").collect():
+        got.setdefault(x["id"], []).append(x)
+    assert {k: len(v) for k, v in got.items()} == {0: 2, 5: 50} and got[0][0]["energy_db"] == pytest.approx(0) and got[0][0]["centroid_hz"] == pytest.approx(0.5)
+    assert got[0][1]["bands_db"] == pytest.approx([-20, -120, -20]) and got[5][1]["time"] == 2.0 and (got[5][1]["centroid_hz"], got[5][1]["radius"]) == (0.0, pytest.approx(0.18))
 
 
 def test_narration(spark):
