@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from echoline.functions import features
 from echoline.sources import wav
-from echoline.streaming import tracker
+from echoline.streaming import replay, tracker
 
 
 def window(seq, p, session="s", **more):
@@ -123,3 +123,25 @@ def test_policy_is_locked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tracker.config, "OPEN_AT", 0.7)
     with pytest.raises(ValueError, match="policy"):
         tracker.lock_policy(spark, f"{tmp_path}/policy")
+
+
+@pytest.mark.parametrize("cut", [1, 3, 50])
+def test_a_replayed_stream_equals_the_whole(spark, tmp_path, cut):
+    """The slot of a session goes on from batch to batch, also when the query is started anew between them."""
+    rng = np.random.default_rng(cut)
+    moments = {s: np.sort(rng.choice(np.arange(40) / 2, 14)) for s in ("a", "b")}
+    rows = [(s, float(t), int(q), 0, ("drop" if rng.random() < 0.1 else None), 0.8) for s, ts in moments.items() for q, t in zip(np.argsort(rng.random(14)) // 2 + np.arange(14), ts, strict=True)]
+    want = {s: list(replay.deliver(replay._moments(pd.DataFrame([r for r in rows if r[0] == s], columns=["session", "arrival", "seq", "copy", "fault", "busy"])), 0.8)) for s in moments}
+    times = sorted({r[1] for r in rows})
+    steps = [times[i : i + len(times) // cut + 1] for i in range(0, len(times), len(times) // cut + 1)][:6]
+    steps[-1] = [t for t in times if t >= steps[-1][0]]
+    source, out, mark = (f"{tmp_path}/{x}" for x in ("in", "out", "check"))
+    for i, step in enumerate(steps):
+        part = [r for r in rows if r[1] in step] + ([(s, times[-1], None, 0, replay.END_OF_SESSION, 0.8) for s in moments] if i == len(steps) - 1 else [])
+        spark.createDataFrame(part, replay.ARRIVALS).coalesce(1).write.mode("append").json(source)
+        stream = replay.replay_stream(spark.readStream.schema(replay.ARRIVALS).json(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    got = {}
+    for r in spark.read.parquet(out).orderBy("session", "step").collect():
+        got.setdefault(r["session"], []).append((r["at"], r["event"], r["seq"], r["reason"]))
+    assert got == {s: [(t, e, int(q), r) for t, e, q, r in log] for s, log in want.items()}
