@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values in which ranks are counted apart.
+RANGES = 256
+
 
 def quantile_cuts(rows: DataFrame, value: str, ranges: int) -> DataFrame:
     """One row (cuts): at most ``ranges`` - 1 sorted values that part the rows into ranges of about equal numbers."""
@@ -21,6 +25,45 @@ def bucket_of(value: Column, cuts: Column, ranges: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size(cuts)) & below(at + step), at + step).otherwise(at))
 
 
+def joined(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal columns ``by``, in which nulls are equal too."""
+    named = right.withColumnsRenamed({c: f"__r_{c}" for c in by})
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in by], F.lit(True))
+    return left.join(named, on, how).drop(*[f"__r_{c}" for c in by])
+
+
+def between(low: Column, high: Column, share: Column) -> Column:
+    """The value at ``share`` of the way between two, the lower one's part added without a rounding of its own, as DuckDB's quantile_cont does."""
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - share, high * share).cast("double")
+    return F.when(share == 0, low).otherwise(fused)
+
+
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, places: dict[str, float]) -> DataFrame:
+    """(by, names of ``places``): exact quantiles with linear interpolation of the values that aren't null; a key without any has no row.
+
+    Rows become counts of distinct values, whose ranks start after the counts of the ranges before theirs. Only the ranges that hold a
+    wanted rank are put in order, so no task sees all values of a key.
+    """
+    by = list(by)
+    given = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v")).groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    cut = given.crossJoin(F.broadcast(quantile_cuts(given, "__v", RANGES)))  # one row
+    counts = cut.withColumn("__range", bucket_of(F.col("__v"), F.col("cuts"), RANGES)).drop("cuts")
+    key = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = key.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__m")).withColumns({"__end": F.sum("__m").over(upto), "__all": F.sum("__m").over(key)})
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), ((F.col("__all") - 1) * F.lit(q)).alias("at")) for k, q in places.items()]))
+    spots = totals.withColumn("__s", at).withColumn("__start", F.col("__end") - F.col("__m"))
+    # Ranks are counted from 0; the two next to a place may lie in two ranges.
+    spots = spots.withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor("__s.at"), F.ceil("__s.at"))))).filter((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
+    held = spots.groupBy(*by, "__range", "__start").agg(F.collect_list(F.struct(F.col("__s.name").alias("name"), F.col("__s.at").alias("at"), F.col("__rank").alias("rank"))).alias("__wanted"))
+    met = joined(counts, held, [*by, "__range"])
+    inside = Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ended = met.withColumn("__end", F.sum("__n").over(inside) + F.col("__start")).withColumn("__w", F.explode("__wanted"))
+    found = ended.filter((F.col("__w.rank") < F.col("__end")) & (F.col("__w.rank") >= F.col("__end") - F.col("__n")))
+    told = lambda k: between(F.min(F.when(F.col("__w.name") == k, F.col("__v"))), F.max(F.when(F.col("__w.name") == k, F.col("__v"))), F.max(F.when(F.col("__w.name") == k, F.col("__w.at") - F.floor("__w.at"))))
+    return found.groupBy(*by).agg(*[told(k).alias(k) for k in places])
+
+
 def ranked(rows: DataFrame, key: str, name: str, by: Sequence[str] = (), seed: str = "") -> DataFrame:
     """Add ``name``: ranks from 1 in the order of (MD5 of seed and key, key), per ``by``; keys and ``by`` are not null.
 

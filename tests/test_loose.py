@@ -4,11 +4,13 @@ import hashlib
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from echoline.functions import features, intake, series
-from echoline.operators import evaluation, invariants, timeline
+from echoline.operators import evaluation, invariants, ranking, timeline
+from tests.oracle import expected, rows
 
 
 def test_waveform_identities_name_their_format(spark):
@@ -99,3 +101,22 @@ def test_reports_have_their_order_and_signs(spark):
     assert [r[0] for r in values] == ["+0.123", "-0.500", "+0.000"]
     s = spark.range(1).select(evaluation.stretches(0.1, 0.9, ("low", 2), ("high", 3), ("low", 1))).first()[0]
     assert s == [0.1, 0.1, 0.9, 0.9, 0.9, 0.1]
+
+
+def test_quantiles_are_those_of_the_sql_to_the_last_bit(spark):
+    """Quartiles of which a rounding more or less would decide; null keys and values, single rows and keys without any value."""
+    data = [("a", v) for v in (0.0885, 0.1)] + [("b", v) for v in (0.1166, 0.2)] + [("c", v) for v in (0.1, 0.1974)] + [(None, 0.5), (None, 2.5), ("d", 3.0), ("e", None), ("f", 1.0), ("f", None)]
+    data += [("g", (k * 37 % 1000) / 100) for k in range(1001)]
+    frame = pd.DataFrame(data, columns=["k", "v"])
+    want = expected("SELECT k, quantile_cont(v, 0.25) AS q, quantile_cont(v, 0.95) AS r FROM t WHERE v IS NOT NULL GROUP BY k", t=frame)
+    rows_of = spark.createDataFrame(data, "k string, v double")
+    assert rows(ranking.quantiles(rows_of, ["k"], "v", {"q": 0.25, "r": 0.95}).toPandas()) == rows(want)
+    told = evaluation.latency_summary(rows_of, ["k"], "v").toPandas()
+    want = expected("SELECT k, count(v) AS n, quantile_cont(v, 0.5) AS median_ms, quantile_cont(v, 0.95) AS p95_ms, min(v) AS min_ms, max(v) AS max_ms FROM t GROUP BY k", t=frame)
+    assert rows(told) == rows(want)
+
+
+def test_summary_takes_no_map_of_all_values(spark):
+    """A key's values are put in order by ranges, not gathered in one task."""
+    plan = evaluation.latency_summary(spark.range(10).selectExpr("'x' AS k", "cast(id AS double) AS v"), ["k"], "v")._jdf.queryExecution().toString()
+    assert "percentile(" not in plan
