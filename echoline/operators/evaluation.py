@@ -79,9 +79,9 @@ def one_receipt(proofs: DataFrame) -> DataFrame:
 
 def latency_summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median, 95th percentile (linear), least and largest of a duration; all but n are null if there is none."""
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"), F.expr(f"percentile({value}, 0.5)").alias("median_ms"), F.expr(f"percentile({value}, 0.95)").alias("p95_ms"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms")
-    )
+    told = rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min_ms"), F.max(value).alias("max_ms"))
+    placed = ranking.quantiles(rows, by, value, {"median_ms": 0.5, "p95_ms": 0.95})
+    return ranking.joined(told, placed, by, "left").select(*by, "n", "median_ms", "p95_ms", "min_ms", "max_ms")
 
 
 def text_audit(rows: DataFrame) -> DataFrame:
