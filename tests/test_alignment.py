@@ -79,3 +79,23 @@ def test_relations_on_awkward_rows(spark):
 def test_shown_keeps_an_even_stride(spark, n):
     rows = spark.range(n).select(F.lit("s").alias("key"), F.col("id").alias("t"))
     assert sorted(r["t"] for r in display.shown(rows, "key", "t").collect()) == list(range(0, n, -(-n // 72)))
+
+
+@pytest.mark.parametrize("parts,held", [(1, 1 << 26), (4, 1 << 26), (4, 600)])
+def test_near_pairs_hold_for_any_number_of_parts(spark, parts, held):
+    """Parts that are dealt by number or by size; zero, null and equal vectors among them."""
+    x = np.random.default_rng(5).normal(size=(120, 6))
+    x[7], x[30] = 0, x[31]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)]
+    got = overlap.near_pairs(spark.createDataFrame(data, "id int, x array<double>"), 0.6, 8, parts, held).collect()
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    want = {(i, j): u[i] @ u[j] for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] > 0.6}
+    assert {(r["a"], r["b"]) for r in got} == set(want) and len(got) == len(want)
+    assert all(abs(r["cosine"] - want[r["a"], r["b"]]) < 1e-12 for r in got)
+
+
+def test_near_spectra_come_from_no_index_that_may_miss_some(spark):
+    from echoline.plans import catalogue
+
+    for name in ("near_spectra", "near_duplicate_folds"):
+        assert "sketch" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
