@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Floor in dB, most columns shown, attenuation length, healthy (rms, crest) per sensor, RMS factor, sample period.
 FLOOR_DB, MOST_COLUMNS, ATTENUATION = 120.0, 72, 260.0
@@ -132,5 +136,34 @@ def nearest_on_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Colum
     return F.struct(F.hypot(px - x, py - y).alias("distance"), x.alias("x"), y.alias("y"))
 
 
+def nearest_segments(points: DataFrame, px: str, py: str, net: DataFrame, key: str) -> DataFrame:
+    """``points`` with the ``key`` and ``distance`` of their nearest segment of a drawing (key, x0, y0, x1, y1); the least key on a tie.
+
+    The drawing is small and goes to the tasks; points without a coordinate have null, and without any segment there are no rows.
+    """
+    drawn = net.filter("x0 is not null and y0 is not null and x1 is not null and y1 is not null").orderBy(key).collect()
+    kind = net.schema[key].dataType
+    if not drawn:
+        return points.filter(F.lit(False)).select("*", F.lit(None).cast(kind).alias(key), F.lit(None).cast("double").alias("distance"))
+    names, ends = [r[key] for r in drawn], np.array([[r["x0"], r["y0"], r["x1"], r["y1"]] for r in drawn], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x0, y0, x1, y1 = ends.T
+        dx, dy = x1 - x0, y1 - y0
+        square = dx * dx + dy * dy
+        for b in batches:
+            x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(float)[:, None] for c in (px, py))
+            t = np.divide((x - x0) * dx + (y - y0) * dy, square, out=np.zeros((len(x), len(x0))), where=square > 0)
+            t = np.clip(t, 0.0, 1.0)
+            far = np.hypot(x - (x0 + t * dx), y - (y0 + t * dy))
+            unknown = np.isnan(far).any(axis=1)
+            best = np.where(np.isnan(far), np.inf, far).argmin(axis=1)
+            least = far[np.arange(len(best)), best]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.int32(), mask=unknown), pa.array(least, mask=unknown)], [*b.schema.names, "__k", "distance"])
+
+    told = points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("__k", T.IntegerType()), T.StructField("distance", T.DoubleType())]))
+    return told.select(*points.columns, F.get(F.array(*map(F.lit, names)), F.col("__k")).cast(kind).alias(key), "distance")
+
+
 def response(distance: Column) -> Column:
     return F.exp(-distance / ATTENUATION)

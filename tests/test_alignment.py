@@ -100,3 +100,15 @@ def test_near_spectra_come_from_no_index_that_may_miss_some(spark):
 
     for name in ("near_spectra", "near_duplicate_folds"):
         assert "sketch" not in catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_nearest_segments_need_no_aggregate(spark):
+    """Ties go to the least key; a point without a coordinate has null; no rows meet in a shuffle."""
+    points = spark.createDataFrame([(1, 0.0, 5.0), (2, 50.0, 0.0), (3, 3.0, 1.0), (4, None, 1.0)], "id long, x double, y double")
+    net = spark.createDataFrame([(9, 0.0, 0.0, 10.0, 0.0), (4, 0.0, 10.0, 10.0, 10.0), (7, 20.0, 0.0, 20.0, 0.0)], "k int, x0 double, y0 double, x1 double, y1 double")
+    got = display.nearest_segments(points, "x", "y", net, "k")
+    assert {(r["id"], r["k"], r["distance"]) for r in got.collect()} == {(1, 4, 5.0), (2, 7, 30.0), (3, 9, 1.0), (4, None, None)}
+    assert dict(got.dtypes)["k"] == "int" and display.nearest_segments(points, "x", "y", net.filter("false"), "k").count() == 0
+    from echoline.plans import catalogue
+
+    assert "Aggregate" not in catalogue.QUERIES["projected_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
