@@ -5,13 +5,13 @@ about ten bits. So a text also has ``BANDS`` keys of ``ROWS`` minimal hashes eac
 share with probability 1 - (1 - s ** ROWS) ** BANDS (0.99 at 0.8), and a sketch, the ``KEPT`` least shingle hashes.
 Texts that share a key are compared by their sketches: exactly if both have under ``KEPT`` shingles, else with a
 standard error of 0.025. Inside a bucket each text is compared with the leaders so far and leads itself if it is like
-none of them; links go to every leader that it is like. So texts that are alike but each like another leader may stay
-unlinked where no third text ties them (about 1 % of the pairs in tests). Which leaders a text may be like is told by an index of the
-leaders' sketch values: only those that share four fifths of its own are compared, so unlike texts cost no comparison.
+none of them; that makes classes. Two texts of different classes may be alike too, though each is like another leader: only texts
+that share four fifths of their sketch values with other classes can be, and those are compared with each other until their classes are one.
+So links tie all texts of a bucket that alike ones tie, if not by every pair. Which texts a text may be like is told by an
+index of sketch values: only those that share four fifths of its own are compared, so unlike texts cost no comparison.
 
-A bucket of more than ``LIMIT`` texts is dealt anew by each pair of its key and another key, and by a hash into parts
-of about ``LIMIT`` texts. The parts' leaders meet in a second pass: of a key that still has more than ``LIMIT`` of them, by pairs of
-parts, so that no task ever holds more than two parts.
+A bucket of more than ``LIMIT`` texts is cut into parts of half as many, and each pair of its parts is a group of its own: every two
+texts of a key meet in some group, and no task holds more than ``LIMIT`` of them.
 
 Cases: a text of fewer than five words is one shingle; one without words has no links here; equal texts count once;
 an empty table gives no rows.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from echoline.llm.common import mix64, spread
 from echoline.llm.decontaminate import gram_hashes, word_hashes
+from echoline.operators.grouped import runs_of
 from echoline.session import stored
 
 WORDS, ROWS, BANDS, KEPT, ALIKE, LIMIT = 5, 5, 12, 256, 0.8, 4096
@@ -79,26 +80,23 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return int((both[:-1][twice] <= last).sum()) / KEPT
 
 
-LINKS = "key long, a long, b long, sketch binary"
-
-
 class Leaders:
-    """Leaders of a bucket with their sketches, and for each sketch value the leaders that have it."""
+    """Texts of a bucket, such as its leaders, with their sketches, and for each sketch value the texts that have it."""
 
     def __init__(self):
         self.names: list[int] = []
         self.sketches: list[np.ndarray] = []
         self.having: dict[int, array] = {}
 
-    def like(self, own: np.ndarray) -> list[int]:
-        """Names of the leaders that a sketch is like."""
+    def like(self, own: np.ndarray, wanted=None) -> list[int]:
+        """Names of the leaders that a sketch is like, of those that are ``wanted`` if that is given."""
         lists = [np.frombuffer(x, np.int32) for x in map(self.having.get, own.tolist()) if x is not None]
         if not lists:
             return []
         shared = np.bincount(np.concatenate(lists))
         del lists  # an array can't grow while it is looked at
         near = np.flatnonzero(shared >= ALIKE * len(own))
-        return [self.names[i] for i in near.tolist() if similarity(own, self.sketches[i]) >= ALIKE]
+        return [self.names[i] for i in near.tolist() if (wanted is None or wanted(self.names[i])) and similarity(own, self.sketches[i]) >= ALIKE]
 
     def add(self, name: int, own: np.ndarray) -> None:
         for v in own.tolist():
@@ -107,60 +105,65 @@ class Leaders:
         self.sketches.append(own)
 
 
-def _told(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["key", "a", "b", "sketch"])
-
-
-def _leaders(batches):
-    """Over rows (key, part, parts, fp, sketch) sorted by bucket: links (a, b), and the leaders of divided buckets with their sketch."""
-    at, leaders, out = None, Leaders(), []
-    for batch in batches:
-        for key, part, parts, fp, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "part", "parts", "fp", "sketch")), strict=True):
-            if (key, part) != at:
-                at, leaders = (key, part), Leaders()
-            own = np.frombuffer(raw, np.uint32)
-            met = leaders.like(own)
-            out += [(key, fp, other, None) for other in met if other != fp]
-            if not met:
-                leaders.add(fp, own)
-                if parts > 1:
-                    out.append((key, fp, fp, raw))
-        if out:
-            yield _told(out)
-            out = []
-
-
-def _meeting(batches):
-    """Over leaders (key, i, j, mine, fp, sketch) sorted by pair of parts, part i first: links within a part, or from part j to part i."""
-    at, leaders, out = None, Leaders(), []
-    for batch in batches:
-        for key, i, j, mine, fp, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "fp", "sketch")), strict=True):
-            if (key, i, j) != at:
-                at, leaders = (key, i, j), Leaders()
-            own = np.frombuffer(raw, np.uint32)
-            met = leaders.like(own) if i == j or mine == j else []
-            out += [(key, fp, other, None) for other in met if other != fp]
-            if mine == i and not (i == j and met):
-                leaders.add(fp, own)
-        if out:
-            yield _told(out)
-            out = []
+def across(sketches: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+    """Places of texts that share enough sketch values with other classes than their own to be like a text there."""
+    flat, sizes = np.concatenate(sketches), np.array([len(x) for x in sketches])
+    both = np.unique(np.stack([flat.astype(np.int64), np.repeat(classes, sizes)]), axis=1)[0]
+    shared = np.unique(both[1:][both[1:] == both[:-1]])
+    found = np.isin(flat, shared.astype(np.uint32))
+    return np.flatnonzero(np.add.reduceat(found, np.cumsum(sizes) - sizes) >= ALIKE * sizes)
+
+
+def linked(sketches: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links by place that tie all texts which alike pairs tie: with leaders, then between their classes."""
+    up = list(range(len(sketches)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    leaders, links = Leaders(), []
+
+    def tie(i: int, j: int) -> None:
+        links.append((i, j))
+        up[max(root(i), root(j))] = min(root(i), root(j))
+
+    for i, own in enumerate(sketches):
+        met = leaders.like(own)
+        for j in met:
+            tie(i, j)
+        if not met:
+            leaders.add(i, own)
+    classes = np.array([root(i) for i in range(len(sketches))])
+    # Classes of one text each are those of leaders, which have all met.
+    if 1 < len(np.unique(classes)) < len(classes):
+        texts = Leaders()
+        for i in across(sketches, classes).tolist():
+            for j in texts.like(sketches[i], lambda j, i=i: root(i) != root(j)):
+                if root(i) != root(j):
+                    tie(i, j)
+            texts.add(i, sketches[i])
+    return links
+
+
+def _groups(batches):
+    """Links (a, b) of the groups in rows (key, i, j, fp, sketch) that are sorted by group."""
+    for g in runs_of(batches, ["key", "i", "j"]):
+        names = g.column("fp").to_pylist()
+        links = [(names[i], names[j]) for i, j in linked([np.frombuffer(x, np.uint32) for x in g.column("sketch").to_pylist()]) if names[i] != names[j]]
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
 
 def near_links(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between fingerprints of near copies, from rows (th, fp, keys, sketch)."""
     texts = stored(prints.filter("sketch is not null").groupBy("th").agg(F.min("fp").alias("fp"), F.min("sketch").alias("sketch"), F.min("keys").alias("keys")), "near-texts")
     keyed = texts.select("th", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / limit))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = counts.withColumn("parts", F.when(F.col("n") > limit, F.ceil(F.col("n") / max(1, limit // 2))).otherwise(1).cast("int"))
     met = stored(spread(keyed, stored(sizes, "near-sizes"), "key", "n", "th"), "near-met")
-    dealt = met.join(texts, "th")
-    deeper = F.transform(F.filter("keys", lambda k: k != F.col("key")), lambda k: F.xxhash64(F.least(k, F.col("key")), F.greatest(k, F.col("key"))))
-    dealt = dealt.withColumn("key", F.explode(F.when(F.col("parts") > 1, deeper).otherwise(F.array("key")))).select("key", F.pmod(F.xxhash64("th"), F.col("parts")).alias("part"), "parts", "fp", "sketch")
-    found = stored(dealt.repartition("key", "part").sortWithinPartitions("key", "part", "fp").mapInArrow(_leaders, LINKS), "near-links")
-    leaders = found.filter("sketch is not null").select("key", F.col("a").alias("fp"), "sketch")
-    counts = leaders.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    parts = counts.select("key", F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-    split = leaders.join(parts, "key").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    split = split.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "fp", "sketch")
-    second = split.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "mine", "fp").mapInArrow(_meeting, LINKS)
-    return found.filter("sketch is null").select("a", "b").unionByName(second.select("a", "b")).distinct()
+    dealt = met.join(texts, "th").withColumn("mine", F.pmod(F.xxhash64("th"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "sketch")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(_groups, "a long, b long").distinct()

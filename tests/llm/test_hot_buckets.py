@@ -73,3 +73,21 @@ def test_rows_that_other_columns_tell_apart_stay(spark):
     assert Counter(map(tuple, mixing.mixed(docs, block=1).collect())) == Counter(rows[:-1])  # one source takes its own size
     kept = [sorted(map(tuple, simhash.one_of_each(docs.repartition(k)).collect()), key=repr) for k in (1, 4)]
     assert kept[0] == kept[1] and len([r for r in kept[0] if r[1] == text]) == 1
+
+
+def test_no_tie_between_classes_is_lost(spark):
+    """Texts that are each like another leader are still tied; so are texts that share only one key, which is hot."""
+    rng = np.random.default_rng(8)
+    bits = rng.choice(1 << 31, 1000, replace=False).astype(np.uint32)
+    take = lambda lo, hi, base: np.sort(bits[base + lo : base + hi])
+    rows, chains = [], 6
+    for c in range(chains):
+        # Windows over 100 values: each is like those within 10 places. The leaders 0 and 30 aren't, nor are 10 and 20 like the other one's leader.
+        for k, at in enumerate((0, 30, 10, 20)):
+            rows.append((10 * c + k, 10 * c + k, [7, 1000 + 10 * c + k], take(at, at + 100, 140 * c)))
+    prints = spark.createDataFrame([(t, f, k, bytearray(s.tobytes())) for t, f, k, s in rows], "th long, fp long, keys array<long>, sketch binary")
+    near = {(a, b) for a, _, _, x in rows for b, _, _, y in rows if a < b and nearcopies.similarity(x, y) >= nearcopies.ALIKE}
+    assert len(near) == 3 * chains
+    for limit in (4, 8, 4096):
+        got = {tuple(sorted((r["a"], r["b"]))) for r in nearcopies.near_links(prints, limit).collect()}
+        assert got == near
