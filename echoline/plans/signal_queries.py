@@ -69,8 +69,8 @@ f AS (SELECT DISTINCT n, unnest(range(n // 2 + 1)) AS k FROM (SELECT DISTINCT n
 p AS (SELECT record, n, k, (re * re + im * im) / pow(n / 2.0, 2) AS p FROM d), g AS (SELECT *, n // 2 + 1 AS m, CASE WHEN n // 2 + 1 <= 256 THEN k ELSE greatest(k - 1, 0) END AS g FROM p)
 SELECT record, g AS cell, round(avg(k * 16000.0 / n), 6) AS frequency_hz, round(10 * log10(greatest(avg(p), 1e-12)), 2) AS power_db FROM g GROUP BY record, g""")
 def spectrogram_pooling(spark, sf_dir):
-    v = recordings(spark, sf_dir).select("record", views.view()("samples", F.lit(16000)).alias("v"))
-    cells = v.select("record", F.posexplode(F.arrays_zip("v.frequencies_hz", "v.power_db")).alias("cell", "c"))
+    v = views.viewed(recordings(spark, sf_dir), "samples", 16000.0)
+    cells = v.select("record", F.posexplode(F.arrays_zip("frequencies_hz", "power_db")).alias("cell", "c"))
     return cells.select("record", F.col("cell").cast("long").alias("cell"), F.round("c.frequencies_hz", 6).alias("frequency_hz"), F.get("c.power_db", F.lit(0)).alias("power_db"))
 
 

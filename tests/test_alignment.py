@@ -112,3 +112,15 @@ def test_nearest_segments_need_no_aggregate(spark):
     from echoline.plans import catalogue
 
     assert "Aggregate" not in catalogue.QUERIES["projected_points"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_views_are_made_a_few_rows_at_a_time(spark):
+    """The same views as the function of columns gives, for any number of rows at a time."""
+    from echoline.functions import views
+
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, rng.normal(size=n).tolist()) for i, n in enumerate((1, 5, 900, 2000, 64))] + [(7, None), (8, []), (9, [float("nan")])], "k int, x array<double>")
+    want = {r["k"]: r["v"].asDict() for r in rows.select("k", views.view()("x", F.lit(8000)).alias("v")).collect()}
+    for steps in (1, 3, 64):
+        got = {r["k"]: {n: v for n, v in r.asDict().items() if n != "k"} for r in views.viewed(rows, "x", 8000.0, steps).collect()}
+        assert got == want
