@@ -51,11 +51,12 @@ def evaluate_run(rows: DataFrame, validation: str = "validation", folds: tuple[s
     both = levels(rows, ["fold"])
     # Scores become their distance from the threshold, so that one block of counts at 0 serves a threshold that is not known here.
     counts = metrics.metric_block(both.crossJoin(F.broadcast(picked)).withColumn("p", F.when(F.col("p") >= F.col("threshold"), 1.0).otherwise(0.0)), 0.5, by)
-    drawn = metrics.draws(rows, draws, seed, ["fold"])
-    copies = drawn.join(rows.select("fold", "group_id", "y", "p"), ["fold", "group_id"])
-    medians = metrics.group_medians(rows, ["fold"]).select("fold", "group_id", "y", "p")
-    resampled = copies.select("fold", "draw", F.lit("clip").alias("level"), "y", "p").unionByName(drawn.join(medians, ["fold", "group_id"]).select("fold", "draw", F.lit("group").alias("level"), "y", "p"))
-    intervals = metrics.interval(metrics.roc_auc(resampled, ["fold", "level", "draw"]), "roc_auc", by)
+    # A draw takes a group some number of times, and equal scores of a group are one row with their number: draws meet cells, not clips.
+    drawn = metrics.draws(rows, draws, seed, ["fold"]).groupBy("fold", "draw", "group_id").agg(F.count(F.lit(1)).alias("times"))
+    cells = rows.groupBy("fold", "group_id", "y", "p").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.lit("clip"))
+    medians = metrics.group_medians(rows, ["fold"]).select("fold", "group_id", "y", "p", F.lit(1).cast("long").alias("n"), F.lit("group").alias("level"))
+    resampled = drawn.join(cells.unionByName(medians), ["fold", "group_id"]).select("fold", "draw", "level", "y", "p", (F.col("times") * F.col("n")).alias("n"))
+    intervals = metrics.interval(metrics.roc_auc(resampled, ["fold", "level", "draw"], "n"), "roc_auc", by)
     joined = counts.join(metrics.roc_auc(both, by), by).join(intervals, by, "left")
     return joined.crossJoin(F.broadcast(picked))  # one row
 

@@ -44,8 +44,9 @@ def metric_block(rows: DataFrame, threshold: float, by: list[str] = ()) -> DataF
     })
 
 
-def _histogram(rows: DataFrame, by: list[str]) -> DataFrame:
-    return rows.groupBy(*by, "p").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
+def _histogram(rows: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    w = F.lit(1) if weight is None else F.col(weight)
+    return rows.groupBy(*by, "p").agg(F.sum(F.col("y") * w).cast("long").alias("pos"), F.sum((1 - F.col("y")) * w).cast("long").alias("neg"))
 
 
 def _running(h: DataFrame, by: list[str], sums: dict[str, Column], descending: bool = True) -> DataFrame:
@@ -68,9 +69,9 @@ def _running(h: DataFrame, by: list[str], sums: dict[str, Column], descending: b
     return inside.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__range", *[f"__{n}" for n in sums])
 
 
-def roc_auc(rows: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties one half."""
-    h = _running(_histogram(rows, list(by)), list(by), {"under": F.col("neg")}, descending=False).withColumn("under", F.col("under") - F.col("neg"))
+def roc_auc(rows: DataFrame, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties one half; ``weight`` says how often a row counts."""
+    h = _running(_histogram(rows, list(by), weight), list(by), {"under": F.col("neg")}, descending=False).withColumn("under", F.col("under") - F.col("neg"))
     twice = F.sum(F.col("pos") * (2 * F.col("under") + F.col("neg")))
     return h.groupBy(*by).agg(ratio(twice, 2 * F.sum("pos") * F.sum("neg")).alias("roc_auc"))
 

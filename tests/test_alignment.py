@@ -124,3 +124,13 @@ def test_views_are_made_a_few_rows_at_a_time(spark):
     for steps in (1, 3, 64):
         got = {r["k"]: {n: v for n, v in r.asDict().items() if n != "k"} for r in views.viewed(rows, "x", 8000.0, steps).collect()}
         assert got == want
+
+
+def test_weighted_areas_are_those_of_repeated_rows(spark):
+    from echoline.operators import metrics
+
+    rng = random.Random(6)
+    data = [(k % 3, rng.randint(0, 1), rng.randint(0, 9) / 10, rng.randint(1, 4)) for k in range(200)]
+    frame = spark.createDataFrame(data, "k int, y int, p double, n long")
+    want = metrics.roc_auc(frame.withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), "n"))), ["k"]).collect()
+    assert sorted(metrics.roc_auc(frame, ["k"], "n").collect()) == sorted(want)
