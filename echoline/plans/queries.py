@@ -235,13 +235,12 @@ def asof_join(spark, sf_dir):
 s AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, root) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.v, r.root FROM r JOIN s ON r.node = s.u)
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
-    from echoline.operators.components import components
+    from echoline.operators.components import components, stars, tasks_for
 
     # All suppliers of an order hang on its least one: as many edges as lines, and the components of all pairs.
-    x = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("b"))
-    least = x.groupBy("l_orderkey").agg(F.min("b").alias("a"))
-    e = x.join(least, "l_orderkey").filter("a < b").select("a", "b").distinct()
-    return components(e)
+    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    tasks = tasks_for(x)
+    return components(stars(x, "l_orderkey", "l_suppkey", tasks), tasks)
 
 
 @query(f"""SELECT 'no_duplicate_id' AS name, count(*) FILTER (n > 1) = 0 AS passed, count(*) AS coverage, count(*) FILTER (n > 1) AS failures FROM (SELECT clip_id, count(*) AS n FROM {PREDICTIONS_SQL} GROUP BY clip_id)

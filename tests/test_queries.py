@@ -58,3 +58,26 @@ def test_components_come_from_every_line(spark, tmp_path):
     tied = {s for o in orders if len(set(o)) > 1 for s in o}
     got = q.QUERIES["connected_components"](spark, str(tmp_path)).collect()
     assert {(r["node"], r["root"]) for r in got} == {(s, root[s]) for s in tied} and len(got) == len(tied)
+
+
+def test_tasks_of_components_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """Edges become distinct in tasks of a bounded number of rows, which aren't merged for being small; once, not again for the other way."""
+    from echoline.operators import components as c
+
+    spark.createDataFrame([(i // 3, i % 50) for i in range(600)], "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    kept, store = [], c.stored
+    monkeypatch.setattr(c, "ROWS", 20, raising=False)
+    monkeypatch.setattr(c, "stored", lambda df, tag: kept.append((tag, df.rdd.getNumPartitions(), df.count())) or store(df, tag))
+    got = q.QUERIES["connected_components"](spark, str(tmp_path)).collect()
+    links = next(k for k in kept if k[0] == "links")
+    assert {(r["node"], r["root"]) for r in got} == {(s, 0) for s in range(50)} and links[1] == 30
+    assert links[2] == len({(min(o), s) for k in range(200) for o in [[i % 50 for i in range(3 * k, 3 * k + 3)]] for s in o if s > min(o)})
+
+
+@pytest.mark.parametrize("tasks", [None, 1, 7])
+def test_components_of_repeated_reversed_and_null_edges(spark, tasks):
+    from echoline.operators.components import components
+
+    edges = [(1, 2), (2, 1), (1, 2), (3, 2), (9, 8), (7, 7), (None, 5), (6, None), (8, 4)]
+    got = components(spark.createDataFrame(edges, "a int, b int"), tasks).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == [(1, 1), (2, 1), (3, 1), (4, 4), (7, 7), (8, 4), (9, 4)]
